@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netvigil.llm import chat, huffman, license
+from netvigil.llm import chat, decontam, huffman, license, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": simhash.op2_simhash,
+    "op5_decontaminate": decontam.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_chat_format": chat.op8_chat_format,
     "op9_license_scan": license.op9_license_scan,
     "op10_token_output": huffman.op10_token_output,
