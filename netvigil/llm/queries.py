@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netvigil.llm import chat, decontam, huffman, license, simhash, toxicity
+from netvigil.llm import chat, decontam, html, huffman, license, neighbours, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_extract": html.op3_extract,
+    "op4_nearest": neighbours.op4_nearest,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_suffix_dedup": substrings.op7_suffix_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_license_scan": license.op9_license_scan,
     "op10_token_output": huffman.op10_token_output,
