@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netvigil.llm import chat, decontam, html, huffman, license, neighbours, simhash, substrings, toxicity
+from netvigil.llm import chat, decontam, html, huffman, license, neighbours, packing, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_extract": html.op3_extract,
     "op4_nearest": neighbours.op4_nearest,
