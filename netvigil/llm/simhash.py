@@ -20,6 +20,7 @@ links but kept (its own class null); other columns are ignored; no rows give no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,6 +38,8 @@ LEAF, FAN = 16, 8
 HOT = 200_000
 #: (searching fingerprint, node) pairs looked at in one go.
 FRONT = 2_000_000
+#: Hashes whose bits are counted in one go.
+BITS = 100_000
 
 
 def shingle_hashes(text: str, width: int) -> list[int]:
@@ -55,36 +58,58 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)]
 
 
-def fingerprints_of(texts: list[str | None], width: int = 4) -> np.ndarray:
-    """The 64-bit fingerprint of each text."""
+def fingerprints_of(texts: list[str | None], width: int = 4, words: int = 1) -> np.ndarray:
+    """The fingerprint of each text: a row of 64-bit words, the first from the hashes themselves."""
     hashes = [shingle_hashes(t or "", width) for t in texts]
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
     joined = np.fromiter((h for own in hashes for h in own), np.uint64, int(counts.sum()))
-    for lo in range(0, len(full), 256):  # unpacked bits take 64 bytes a shingle
-        part = full[lo : lo + 256]
-        begin = int(counts[: part[0]].sum())
+    return np.stack([_majorities(joined if k == 0 else mix(joined + np.uint64(k)), counts) for k in range(words)], 1)
+
+
+def _majorities(joined: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of hashes, the bits that over half of them have."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    ends = np.cumsum(counts)
+    groups = np.split(full, np.flatnonzero(np.diff(ends[full] // BITS)) + 1)
+    for part in groups:  # unpacked bits take 64 bytes a hash
         own = counts[part]
-        first = np.cumsum(own) - own
-        bits = np.unpackbits(joined[begin : begin + int(own.sum())].astype(">u8").view(np.uint8)).reshape(-1, 64)
-        ones = np.stack([bits[a : a + n].sum(0, dtype=np.int64) for a, n in zip(first.tolist(), own.tolist(), strict=True)])
-        out[part] = np.packbits(2 * ones > own[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+        ones = np.zeros((len(part), 64), np.int64)
+        if len(part) == 1:
+            for lo in range(int(ends[part[0]] - own[0]), int(ends[part[0]]), BITS):
+                ones[0] += _unpacked(joined[lo : min(lo + BITS, int(ends[part[0]]))]).sum(0, dtype=np.int64)
+        elif len(part):
+            bits = _unpacked(joined[ends[part[0]] - own[0] : ends[part[-1]]])
+            after = np.cumsum(own)
+            for k, (a, b) in enumerate(zip((after - own).tolist(), after.tolist(), strict=True)):
+                ones[k] = bits[a:b].sum(0, dtype=np.int64)
+        out[part] = np.packbits(2 * ones > own[:, None], axis=1).view(">u8").reshape(-1)
     return out
 
 
-def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a long."""
+def _unpacked(hashes: np.ndarray) -> np.ndarray:
+    """The bits of each hash, highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
+
+
+def with_fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, fp) of every row; fp holds the fingerprint's 64-bit words as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist(), width).view(np.int64))], ["doc_id", "fp"])
+                found = fingerprints_of(part.column(1).to_pylist(), width, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.tolist(), pa.list_(pa.int64()))], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Another hash from a hash."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -95,19 +120,24 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_masks(limit: int, extra: int) -> list[int]:
-    """One mask for each choice of blocks of which any two codes within the limit share one."""
+def block_masks(limit: int, extra: int) -> list[tuple[int, int]]:
+    """(word 0, mask) for each choice of blocks of which any two 64-bit codes within the limit share one."""
     n = limit + 1 + extra
     edges = [64 * k // n for k in range(n + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [sum(c) for c in combinations(blocks, 1 + extra)]
+    return [(0, sum(c)) for c in combinations(blocks, 1 + extra)]
+
+
+def sampled_masks(words: int, bits: int) -> list[tuple[int, int]]:
+    """(word, mask) of all blocks of so many bits, for codes of several words that are only likely to share one."""
+    return [(w, ((1 << bits) - 1) << a) for w in range(words) for a in range(0, 64 - bits + 1, bits)]
 
 
 class GrayIndex:
     """Groups of codes in Gray order within their keys, with the bits that each group shares."""
 
     def __init__(self, keys: np.ndarray, codes: np.ndarray):
-        self.order = np.lexsort((gray_rank(codes), keys))
+        self.order = np.lexsort((*[gray_rank(codes[:, w]) for w in range(codes.shape[1] - 1, -1, -1)], keys))
         self.codes = codes[self.order]
         self.levels: list[dict[str, np.ndarray]] = []
         key = keys[self.order]
@@ -143,7 +173,7 @@ class GrayIndex:
                     front += [(level, ask[:half], node[:half]), (level, ask[half:], node[half:])]
                     continue
                 at = self.levels[level]
-                far = np.bitwise_count((self.codes[ask] ^ at["pattern"][node]) & at["shared"][node])
+                far = np.bitwise_count((self.codes[ask] ^ at["pattern"][node]) & at["shared"][node]).sum(1, dtype=np.int64)
                 live = (far <= limit) & (common[level][node] != label[ask])
                 ask, node = ask[live], node[live]
                 size = at["child"][node + 1] - at["child"][node]
@@ -152,7 +182,7 @@ class GrayIndex:
                 if level:
                     front.append((level - 1, ask, child))
                     continue
-                near = (label[child] != label[ask]) & (np.bitwise_count(self.codes[ask] ^ self.codes[child]) <= limit)
+                near = (label[child] != label[ask]) & (np.bitwise_count(self.codes[ask] ^ self.codes[child]).sum(1, dtype=np.int64) <= limit)
                 found_a.append(ask[near])
                 found_b.append(child[near])
             a, b = np.concatenate(found_a or [asks[:0]]), np.concatenate(found_b or [asks[:0]])
@@ -189,12 +219,12 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def linked_classes(codes: DataFrame, limit: int = 4) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint in (doc_id, fp)."""
+def linked_classes(codes: DataFrame, limit: int, masks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint in (doc_id, fp); masks: exact ones unless given."""
     nodes = stored(codes.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
     n = nodes.count()
-    masks = block_masks(limit, 0 if n < 4_000_000 else 1)
-    dealt = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("choice", "value"))
+    masks = masks or block_masks(limit, 0 if n < 4_000_000 else 1)
+    dealt = nodes.select("node", "fp", F.posexplode(F.array(*[F.element_at("fp", w + 1).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in masks])).alias("choice", "value"))
     hot = dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     if n > HOT and hot.limit(1).count():
         dealt = dealt.join(hot, ["choice", "value"], "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(0)) * 2 / HOT).cast("int"))
@@ -209,12 +239,13 @@ def linked_classes(codes: DataFrame, limit: int = 4) -> DataFrame:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        choice, value, pair, node, fp = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(5))
+        choice, value, pair, node = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
+        fp = np.concatenate([b.column(4).flatten().to_numpy() for b in held]).reshape(len(node), -1)
         place = np.lexsort((pair, value, choice))
         new = np.concatenate([[True], (choice[place][1:] != choice[place][:-1]) | (value[place][1:] != value[place][:-1]) | (pair[place][1:] != pair[place][:-1])])
         key = np.empty(len(place), np.int64)
         key[place] = np.cumsum(new)
-        a, b = GrayIndex(key, fp.view(np.uint64)).forest(limit)
+        a, b = GrayIndex(key, fp.astype(np.int64).view(np.uint64)).forest(limit)
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     links = dealt.select("choice", "value", "pair", "node", "fp").repartition(parts, "choice", "value", "pair").mapInArrow(run, "a long, b long")
@@ -223,13 +254,27 @@ def linked_classes(codes: DataFrame, limit: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    codes = stored(with_fingerprints(docs, width), "codes")
-    classes = linked_classes(codes, limit)
+    """(doc_id, fp, component_id) of every row, by exact links of 64-bit fingerprints."""
+    return _classed(stored(with_fingerprints(docs, width), "codes"), limit, None)
+
+
+def alike(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4, bits: int = 12) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, by estimated Jaccard similarity of shingles.
+
+    Sets of about one size with similarity s have the cosine 2s / (1 + s), and codes
+    that differ in its angle's share of bits. Links are looked for among codes that
+    share one of many blocks of ``bits`` bits; at 0.85 of four words 98 in 100 do.
+    """
+    limit = int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return _classed(stored(with_fingerprints(docs, width, words), "codes"), limit, sampled_masks(words, bits))
+
+
+def _classed(codes: DataFrame, limit: int, masks: list[tuple[int, int]] | None) -> DataFrame:
+    classes = linked_classes(codes, limit, masks)
     return codes.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of all documents."""
     found = near_duplicates(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
