@@ -13,8 +13,8 @@ have equal anchors. The steps, all as Spark jobs:
    with the smallest doc_id there. They are dealt by anchor; the occurrences of a hot
    anchor are dealt over ``SALTS`` tasks, each of which gets all its contexts.
 3. A task orders all suffixes of the different contexts of its anchors by linear
-   grouping (``grouping.suffix_array``), cuts the order where neighbours differ in
-   their first ``LENGTH`` bytes, takes the smallest doc_id of each piece, and gives
+   grouping (``grouping.suffix_array``; the anchor, which all strings of a context
+   hold, is one symbol), cuts the order where neighbours differ in their strings, takes the smallest doc_id of each piece, and gives
    every occurrence the strings with a smaller one. An anchor with one single context
    needs no order.
 4. Spans meet their documents, are merged, and the bytes under them are dropped.
@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ from netvigil.llm.common import only, stored, table
 from netvigil.llm.decontam import slices, text_bytes
 from netvigil.llm.grouping import suffix_array
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 28
+#: Bytes of a string beside its anchor.
+BESIDE = LENGTH - GRAM
 #: Window starts that are looked at in one go.
 BLOCK = 1 << 21
 #: Bits of the filter for each shared anchor, and at most (64 MB).
@@ -77,6 +80,7 @@ class Anchors:
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    place: np.ndarray
     key: np.ndarray
     context: np.ndarray
 
@@ -106,10 +110,10 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> Anchors:
         new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         first, last = starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
         content = mix((total[last + LENGTH] - total[first]) * turn[first] + (last - first).astype(_U))
-        out.append((own_doc[first], first + lo, last + lo, grams[p[new]], content))
+        out.append((own_doc[first], first + lo, last + lo, p[new] + lo, grams[p[new]], content))
     if not out:
         none = np.zeros(0, np.int64)
-        return Anchors(none, none, none, none.astype(_U), none.astype(_U))
+        return Anchors(none, none, none, none, none.astype(_U), none.astype(_U))
     return Anchors(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
@@ -214,17 +218,19 @@ def filter_of(shared: DataFrame, buckets: int) -> Filter:
     return Filter(buckets, block, out, _from_six(b"".join(hot)))
 
 
-_PACKED = "bucket int, doc_ids binary, hashes binary, occ_doc binary, occ_start binary, occ_context binary, ctx_size binary, ctx_least binary, ctx_key binary, ctx_bytes binary"
+_PACKED = "bucket int, doc_ids binary, hashes binary, occ_doc binary, occ_start binary, occ_context binary, ctx_left binary, ctx_right binary, ctx_least binary, ctx_key binary, ctx_bytes binary"
 
 
 def _pack(bucket: int, docs: np.ndarray, hashes: np.ndarray, occ: tuple[np.ndarray, ...], ctx: tuple[np.ndarray, ...], data: np.ndarray) -> list:
-    """One row: occurrences (doc, start, context) and contexts (number, size, least, key, first byte)."""
+    """One row: occurrences (doc, start, context) and contexts (number, bytes left and right of the anchor, least, key, first byte)."""
     doc, start, context = occ
-    number, size, least, key, first = ctx
+    number, left, right, least, key, first = ctx
     used, doc = np.unique(doc, return_inverse=True)
     context = np.searchsorted(number, context)
-    at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-    return [bucket, docs[used].tobytes(), hashes[used].tobytes(), doc.astype("<u4").tobytes(), start.astype("<u4").tobytes(), context.astype("<u4").tobytes(), size.astype("<u2").tobytes(), least.astype("<i8").tobytes(), key.astype("<u8").tobytes(), data[at].tobytes()]
+    size = left + right
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(first, size) + step + np.where(step < np.repeat(left, size), 0, GRAM)
+    return [bucket, docs[used].tobytes(), hashes[used].tobytes(), doc.astype("<u4").tobytes(), start.astype("<u4").tobytes(), context.astype("<u4").tobytes(), left.astype("u1").tobytes(), right.astype("u1").tobytes(), least.astype("<i8").tobytes(), key.astype("<u8").tobytes(), zstandard.ZstdCompressor(1).compress(data[at].tobytes())]
 
 
 def packed_contexts(docs: DataFrame, known: Filter) -> DataFrame:
@@ -244,7 +250,7 @@ def packed_contexts(docs: DataFrame, known: Filter) -> DataFrame:
                 keep = np.flatnonzero(own.passes(found.key))
                 if not len(keep):
                     continue
-                doc, first, last, key, content = (x[keep] for x in (found.doc, found.first, found.last, found.key, found.context))
+                doc, first, last, place, key, content = (x[keep] for x in (found.doc, found.first, found.last, found.place, found.key, found.context))
                 doc_ids, hashes = part.column(0).to_numpy(), part.column(2).to_numpy()
                 context, one, which = np.unique(content ^ mix(key), return_index=True, return_inverse=True)
                 least = np.full(len(context), np.iinfo(np.int64).max)
@@ -270,7 +276,7 @@ def packed_contexts(docs: DataFrame, known: Filter) -> DataFrame:
                     p, q = np.searchsorted(occ_home, [b, b + 1])
                     o, c = occ_order[p:q], ctx_row[x:y]
                     f = one[c]
-                    rows.append(_pack(int(b), doc_ids, hashes, (doc[o], first[o] - at[doc[o]], which[o]), (c, last[f] - first[f] + LENGTH, least[c], key[f], first[f]), data))
+                    rows.append(_pack(int(b), doc_ids, hashes, (doc[o], first[o] - at[doc[o]], which[o]), (c, place[f] - first[f], last[f] - place[f] + BESIDE, least[c], key[f], first[f]), data))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.mapInArrow(run, _PACKED)
@@ -278,11 +284,12 @@ def packed_contexts(docs: DataFrame, known: Filter) -> DataFrame:
 
 @dataclass
 class Bucket:
-    """Occurrences of rows, and the different contexts with their least doc_id."""
+    """Occurrences of rows, and the different contexts with their least doc_id; an anchor is one symbol of a context."""
 
     row: np.ndarray
     start: np.ndarray
     context: np.ndarray
+    left: np.ndarray
     sizes: np.ndarray
     least: np.ndarray
     keys: np.ndarray
@@ -292,20 +299,21 @@ class Bucket:
 def _gather(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Bucket]:
     """(doc_id, hash) of each row that occurs, and the bucket."""
     ids, hashes, row, start, context = [], [], [], [], []
-    number: dict[bytes, int] = {}
-    sizes, least, keys, texts = [], [], [], []
+    number: dict[tuple[int, int, bytes], int] = {}
+    lefts, sizes, least, keys, texts = [], [], [], [], []
     base = 0
     for r in rows:
-        size = np.frombuffer(r["ctx_size"], "<u2").astype(np.int64)
-        ends = np.cumsum(size).tolist()
-        data = r["ctx_bytes"]
+        left = np.frombuffer(r["ctx_left"], "u1").astype(np.int64)
+        size = left + np.frombuffer(r["ctx_right"], "u1")
+        data = zstandard.ZstdDecompressor().decompress(r["ctx_bytes"])
         own = []
-        for e, s, l, k in zip(ends, size.tolist(), np.frombuffer(r["ctx_least"], "<i8").tolist(), np.frombuffer(r["ctx_key"], "<u8").tolist(), strict=True):
+        for e, s, x, l, k in zip(np.cumsum(size).tolist(), size.tolist(), left.tolist(), np.frombuffer(r["ctx_least"], "<i8").tolist(), np.frombuffer(r["ctx_key"], "<u8").tolist(), strict=True):
             text = data[e - s : e]
-            if (n := number.get(text)) is None:
-                number[text] = n = len(texts)
+            if (n := number.get((k, x, text))) is None:
+                number[k, x, text] = n = len(texts)
                 texts.append(text)
-                sizes.append(s)
+                lefts.append(x)
+                sizes.append(s + 1)
                 least.append(l)
                 keys.append(k)
             elif l < least[n]:
@@ -317,28 +325,33 @@ def _gather(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Bucket]:
         ids.append(np.frombuffer(r["doc_ids"], np.int64))
         hashes.append(np.frombuffer(r["hashes"], np.int64))
         base += len(ids[-1])
-    whole = Bucket(*(np.concatenate(x) for x in (row, start, context)), np.array(sizes, np.int64), np.array(least, np.int64), np.array(keys, _U), np.frombuffer(b"".join(texts), np.uint8))
+    whole = Bucket(*(np.concatenate(x) for x in (row, start, context)), np.array(lefts, np.int64), np.array(sizes, np.int64), np.array(least, np.int64), np.array(keys, _U), np.frombuffer(b"".join(texts), np.uint8))
     return np.concatenate(ids), np.concatenate(hashes), whole
 
 
-def least_by_string(sizes: np.ndarray, least: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each string start of each context: the least doc_id of any context with that string."""
+def least_by_string(left: np.ndarray, sizes: np.ndarray, least: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each string start of each context: the least doc_id of any context with that string.
+
+    Contexts are their bytes with the anchor between them as one symbol of its own, so
+    a string of LENGTH bytes is BESIDE + 1 symbols.
+    """
     begins = np.cumsum(sizes + 1) - sizes - 1
     joined = np.ones(int(sizes.sum()) + len(sizes) + 1, np.int64)
-    inside = np.arange(len(text)) + np.repeat(np.arange(len(sizes)), sizes)
+    middle = begins + left
+    inside = np.ones(len(joined), bool)
+    inside[begins + sizes] = inside[middle] = inside[-1] = False
     joined[inside] = text.astype(np.int64) + 2
+    joined[middle] = 258 + np.unique(anchor, return_inverse=True)[1]
     joined[-1] = 0
-    owner = np.full(len(joined), -1)
-    owner[inside] = np.repeat(np.arange(len(sizes)), sizes)
-    strings = sizes - LENGTH + 1
+    strings = sizes - BESIDE
     starts = np.arange(int(strings.sum())) + np.repeat(begins - (np.cumsum(strings) - strings), strings)
-    is_start = np.zeros(len(joined), bool)
-    is_start[starts] = True
+    owner = np.full(len(joined), -1)
+    owner[starts] = np.repeat(np.arange(len(sizes)), strings)
     order = suffix_array(joined)
-    order = order[is_start[order]]
+    order = order[owner[order] >= 0]
     same = np.ones(len(order) - 1, bool)
     a, b = order[:-1], order[1:]
-    for k in range(LENGTH):  # neighbours whose first LENGTH bytes agree
+    for k in range(BESIDE + 1):  # neighbours whose strings agree
         live = np.flatnonzero(same)
         if not len(live):
             break
@@ -353,10 +366,10 @@ def least_by_string(sizes: np.ndarray, least: np.ndarray, text: np.ndarray) -> n
 
 def _least_of(b: Bucket) -> np.ndarray:
     """least_by_string for all contexts of a bucket, in suffix arrays of bounded size that hold whole anchors."""
-    strings = b.sizes - LENGTH + 1
+    strings = b.sizes - BESIDE
     out = np.repeat(b.least, strings)
     first = np.cumsum(strings) - strings
-    text_at = np.cumsum(b.sizes) - b.sizes
+    text_at = np.cumsum(b.sizes - 1) - b.sizes + 1
     order = np.argsort(b.keys, kind="stable")
     keys = b.keys[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
@@ -368,11 +381,11 @@ def _least_of(b: Bucket) -> np.ndarray:
         size += int(b.sizes[order[x:y]].sum())
         if size >= ARRAY_BYTES or n == len(several) - 1:
             own = np.array(held)
-            s = b.sizes[own]
+            s = b.sizes[own] - 1
             at = np.arange(int(s.sum())) + np.repeat(text_at[own] - (np.cumsum(s) - s), s)
             t = strings[own]
             to = np.arange(int(t.sum())) + np.repeat(first[own] - (np.cumsum(t) - t), t)
-            out[to] = least_by_string(s, b.least[own], b.text[at])
+            out[to] = least_by_string(b.left[own], s + 1, b.least[own], b.keys[own], b.text[at])
             held, size = [], 0
     return out
 
@@ -391,7 +404,7 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
             if not len(b.row):
                 continue
             low = _least_of(b)
-            strings = b.sizes - LENGTH + 1
+            strings = b.sizes - BESIDE
             first = np.cumsum(strings) - strings
             parts = []
             for lo in range(0, len(b.row), 100_000):
