@@ -248,8 +248,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     both = entries.select("key", "vec").mapInArrow(deal(False), dealt).unionByName(asked.select("key", "vec").mapInArrow(deal(True), dealt))
     found = both.repartition(parts, "part").mapInArrow(search, "query long, key long, score double")
-    named = found.join(entries.select("key", "ids"), "key")
-    lists = named.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("s"), "key", "ids")))), 1, k + 1).alias("found"))
+    # Each part's list is cut to the best before ids are looked up.
+    merged = found.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("s"), "key")))), 1, k + 1).alias("found"))
+    named = merged.select("query", F.explode("found").alias("f")).select("query", "f.s", "f.key").join(entries.select("key", "ids"), "key")
+    lists = named.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("s", "key", "ids"))).alias("found"))
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct(f["s"].alias("s"), i.alias("vec_id")))))
     answers = asked.join(lists, F.col("key") == F.col("query")).select("vec", F.slice(F.array_sort(flat), 1, k + 1).alias("near"))
     ranked = queries.join(answers, "vec").select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)).alias("place", "x"))
