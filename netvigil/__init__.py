@@ -1,0 +1 @@
+"""Network-telemetry analytics on PySpark."""
