@@ -47,8 +47,8 @@ BESIDE = LENGTH - GRAM
 BLOCK = 1 << 21
 #: Bits of the filter for each shared anchor, and at most (64 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 29
-#: An anchor sent by so many slices is hot; tasks over which its occurrences are dealt.
-HOT_SLICES, SALTS = 64, 16
+#: An anchor sent by so many slices (2 MB of text each) is hot; tasks over which its occurrences are dealt.
+HOT_SLICES, SALTS = 2000, 16
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1_000_000
 
@@ -56,14 +56,26 @@ _BASE = 0xD6E8FEB86659FD93
 _U = np.uint64
 
 
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse; kept for the next texts."""
+    if len(_TABLES.get("up", ())) < n:
+        size = min(max(n, 1 << 16), 2 * BLOCK) if n <= 2 * BLOCK else n
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(size, base, _U)
+            factors[0] = 1
+            _TABLES[name] = np.cumprod(factors, dtype=_U)
+    return _TABLES["up"][:n], _TABLES["down"][:n]
+
+
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial sums and the factors that make a part's hash independent of its place."""
-    powers = np.full(len(data) + 1, _BASE, _U)
-    powers[0] = 1
+    up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * np.cumprod(powers, dtype=_U)[:-1], out=total[1:])
-    powers[1:] = _U(pow(_BASE, -1, 1 << 64))
-    return total, np.cumprod(powers, dtype=_U)
+    np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=total[1:])
+    return total, down
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,8 +113,11 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> Anchors:
         if span < size:
             low = np.minimum(low[: len(low) - (size - span)], low[size - span :])
         place = (low & _U(0xFFFFFF)).astype(np.int64)
-        own_doc = np.searchsorted(at, np.arange(lo, lo + len(place)), side="right") - 1 if len(at) > 2 else np.zeros(len(place), np.int64)
-        fits = np.arange(lo, lo + len(place)) + LENGTH <= at[own_doc + 1]
+        edges = np.clip(at, lo, lo + len(place))
+        own_doc = np.repeat(np.arange(len(sizes)), np.diff(edges))
+        fits = np.ones(len(place), bool)
+        for end in at[1:][(at[1:] > lo) & (at[1:] - LENGTH + 1 < lo + len(place))].tolist():
+            fits[max(0, end - LENGTH + 1 - lo) : max(0, end - lo)] = False
         starts = np.flatnonzero(fits)
         if not len(starts):
             continue
