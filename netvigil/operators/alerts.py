@@ -104,6 +104,8 @@ def correlate(alerts: DataFrame, context: int = CONTEXT, distinct: int = DISTINC
 
 def detect_all(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, dga_scores: DataFrame | None = None) -> DataFrame:
     """Normalized events to fresh and correlated alerts."""
-    fresh = with_ids(refractory(candidates(events, cfg, asn, dga_scores)))
+    # Each is read several times below: by the filter and its join, and by correlation.
+    found = candidates(events, cfg, asn, dga_scores, thin=lambda rows: refractory(rows.persist())).persist()
+    fresh = with_ids(refractory(found)).persist()
     none = F.lit(None).cast(T.ArrayType(T.StringType()))
     return fresh.withColumns({"underlying_alert_ids": none, "classes": none}).unionByName(correlate(fresh))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -112,10 +113,16 @@ def detect_c2(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None =
     )
 
 
-def detect_recon(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+def detect_recon(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """thin: drops repeated candidates before their lists are made, which their key does not need."""
     own = _connections(events)
     gate = ((F.col("unique_dst_ports") >= cfg.recon_fanout) | (F.col("unique_dst_hosts") >= cfg.recon_fanout)) & (F.col("failure_ratio") >= cfg.recon_failures)
-    gated = feat.recon_targets(feat.recon_features(own, cfg.recon_seconds).where(gate), own, cfg.recon_seconds)
+    passed = feat.recon_features(own, cfg.recon_seconds).where(gate)
+    if thin:
+        subtype = F.when(F.col("unique_dst_ports") >= cfg.recon_fanout, "vertical_scan").otherwise("horizontal_scan")
+        keys = {"threat_class": F.lit("recon_scan"), "subtype": subtype, "aggregation_key": F.concat(F.lit("src="), "src_ip"), "detector_rank": F.lit(2)}
+        passed = thin(passed.withColumns(keys)).drop(*keys)
+    gated = feat.recon_targets(passed, own, cfg.recon_seconds)
     hosts = gated.select(F.explode("dst_hosts").alias("host")).distinct()
     known = describe(hosts, "host", asn).where("reputation = 'provider'").select("host")
     shares = gated.select("ts_us", "seq", "src_ip", F.explode("dst_hosts").alias("host"), F.size("dst_hosts").alias("n")).join(known, "host").groupBy("ts_us", "seq", "src_ip", "n").agg(F.count("*").alias("hit"))
@@ -175,10 +182,10 @@ def detect_encrypted(events: DataFrame, cfg: Config = Config(), asn: DataFrame |
     )
 
 
-def candidates(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, dga_scores: DataFrame | None = None) -> DataFrame:
+def candidates(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, dga_scores: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All detectors over normalized events."""
     asn = asn if asn is not None else empty_asn_table(events.sparkSession)
-    found = [detect_ddos(events, cfg), detect_c2(events, cfg, asn), detect_recon(events, cfg, asn), detect_exfil(events, cfg, asn), detect_dns(events, cfg, dga_scores), detect_encrypted(events, cfg, asn)]
+    found = [detect_ddos(events, cfg), detect_c2(events, cfg, asn), detect_recon(events, cfg, asn, thin), detect_exfil(events, cfg, asn), detect_dns(events, cfg, dga_scores), detect_encrypted(events, cfg, asn)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

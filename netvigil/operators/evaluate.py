@@ -51,7 +51,7 @@ def scenario_eval(events: DataFrame, alerts: DataFrame, truth: DataFrame) -> Dat
 
 def confusion_matrix(pairs: DataFrame, classes: list[str]) -> DataFrame:
     """Truth by predicted class, from (truth, predicted) rows."""
-    return pairs.groupBy("truth").pivot("predicted", classes).agg(F.count("*")).fillna(0)
+    return pairs.groupBy("truth").pivot("predicted", classes).agg(F.count(F.lit(1))).fillna(0)
 
 
 def alert_precision(pairs: DataFrame) -> DataFrame:

@@ -288,9 +288,6 @@ def f8(spark, d):
 
 
 # Evaluation.
-_TRUTH = "CASE WHEN toxic = 1 THEN 'DDoS' WHEN quality = 1 THEN 'BENIGN' ELSE ' ' END"
-
-
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "lineitem")
     return rows.select(F.struct("l_orderkey", "l_linenumber").alias("seq"), F.when(F.col("l_returnflag") == "R", "DDoS").when(F.col("l_returnflag") == "N", "BENIGN").otherwise(" ").alias("label"), F.when(F.col("l_linestatus") == "O", "1").otherwise("0").alias("syn"), F.when(F.col("l_tax") == 0, "Infinity").otherwise((F.col("l_suppkey") * 100).cast("string")).alias("duration"), F.col("l_linenumber").cast("string").alias("flow_rate"), F.col("l_partkey").cast("string").alias("orig_bytes"), F.concat((F.col("l_suppkey") % 40).cast("string"), F.lit(".0")).alias("dst_port"))
@@ -404,7 +401,7 @@ _PACKETS = """SELECT l_orderkey * 1000 + l_linenumber AS ts_us, CAST(l_orderkey
 @query("a16_flow_assembly", f"""WITH p AS ({_PACKETS.format(t="VARCHAR")}), k AS (SELECT *, CASE WHEN sport = 443 THEN dst ELSE src END AS client, CASE WHEN sport = 443 THEN dport ELSE sport END AS cport FROM p),
   f AS (SELECT client, cport, arg_min(src, ts_us) AS src_ip, sum(payload_len) FILTER (WHERE sport <> 443) AS up, sum(payload_len) FILTER (WHERE sport = 443) AS down, count(*) FILTER (WHERE sport = 443) AS dn, count(*) FILTER (WHERE sport <> 443) AS un, bool_or(tcp_flags = 18) AS synack, min(ts_us) AS ts_us, max(ts_us) - min(ts_us) AS dur, arg_min(sport, ts_us) AS fp FROM k GROUP BY client, cport)
   SELECT ts_us, src_ip, CAST(CASE WHEN fp = 443 THEN coalesce(down, 0) ELSE coalesce(up, 0) END AS BIGINT) AS orig_bytes, CAST(CASE WHEN fp = 443 THEN coalesce(up, 0) ELSE coalesce(down, 0) END AS BIGINT) AS resp_bytes, round_even(dur / 1e6, 6) AS duration,
-  CASE WHEN NOT synack AND (CASE WHEN fp = 443 THEN un ELSE dn END) = 0 THEN 'S0' WHEN synack THEN 'SF' ELSE 'OTH' END AS conn_state FROM f""")
+  CASE WHEN NOT synack AND (CASE WHEN fp = 443 THEN un ELSE dn END) = 0 THEN 'S0' WHEN synack AND coalesce(up, 0) + coalesce(down, 0) > 0 THEN 'SF' ELSE 'OTH' END AS conn_state FROM f""")
 def a16(spark, d):
     _table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
     return packets.assemble_flows(spark.sql(_PACKETS.format(t="STRING"))).select("ts_us", "src_ip", "orig_bytes", "resp_bytes", "duration", "conn_state")
