@@ -106,7 +106,9 @@ def test_decontamination(spark, docs, monkeypatch):
 
 
 def test_toxicity(spark):
-    rows = [(k, ("you are a vile grunkle. " if k % 3 == 0 else "a fine day it is. ") + f"word{k} more{k * 7}") for k in range(300)]
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows = [(k, " ".join(rng.choice(words, 25)) + (" grunkle" if k % 3 == 0 else "") + " " + " ".join(rng.choice(words, 9))) for k in range(300)]
     labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
     df = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string")
     model = toxicity.train(df, labels)
