@@ -36,7 +36,7 @@ from netvigil.llm.components import smallest_reachable
 LEAF, FAN = 16, 8
 #: Fingerprints of one block value that one task takes.
 HOT = 200_000
-#: (searching fingerprint, node) pairs looked at in one go.
+#: 64-bit words of (searching fingerprint, child) pairs looked at in one go.
 FRONT = 2_000_000
 #: Hashes whose bits are counted in one go.
 BITS = 100_000
@@ -168,7 +168,7 @@ class GrayIndex:
             found_a, found_b = [], []
             while front:
                 level, ask, node = front.pop()
-                if len(ask) > FRONT:
+                if len(ask) > max(1, FRONT // (self.codes.shape[1] * (FAN if level else LEAF))):
                     half = len(ask) // 2
                     front += [(level, ask[:half], node[:half]), (level, ask[half:], node[half:])]
                     continue
