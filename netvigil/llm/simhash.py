@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,31 +39,33 @@ LEAF, FAN = 16, 8
 HOT = 200_000
 #: 64-bit words of (searching fingerprint, child) pairs looked at in one go.
 FRONT = 2_000_000
+#: Links that a search holds before it joins classes by them.
+HELD = 500_000
 #: Hashes whose bits are counted in one go.
 BITS = 100_000
+#: Texts, and UTF-8 bytes of them, whose hashes are held in one go; one longer text is held alone.
+TEXTS, TEXT_BYTES = 1024, 8_000_000
 
 
-def shingle_hashes(text: str, width: int) -> list[int]:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
     """XXH64 of each shingle, with repeats."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
     if len(words) <= width:
-        return [xxh64_intdigest(b" ".join(words), 42)]
+        return np.array([xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
     whole = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes)
     starts, stops = (ends - sizes)[: len(words) - width + 1].tolist(), (ends - 1)[width - 1 :].tolist()
-    return [xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)]
+    return np.fromiter((xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
 
 
 def fingerprints_of(texts: list[str | None], width: int = 4, words: int = 1) -> np.ndarray:
     """The fingerprint of each text: a row of 64-bit words, the first from the hashes themselves."""
     hashes = [shingle_hashes(t or "", width) for t in texts]
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    joined = np.fromiter((h for own in hashes for h in own), np.uint64, int(counts.sum()))
+    joined = np.concatenate([np.zeros(0, np.uint64), *hashes])
     return np.stack([_majorities(joined if k == 0 else mix(joined + np.uint64(k)), counts) for k in range(words)], 1)
 
 
@@ -97,8 +100,12 @@ def with_fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, side="right"))
+                part = batch.slice(at, min(max(end - at, 1), TEXTS))
+                at += part.num_rows
                 found = fingerprints_of(part.column(1).to_pylist(), width, words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.tolist(), pa.list_(pa.int64()))], ["doc_id", "fp"])
 
@@ -156,16 +163,21 @@ class GrayIndex:
         self.root = np.searchsorted(first, np.arange(len(codes)), side="right") - 1
 
     def forest(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position, position) links, in the given order, that join all codes within the limit."""
+        """(position, position) links, in the given order, that join all codes within the limit.
+
+        Neighbours in Gray order are joined first: a large group of near copies is then
+        a few classes, which searches leave out whole.
+        """
         n = len(self.codes)
         label = np.arange(n)
-        a_out, b_out = [], []
+        beside = np.flatnonzero(np.bitwise_count(self.codes[1:] ^ self.codes[:-1]).sum(1, dtype=np.int64) <= limit)
+        label = _joined(label, beside, beside + 1)
         step = 4096
         for lo in range(0, n, step):
             asks = np.arange(lo, min(n, lo + step))
             common = self._common(label)
             front = [(len(self.levels) - 1, asks, self.root[asks])]
-            found_a, found_b = [], []
+            found_a, found_b, held = [], [], 0
             while front:
                 level, ask, node = front.pop()
                 if len(ask) > max(1, FRONT // (self.codes.shape[1] * (FAN if level else LEAF))):
@@ -185,6 +197,11 @@ class GrayIndex:
                 near = (label[child] != label[ask]) & (np.bitwise_count(self.codes[ask] ^ self.codes[child]).sum(1, dtype=np.int64) <= limit)
                 found_a.append(ask[near])
                 found_b.append(child[near])
+                held += len(found_a[-1])
+                if held > HELD:
+                    label = _joined(label, np.concatenate(found_a), np.concatenate(found_b))
+                    common = self._common(label)
+                    found_a, found_b, held = [], [], 0
             a, b = np.concatenate(found_a or [asks[:0]]), np.concatenate(found_b or [asks[:0]])
             if len(a):
                 label = _joined(label, a, b)
