@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netvigil.llm import decontam, packing, simhash, substrings, toxicity
+from netvigil.llm import alike, decontam, packing, substrings, toxicity
 from netvigil.llm.common import stored, table
 
 
@@ -62,12 +62,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of alike documents (five-word shingles, similarity 0.8) the smallest doc_id stays.
+    """Of each class of alike documents (sets of five-word shingles, exact similarity of 0.8 or more) the smallest doc_id stays.
 
     Documents without words are no copies of each other and all stay; so do rows without doc_id.
     """
-    classes = simhash.alike(docs.select("doc_id", "text"))
-    gone = classes.where(F.exists("fp", lambda w: w != 0)).where("component_id < doc_id").select("doc_id").distinct()
+    gone = alike.copies(docs.select("doc_id", "text")).where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     doubled = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")

@@ -20,7 +20,6 @@ links but kept (its own class null); other columns are ignored; no rows give no
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -135,11 +134,6 @@ def block_masks(limit: int, extra: int) -> list[tuple[int, int]]:
     return [(0, sum(c)) for c in combinations(blocks, 1 + extra)]
 
 
-def sampled_masks(words: int, bits: int) -> list[tuple[int, int]]:
-    """(word, mask) of all blocks of so many bits, for codes of several words that are only likely to share one."""
-    return [(w, ((1 << bits) - 1) << a) for w in range(words) for a in range(0, 64 - bits + 1, bits)]
-
-
 class GrayIndex:
     """Groups of codes in Gray order within their keys, with the bits that each group shares."""
 
@@ -275,17 +269,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFram
     return _classed(stored(with_fingerprints(docs, width), "codes"), limit, None)
 
 
-def alike(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4, bits: int = 12) -> DataFrame:
-    """(doc_id, fp, component_id) of every row, by estimated Jaccard similarity of shingles.
-
-    Sets of about one size with similarity s have the cosine 2s / (1 + s), and codes
-    that differ in its angle's share of bits. Links are looked for among codes that
-    share one of many blocks of ``bits`` bits; at 0.85 of four words 98 in 100 do.
-    """
-    limit = int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    return _classed(stored(with_fingerprints(docs, width, words), "codes"), limit, sampled_masks(words, bits))
-
-
 def _classed(codes: DataFrame, limit: int, masks: list[tuple[int, int]] | None) -> DataFrame:
     classes = linked_classes(codes, limit, masks)
     return codes.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

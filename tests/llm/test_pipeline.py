@@ -97,3 +97,35 @@ def test_pack_and_empty(spark, docs, tables):
     none = docs.where("false")
     for stage in (pipeline.drop_near_duplicates, pipeline.cut_repeats, pipeline.cut_benchmark, pipeline.pack):
         assert stage(spark, none, tables).count() == 0
+
+
+def test_near_duplicates_are_exact(spark, tables):
+    rng = np.random.default_rng(3)
+    word = lambda: bytes(rng.integers(97, 123, 6, dtype=np.uint8)).decode()
+    line = " ".join(word() for _ in range(12))
+    texts = []
+    for k in range(60):  # copies on both sides of the limit, and chains of them
+        base = [word() for _ in range(int(rng.integers(60, 300)))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            base = list(base)
+            for at in rng.choice(len(base), max(1, len(base) * int(rng.integers(15, 32)) // 1000), False):
+                base[at] = word()
+            texts.append(" ".join(base))
+        if k % 4 == 0:  # one much repeated line, else nothing in common
+            texts.append(" ".join([line] * 30 + [word() for _ in range(60)]))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    alike = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    while True:
+        new = np.array([label[row].min() for row in alike])
+        if (new == label).all():
+            break
+        label = new
+    assert 60 < len(set(label.tolist())) < 0.8 * len(texts)
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    got = sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, df, tables).collect())
+    assert got == sorted(set(label.tolist()))
