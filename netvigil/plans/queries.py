@@ -117,7 +117,7 @@ def c5(spark, d):
   SELECT seq, string_agg(dst_ip, ',' ORDER BY dst_ip) AS dst_hosts, first(dst_ip ORDER BY failed / n DESC, failed DESC, dst_ip) AS anchor_dst FROM hosts GROUP BY seq""")
 def c5_targets(spark, d):
     events = telemetry(spark, d)
-    gated = features.recon_features(events).where("unique_dst_ports >= 12 AND failure_ratio >= 0.5 AND seq % 50 = 0")
+    gated = features.recon_features(events).where("unique_dst_ports >= 12 AND failure_ratio >= 0.5")
     return features.recon_targets(gated, events).select("seq", F.array_join("dst_hosts", ",").alias("dst_hosts"), "anchor_dst")
 
 

@@ -179,3 +179,22 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_features_of_nothing(spark):
     assert features.ddos_features(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_recon_targets_of_every_gated_event(spark, monkeypatch):
+    from netvigil.plans import queries
+
+    rng = random.Random(2)
+    rows = [event(i, 1000 + i * 0.5, src_ip=f"10.60.0.{rng.randrange(2)}", dst_ip=f"203.0.113.{rng.randrange(12)}", dst_port=1000 + rng.randrange(40), conn_state=rng.choice(["S0", "REJ", "S0", "SF"])) for i in range(160)]
+    monkeypatch.setattr(queries, "telemetry", lambda spark, d: spark.createDataFrame(rows, COLUMNS))
+    got = {r.seq: (r.dst_hosts, r.anchor_dst) for r in queries.QUERIES["c5_recon_targets"](spark, "").collect()}
+    want = {}
+    for row in rows:
+        e = dict(zip([c.split()[0] for c in COLUMNS.split(", ")], row))
+        own = [r for r in rows if r[3] == e["src_ip"] and e["ts_us"] - 30_000_000 <= r[1] and (r[1], r[0]) <= (e["ts_us"], e["seq"])]
+        failed = [r for r in own if r[10] in ("S0", "REJ")]
+        if len({r[6] for r in own}) < 12 or round(len(failed) / len(own), 2) < 0.5:
+            continue
+        hosts = {h: (sum(r[5] == h for r in failed), sum(r[5] == h for r in own)) for h in {r[5] for r in own}}
+        want[e["seq"]] = (",".join(sorted(hosts)), min(hosts, key=lambda h: (-hosts[h][0] / hosts[h][1], -hosts[h][0], h)))
+    assert len(want) > 50 and any(k % 50 for k in want) and got == want
