@@ -78,8 +78,11 @@ KNOWN = [
     ("WTFPL", "This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar."),
 ]
 
-#: A line that only states a copyright.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
+# Lines that licence files carry above the text.
+TITLES = {"ISC": ["ISC License", "The ISC License", "ISC License (ISC)"], "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"]}
+
+#: A line that only states a copyright: a sign, a year or a holder follows the word, not the rest of a sentence about it.
+COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright(?=[ \t:,]*(\(c\)|©|[0-9]{4})|[ \t:,]+(?!(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in|is|to|of|for|the above)\b)[^ \t\n])|\(c\)|©)[^\n]*"
 #: ASCII marks and white space but the line end.
 MARKS = r"[\x00-\x09\x0B-/:-@\[-`{-\x7F]+"
 ONE_WORD = [(a, b) for a, b in SPELLINGS if " " not in a]
@@ -112,8 +115,9 @@ def canonical(text: Column) -> Column:
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    """The notices and licences that this module knows."""
-    rows = F.array(*[F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in KNOWN])
+    """The notices and licences that this module knows, whole licences also under their titles."""
+    titled = [(a, f"{t}\n{b}") for a, b in KNOWN if b.startswith("Permission ") for t in TITLES.get(a, [])]
+    rows = F.array(*[F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in [*KNOWN, *titled]])
     return spark.range(1).select(F.inline(rows))
 
 

@@ -164,3 +164,23 @@ def test_token_files(spark, docs, none, monkeypatch):
     assert huffman.read_digests(spark, huffman.write_token_files(none)).count() == 0
     bits = huffman.code_bits(np.array([1, 1, 2, 3, 5, 8, 1000]), 4)
     assert bits.max() <= 4 and (2.0**-bits).sum() == 1
+
+
+def test_whole_license_files(spark):
+    import textwrap
+
+    isc, mit = (next(t for k, t in license.KNOWN if k == name and t.startswith("Permission")) for name in ("ISC", "MIT"))
+    head, rest = isc.split("copyright notice and", 1)
+    wrapped = f"{head.strip()}\ncopyright notice and{rest}"
+    rows = [
+        (1, "Copyright (c) 2020, Some One\n\n" + wrapped),
+        (2, "ISC License\n\nCopyright 2020 Some One\n\n" + textwrap.fill(isc, 76)),
+        (3, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + textwrap.fill(mit, 78)),
+        (4, "The MIT License (MIT)\n\nCopyright Some One and others\n\n" + textwrap.fill(mit, 70)),
+        (5, "Copyright: (c) Some One\n" + mit),
+        (6, "# Copyright © 2020\nMIT License\n\nmy own words\n" + mit),
+    ]
+    rows += [(100 + w, "ISC License\nCopyright (c) 2020 Me\n" + textwrap.fill(isc, w)) for w in range(40, 100)]
+    got = {r.doc_id: r.license_id for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license.registry(spark)).collect()}
+    assert [got[k] for k in range(1, 7)] == ["ISC", "ISC", "MIT", "MIT", "MIT", None]
+    assert {got[100 + w] for w in range(40, 100)} == {"ISC"}
