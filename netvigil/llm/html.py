@@ -69,7 +69,15 @@ class Page:
 
 def _signature(tag: str, attributes: str) -> str:
     words = sorted({w.lower() for _, v in _NAMED.findall(attributes) for w in v.strip("\"'").split()}) if attributes else []
-    return ".".join([tag, *[w.replace(" ", "") for w in words[:6]]])
+    if len(words) > 6:  # words that tell nothing by themselves become one
+        rest = [w for w in words if not (_drops(w) or w in MAIN_WORDS)]
+        short = ["x" + blake2b(" ".join(rest).encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()] if rest else []
+        words = [w for w in words if _drops(w) or w in MAIN_WORDS] + short
+    return ".".join([tag, *words])
+
+
+def _drops(word: str) -> bool:
+    return word in DROPPED_WORDS or any(p in DROPPED_WORDS for p in re.split("[-_]+", word))
 
 
 def tokens_of(html: str) -> tuple[list[str], list[str]]:
@@ -214,7 +222,7 @@ def _bare(tokens: list[str]) -> list[str]:
 
 def _dropped(token: str) -> bool:
     tag, *words = token[1:].split(".")
-    return tag in DROPPED or any(w in DROPPED_WORDS or any(p in DROPPED_WORDS for p in re.split("[-_]+", w)) for w in words)
+    return tag in DROPPED or any(map(_drops, words))
 
 
 def _main(token: str) -> bool:

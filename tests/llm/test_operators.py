@@ -184,3 +184,11 @@ def test_whole_license_files(spark):
     got = {r.doc_id: r.license_id for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), license.registry(spark)).collect()}
     assert [got[k] for k in range(1, 7)] == ["ISC", "ISC", "MIT", "MIT", "MIT", None]
     assert {got[100 + w] for w in range(40, 100)} == {"ISC"}
+
+
+def test_html_of_many_classes(spark):
+    many = "absolute bg-white border flex gap-2 items-center justify-between"
+    page = lambda i: f"<html><body><div class='{many} sidebar'><p>Links of the side {i}</p></div><div class='{many} social-box'><p>Follow us {i}</p></div><div class='{many} story'><p>The story number {i} goes on for a while.</p></div><div class='{many} z-10'><p>Other things of the page {i}</p></div></body></html>"
+    rows = [(i, f"http://a.b/{i}", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"The story number {i} goes on for a while." for i in range(3)}
