@@ -198,3 +198,13 @@ def test_recon_targets_of_every_gated_event(spark, monkeypatch):
         hosts = {h: (sum(r[5] == h for r in failed), sum(r[5] == h for r in own)) for h in {r[5] for r in own}}
         want[e["seq"]] = (",".join(sorted(hosts)), min(hosts, key=lambda h: (-hosts[h][0] / hosts[h][1], -hosts[h][0], h)))
     assert len(want) > 50 and any(k % 50 for k in want) and got == want
+
+
+def test_replay_report_counts_alerts(spark, monkeypatch):
+    from netvigil.plans import queries
+
+    rows = SCENARIOS["exfil"][0]
+    monkeypatch.setattr(queries, "telemetry", lambda spark, d: spark.createDataFrame(rows, COLUMNS))
+    got = {(r.what, r.name): r.n for r in queries.QUERIES["g19_replay_report"](spark, "").collect()}
+    alerts_found = detectors.detect_exfil(spark.createDataFrame(rows, COLUMNS)).groupBy("threat_class", "subtype").count().collect()
+    assert alerts_found and got == {("kind", "conn"): 5, ("span_s", ""): 4, **{("alert", f"{r.threat_class}/{r.subtype}"): r["count"] for r in alerts_found}}
