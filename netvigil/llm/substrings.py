@@ -7,16 +7,21 @@ have equal anchors. The steps, all as Spark jobs:
 
 1. Each task sends the hashes of its anchors, marked if several of its documents have
    them; those of more than one document go into a Bloom filter of bounded size. A
-   false match costs work, nothing else. Anchors that very many tasks send are hot.
+   false match costs work, nothing else. Anchors that very many slices send are hot.
 2. Documents are read again. An anchor that passes the filter gives its occurrence
-   and, once for each task, its context: the bytes of the strings that it stands for,
-   with the smallest doc_id there. They are dealt by anchor; the occurrences of a hot
-   anchor are dealt over ``SALTS`` tasks, each of which gets all its contexts.
-3. A task orders all suffixes of the different contexts of its anchors by linear
-   grouping (``grouping.suffix_array``; the anchor, which all strings of a context
-   hold, is one symbol), cuts the order where neighbours differ in their strings, takes the smallest doc_id of each piece, and gives
-   every occurrence the strings with a smaller one. An anchor with one single context
-   needs no order.
+   and, once for each slice, its context: the bytes of the strings that it stands for,
+   with the smallest doc_id there. They are dealt by anchor over buckets whose number
+   follows from the bytes of all texts, so that a bucket has a bounded share of them.
+   A hot anchor's strings are contexts of their own, dealt by their bytes; their
+   occurrences go to one of ``SALTS`` buckets, each of which gets those contexts.
+3. A task takes one bucket at a time. Contexts are one where all their bytes are equal.
+   It orders all suffixes of the different contexts of its anchors by linear grouping
+   (``grouping.suffix_array``; the anchor, which all strings of a context hold, is one
+   symbol), cuts the order where neighbours differ in their strings, takes the smallest
+   doc_id of each piece, and gives every occurrence the strings with a smaller one. An
+   anchor with one single context needs no order; one with too many for an array is
+   taken string by string. Hashes only bring rows together: anchors, contexts and
+   strings are told apart by their bytes.
 4. Spans meet their documents, are merged, and the bytes under them are dropped.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``LENGTH`` keep
@@ -38,19 +43,25 @@ from pyspark.sql import functions as F
 
 from netvigil.llm.common import only, stored, table
 from netvigil.llm.decontam import slices, text_bytes
-from netvigil.llm.grouping import suffix_array
+from netvigil.llm.grouping import suffix_arrays
 
 LENGTH, GRAM = 50, 28
 #: Bytes of a string beside its anchor.
 BESIDE = LENGTH - GRAM
 #: Window starts that are looked at in one go.
-BLOCK = 1 << 21
+BLOCK = 1 << 17
+#: Bytes of text whose anchors a task sends together, and of text for each bucket, of which at most a power of two are made.
+SLICE, BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 8_000_000, 18
+#: Bytes of the longest context: all strings over one anchor.
+WIDTH = LENGTH + LENGTH - GRAM
+#: Occurrences whose strings are looked up in one go.
+OCCURRENCES = 50_000
 #: Bits of the filter for each shared anchor, and at most (64 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 29
-#: An anchor sent by so many slices (2 MB of text each) is hot; tasks over which its occurrences are dealt.
-HOT_SLICES, SALTS = 2000, 16
-#: Bytes of contexts in one suffix array.
-ARRAY_BYTES = 1_000_000
+#: An anchor sent by so many slices is hot; buckets over which the occurrences of its strings are dealt.
+HOT_SLICES, SALTS = 1000, 16
+#: Symbols of one suffix array.
+ARRAY_BYTES = 150_000
 
 _BASE = 0xD6E8FEB86659FD93
 _U = np.uint64
@@ -62,7 +73,7 @@ _TABLES: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse; kept for the next texts."""
     if len(_TABLES.get("up", ())) < n:
-        size = min(max(n, 1 << 16), 2 * BLOCK) if n <= 2 * BLOCK else n
+        size = max(n, 1 << 16)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             factors = np.full(size, base, _U)
             factors[0] = 1
@@ -94,11 +105,10 @@ class Anchors:
     last: np.ndarray
     place: np.ndarray
     key: np.ndarray
-    context: np.ndarray
 
 
 def anchors_of(data: np.ndarray, at: np.ndarray) -> Anchors:
-    """The anchors of all strings inside the texts; context is a hash of a run's bytes."""
+    """The anchors of all strings inside the texts."""
     sizes = np.diff(at)
     out = []
     for lo in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
@@ -124,11 +134,11 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> Anchors:
         p = place[starts]
         new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         first, last = starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
-        content = mix((total[last + LENGTH] - total[first]) * turn[first] + (last - first).astype(_U))
-        out.append((own_doc[first], first + lo, last + lo, p[new] + lo, grams[p[new]], content))
+        # An anchor's hash is the least of many; spread anew, keys fill all buckets alike.
+        out.append((own_doc[first], first + lo, last + lo, p[new] + lo, mix(grams[p[new]])))
     if not out:
         none = np.zeros(0, np.int64)
-        return Anchors(none, none, none, none, none.astype(_U), none.astype(_U))
+        return Anchors(none, none, none, none, none.astype(_U))
     return Anchors(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
@@ -147,12 +157,12 @@ def _from_six(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view(">u8").astype(_U)
 
 
-def shared_anchors(docs: DataFrame, buckets: int, hot_slices: int = HOT_SLICES) -> DataFrame:
+def shared_anchors(docs: DataFrame, buckets: int, tasks: int, hot_slices: int = HOT_SLICES) -> DataFrame:
     """(bucket, n, shared, hot): 48-bit keys that more than one row has, and those that very many slices have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 data, at = text_bytes(part.column(1))
                 found = anchors_of(data, at)
                 order = np.argsort(found.key, kind="stable")
@@ -167,20 +177,15 @@ def shared_anchors(docs: DataFrame, buckets: int, hot_slices: int = HOT_SLICES)
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([_six(k[~s]) for _, k, s in rows], pa.binary()), pa.array([_six(k[s]) for _, k, s in rows], pa.binary())], ["bucket", "single", "several"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
-        for batch in batches:
-            for b, single, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = held.setdefault(b, ([], []))
-                own[0].append(single)
-                own[1].append(several)
-        for b, (single, several) in held.items():
+        for b, rows in _by_bucket(batches):
+            single, several = zip(*rows, strict=True)
             twice = _from_six(b"".join(several))
             key, n = np.unique(np.concatenate([_from_six(b"".join(single)), twice]), return_counts=True)
             shared = key[(n > 1) | np.isin(key, twice)]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(shared)], pa.int64()), pa.array([_six(shared << _U(16))], pa.binary()), pa.array([_six(key[n >= hot_slices] << _U(16))], pa.binary())], ["bucket", "n", "shared", "hot"])
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, single binary, several binary")
-    return stored(sent.repartition(max(1, buckets // 2), "bucket").mapInArrow(meet, "bucket int, n long, shared binary, hot binary"), "anchors")
+    return stored(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, n long, shared binary, hot binary"), "anchors")
 
 
 @dataclass
@@ -233,139 +238,178 @@ def filter_of(shared: DataFrame, buckets: int) -> Filter:
     return Filter(buckets, block, out, _from_six(b"".join(hot)))
 
 
-_PACKED = "bucket int, doc_ids binary, hashes binary, occ_doc binary, occ_start binary, occ_context binary, ctx_left binary, ctx_right binary, ctx_least binary, ctx_key binary, ctx_bytes binary"
+def records_of(data: np.ndarray, first: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """A row of ``WIDTH`` bytes for each context: its bytes, then zeros."""
+    padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[first]
+    out[np.arange(WIDTH) >= (LENGTH + span)[:, None]] = 0
+    return out
+
+
+def record_hash(records: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """A hash of each row; it puts equal rows side by side and proves nothing."""
+    factors = mix(np.arange(1, WIDTH // 8 + 1, dtype=_U)) | _U(1)
+    return mix((np.ascontiguousarray(records).view("<u8").astype(_U) * factors).sum(1, dtype=_U) ^ mix(extra.astype(_U)))
+
+
+def same_records(records: np.ndarray, left: np.ndarray, span: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number): one row of each run of equal contexts in hash order, and the run of every row.
+
+    Rows are equal only byte by byte. Equal rows that a collision keeps apart stay two
+    contexts, which costs work and changes no result.
+    """
+    order = np.argsort(hashes, kind="stable")
+    rows = np.ascontiguousarray(records[order]).view("<u8")
+    new = np.ones(len(order), bool)
+    new[1:] = (left[order][1:] != left[order][:-1]) | (span[order][1:] != span[order][:-1]) | (rows[1:] != rows[:-1]).any(1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _less(values: np.ndarray) -> bytes:
+    """Integers as the bytes of their differences, lowest bytes of all first."""
+    steps = np.diff(values, prepend=0).astype("<i8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _pack(bucket: int, docs: np.ndarray, hashes: np.ndarray, occ: tuple[np.ndarray, ...], ctx: tuple[np.ndarray, ...], data: np.ndarray) -> list:
-    """One row: occurrences (doc, start, context) and contexts (number, bytes left and right of the anchor, least, key, first byte)."""
+def _more(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).view("<i8").reshape(-1)) if n else np.zeros(0, np.int64)
+
+
+def _pack(doc_ids: np.ndarray, hashes: np.ndarray | None, occ: tuple[np.ndarray, ...], ctx: tuple[np.ndarray, ...]) -> bytes:
+    """Occurrences (document, start, context) and contexts (left, span, least document, record) of one bucket."""
     doc, start, context = occ
-    number, left, right, least, key, first = ctx
-    used, doc = np.unique(doc, return_inverse=True)
-    context = np.searchsorted(number, context)
-    size = left + right
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    at = np.repeat(first, size) + step + np.where(step < np.repeat(left, size), 0, GRAM)
-    return [bucket, docs[used].tobytes(), hashes[used].tobytes(), doc.astype("<u4").tobytes(), start.astype("<u4").tobytes(), context.astype("<u4").tobytes(), left.astype("u1").tobytes(), right.astype("u1").tobytes(), least.astype("<i8").tobytes(), key.astype("<u8").tobytes(), zstandard.ZstdCompressor(1).compress(data[at].tobytes())]
+    left, span, least, record = ctx
+    used, doc = np.unique(np.concatenate([doc, least]), return_inverse=True)
+    doc, least = doc[: len(start)], doc[len(start) :]
+    size = np.arange(WIDTH) < (LENGTH + span)[:, None]
+    parts = [_less(doc_ids[used]), hashes[used].tobytes() if hashes is not None else b"", _less(doc), _less(start), _less(context), left.astype("u1").tobytes(), span.astype("u1").tobytes(), _less(least), record[size].tobytes()]
+    head = np.array([len(used), len(start), len(left), *map(len, parts)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(1).compress(head + b"".join(parts))
+
+
+def _unpack(blob: bytes) -> tuple:
+    """(doc_ids, hashes, occurrences, contexts) as ``_pack`` was given them; documents by place in doc_ids."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n_docs, n_occ, n_ctx, *sizes = np.frombuffer(data[:48], "<u4").tolist()
+    ends = np.cumsum([48, *sizes]).tolist()
+    parts = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    left, span = (np.frombuffer(x, "u1").astype(np.int64) for x in parts[5:7])
+    record = np.zeros((n_ctx, WIDTH), np.uint8)
+    record[np.arange(WIDTH) < (LENGTH + span)[:, None]] = np.frombuffer(parts[8], np.uint8)
+    hashes = np.frombuffer(parts[1], "<i8") if parts[1] else np.zeros(n_docs, np.int64)
+    return _more(parts[0], n_docs), hashes, tuple(_more(p, n_occ) for p in parts[2:5]), (left, span, _more(parts[7], n_ctx), record)
+
+
+def deal(data: np.ndarray, at: np.ndarray, doc_ids: np.ndarray, hashes: np.ndarray | None, known: Filter, salt: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed occurrences and contexts) of a slice's anchors that pass the filter."""
+    found = anchors_of(data, at)
+    keep = np.flatnonzero(known.passes(found.key))
+    if not len(keep):
+        return []
+    doc, first, last, place, key = (x[keep] for x in (found.doc, found.first, found.last, found.place, found.key))
+    hot = known.is_hot(key)
+    home = _buckets(key, known.buckets)
+    if hot.any():  # each string of a hot anchor is a context of its own, dealt by its bytes
+        times = np.where(hot, last - first + 1, 1)
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        doc, place, hot, home = (np.repeat(x, times) for x in (doc, place, hot, home))
+        first = np.repeat(first, times) + step
+        last = np.where(hot, first, np.repeat(last, times))
+    left, span = place - first, last - first
+    record = records_of(data, first, span)
+    content = record_hash(record, left * LENGTH + span)
+    home = np.where(hot, _buckets(content, known.buckets), home)
+    one, which = same_records(record, left, span, content)
+    low = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(low, which, doc_ids[doc])
+    least = np.empty(len(one), np.int64)
+    holds = doc_ids[doc] == low[which]
+    least[which[holds]] = doc[holds]
+    spread = np.arange(SALTS) * max(1, known.buckets // SALTS)
+    occ_home = np.where(hot, (home + spread[salt % SALTS]) % known.buckets, home)
+    many = np.flatnonzero(hot[one])
+    extra = np.unique(np.stack([np.repeat(many, SALTS), (home[one[many]][:, None] + spread).reshape(-1) % known.buckets], 1), axis=0)
+    cold = np.flatnonzero(~hot[one])
+    ctx, ctx_home = np.concatenate([cold, extra[:, 0]]), np.concatenate([home[one[cold]], extra[:, 1]])
+    order = np.lexsort((one[ctx], ctx_home))  # in the order of their first occurrences
+    ctx, ctx_home = ctx[order], ctx_home[order]
+    occ = np.argsort(occ_home, kind="stable")
+    occ_home = occ_home[occ]
+    out, number = [], np.empty(len(one), np.int64)
+    for b in np.unique(ctx_home).tolist():
+        x, y = np.searchsorted(ctx_home, [b, b + 1])
+        p, q = np.searchsorted(occ_home, [b, b + 1])
+        o, c = occ[p:q], ctx[x:y]
+        number[c] = np.arange(len(c))
+        f = one[c]
+        out.append((b, _pack(doc_ids, hashes, (doc[o], first[o] - at[doc[o]], number[which[o]]), (left[f], span[f], least[c], record[f]))))
+    return out
 
 
-def packed_contexts(docs: DataFrame, known: Filter) -> DataFrame:
-    """Occurrences and contexts of the anchors that pass the filter."""
+def packed_contexts(docs: DataFrame, known: Filter, doubled: bool) -> DataFrame:
+    """(bucket, packed): occurrences and contexts of the anchors that pass the filter; hashes only where doc_ids repeat."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    names = [x.split()[0] for x in _PACKED.split(", ")]
-    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         turn = 0
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 turn += 1
                 data, at = text_bytes(part.column(1))
-                found = anchors_of(data, at)
-                keep = np.flatnonzero(own.passes(found.key))
-                if not len(keep):
-                    continue
-                doc, first, last, place, key, content = (x[keep] for x in (found.doc, found.first, found.last, found.place, found.key, found.context))
-                doc_ids, hashes = part.column(0).to_numpy(), part.column(2).to_numpy()
-                context, one, which = np.unique(content ^ mix(key), return_index=True, return_inverse=True)
-                least = np.full(len(context), np.iinfo(np.int64).max)
-                np.minimum.at(least, which, doc_ids[doc])
-                home = _buckets(key, own.buckets)
-                hot = own.is_hot(key)
-                salt = (turn + int(doc_ids[0])) % SALTS
-                occ_home = np.where(hot, (home + salt * (own.buckets // SALTS or 1)) % own.buckets, home)
-                ctx_home = home[one]
-                many = np.flatnonzero(hot[one])
-                all_salts = np.arange(SALTS) * (own.buckets // SALTS or 1)
-                extra_home = np.unique(np.stack([np.repeat(many, SALTS), (ctx_home[many][:, None] + all_salts).reshape(-1) % own.buckets], 1), axis=0) if len(many) else np.zeros((0, 2), np.int64)
-                cold = np.flatnonzero(~hot[one])
-                ctx_row = np.concatenate([cold, extra_home[:, 0]])
-                ctx_home = np.concatenate([ctx_home[cold], extra_home[:, 1]])
-                order = np.lexsort((ctx_row, ctx_home))
-                ctx_row, ctx_home = ctx_row[order], ctx_home[order]
-                occ_order = np.argsort(occ_home, kind="stable")
-                occ_home = occ_home[occ_order]
-                rows = []
-                for b in np.unique(ctx_home):
-                    x, y = np.searchsorted(ctx_home, [b, b + 1])
-                    p, q = np.searchsorted(occ_home, [b, b + 1])
-                    o, c = occ_order[p:q], ctx_row[x:y]
-                    f = one[c]
-                    rows.append(_pack(int(b), doc_ids, hashes, (doc[o], first[o] - at[doc[o]], which[o]), (c, place[f] - first[f], last[f] - place[f] + BESIDE, least[c], key[f], first[f]), data))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.mapInArrow(run, _PACKED)
+                doc_ids = part.column(0).to_numpy()
+                rows = deal(data, at, doc_ids, part.column(2).to_numpy() if doubled else None, sent.value, turn + int(doc_ids[0]) if len(doc_ids) else 0)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "packed"])
+
+    return docs.mapInArrow(run, "bucket int, packed binary")
+
+
+def _anchor_numbers(records: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A number for each context's anchor, the same for the same bytes and no others."""
+    grams = np.lib.stride_tricks.sliding_window_view(records, GRAM, axis=1)[np.arange(len(left)), left]
+    words = np.zeros((len(left), 32), np.uint8)
+    words[:, :GRAM] = grams
+    words = words.view("<u8")
+    keys = mix((words.astype(_U) * (mix(np.arange(1, 5, dtype=_U)) | _U(1))).sum(1, dtype=_U))
+    order = np.argsort(keys, kind="stable")
+    turns = keys[order][1:] != keys[order][:-1]
+    if ((words[order][1:] != words[order][:-1]).any(1) & ~turns).any():  # two anchors with one hash
+        return np.unique(words, axis=0, return_inverse=True)[1].reshape(-1)
+    out = np.empty(len(left), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(turns)])
+    return out
 
 
-@dataclass
-class Bucket:
-    """Occurrences of rows, and the different contexts with their least doc_id; an anchor is one symbol of a context."""
-
-    row: np.ndarray
-    start: np.ndarray
-    context: np.ndarray
-    left: np.ndarray
-    sizes: np.ndarray
-    least: np.ndarray
-    keys: np.ndarray
-    text: np.ndarray
-
-
-def _gather(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Bucket]:
-    """(doc_id, hash) of each row that occurs, and the bucket."""
-    ids, hashes, row, start, context = [], [], [], [], []
-    number: dict[tuple[int, int, bytes], int] = {}
-    lefts, sizes, least, keys, texts = [], [], [], [], []
-    base = 0
-    for r in rows:
-        left = np.frombuffer(r["ctx_left"], "u1").astype(np.int64)
-        size = left + np.frombuffer(r["ctx_right"], "u1")
-        data = zstandard.ZstdDecompressor().decompress(r["ctx_bytes"])
-        own = []
-        for e, s, x, l, k in zip(np.cumsum(size).tolist(), size.tolist(), left.tolist(), np.frombuffer(r["ctx_least"], "<i8").tolist(), np.frombuffer(r["ctx_key"], "<u8").tolist(), strict=True):
-            text = data[e - s : e]
-            if (n := number.get((k, x, text))) is None:
-                number[k, x, text] = n = len(texts)
-                texts.append(text)
-                lefts.append(x)
-                sizes.append(s + 1)
-                least.append(l)
-                keys.append(k)
-            elif l < least[n]:
-                least[n] = l
-            own.append(n)
-        row.append(np.frombuffer(r["occ_doc"], "<u4").astype(np.int64) + base)
-        start.append(np.frombuffer(r["occ_start"], "<u4").astype(np.int64))
-        context.append(np.array(own, np.int64)[np.frombuffer(r["occ_context"], "<u4")])
-        ids.append(np.frombuffer(r["doc_ids"], np.int64))
-        hashes.append(np.frombuffer(r["hashes"], np.int64))
-        base += len(ids[-1])
-    whole = Bucket(*(np.concatenate(x) for x in (row, start, context)), np.array(lefts, np.int64), np.array(sizes, np.int64), np.array(least, np.int64), np.array(keys, _U), np.frombuffer(b"".join(texts), np.uint8))
-    return np.concatenate(ids), np.concatenate(hashes), whole
-
-
-def least_by_string(left: np.ndarray, sizes: np.ndarray, least: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.ndarray:
+def least_by_string(left: np.ndarray, span: np.ndarray, least: np.ndarray, anchor: np.ndarray, records: np.ndarray) -> np.ndarray:
     """For each string start of each context: the least doc_id of any context with that string.
 
-    Contexts are their bytes with the anchor between them as one symbol of its own, so
-    a string of LENGTH bytes is BESIDE + 1 symbols.
+    Contexts of one anchor lie side by side and form a text: their bytes with the anchor
+    between them as one symbol, so a string of LENGTH bytes is BESIDE + 1 symbols, and a
+    separator behind each.
     """
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.ones(int(sizes.sum()) + len(sizes) + 1, np.int64)
+    sizes = span + BESIDE + 1
+    last = np.concatenate([anchor[1:] != anchor[:-1], [True]])  # of its anchor's text
+    begins = np.cumsum(sizes + 1 + last) - sizes - 1 - last
+    n = int((sizes + 1 + last).sum())
+    joined = np.ones(n, np.int64)
     middle = begins + left
-    inside = np.ones(len(joined), bool)
-    inside[begins + sizes] = inside[middle] = inside[-1] = False
-    joined[inside] = text.astype(np.int64) + 2
-    joined[middle] = 258 + np.unique(anchor, return_inverse=True)[1]
-    joined[-1] = 0
-    strings = sizes - BESIDE
+    inside = np.ones(n, bool)
+    inside[begins + sizes] = inside[middle] = inside[(begins + sizes + 1)[last]] = False
+    column = np.arange(WIDTH)
+    beside = (column < (LENGTH + span)[:, None]) & ((column < left[:, None]) | (column >= (left + GRAM)[:, None]))
+    joined[inside] = records[beside].astype(np.int64) + 2
+    joined[middle] = 258
+    joined[(begins + sizes + 1)[last]] = 0
+    strings = span + 1
     starts = np.arange(int(strings.sum())) + np.repeat(begins - (np.cumsum(strings) - strings), strings)
-    owner = np.full(len(joined), -1)
+    owner = np.full(n, -1)
     owner[starts] = np.repeat(np.arange(len(sizes)), strings)
-    order = suffix_array(joined)
+    order = suffix_arrays(joined, np.concatenate([[0], (begins + sizes + 2)[last]]))
     order = order[owner[order] >= 0]
-    same = np.ones(len(order) - 1, bool)
     a, b = order[:-1], order[1:]
+    same = anchor[owner[a]] == anchor[owner[b]]
     for k in range(BESIDE + 1):  # neighbours whose strings agree
         live = np.flatnonzero(same)
         if not len(live):
@@ -374,73 +418,131 @@ def least_by_string(left: np.ndarray, sizes: np.ndarray, least: np.ndarray, anch
     piece = np.concatenate([[0], np.cumsum(~same)])
     low = np.full(int(piece[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, piece, least[owner[order]])
-    out = np.empty(len(joined), np.int64)
+    out = np.empty(n, np.int64)
     out[order] = low[piece]
     return out[starts]
 
 
-def _least_of(b: Bucket) -> np.ndarray:
-    """least_by_string for all contexts of a bucket, in suffix arrays of bounded size that hold whole anchors."""
-    strings = b.sizes - BESIDE
-    out = np.repeat(b.least, strings)
+def _in_parts(left: np.ndarray, span: np.ndarray, least: np.ndarray, anchor: np.ndarray, records: np.ndarray) -> np.ndarray:
+    """least_by_string for an anchor with too many contexts for one array: string by string, dealt by their bytes."""
+    times = span + 1
+    owner = np.repeat(np.arange(len(span)), times)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+    strings = np.zeros((len(owner), WIDTH), np.uint8)
+    strings[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(records, LENGTH, axis=1)[owner, step]
+    own_left, none = left[owner] - step, np.zeros(len(owner), np.int64)
+    hashes = record_hash(strings, own_left)
+    one, which = same_records(strings, own_left, none, hashes)
+    low = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(low, which, least[owner])
+    parts = -(-len(one) * (BESIDE + 2) // ARRAY_BYTES)
+    part = (mix(hashes[one] + _U(1)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        if y - x > 1:
+            own = one[order[x:y]]
+            low[order[x:y]] = least_by_string(own_left[own], none[own], low[order[x:y]], anchor[owner[own]], strings[own])
+    return low[which]
+
+
+def _least_of(left: np.ndarray, span: np.ndarray, least: np.ndarray, records: np.ndarray) -> np.ndarray:
+    """For each string start of each context of a bucket: the least doc_id; suffix arrays hold whole anchors."""
+    strings = span + 1
+    out = np.empty(int(strings.sum()), np.int64)
     first = np.cumsum(strings) - strings
-    text_at = np.cumsum(b.sizes - 1) - b.sizes + 1
-    order = np.argsort(b.keys, kind="stable")
-    keys = b.keys[order]
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    several = [(x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y - x > 1]
-    held: list[int] = []
-    size = 0
-    for n, (x, y) in enumerate(several):
-        held += order[x:y].tolist()
-        size += int(b.sizes[order[x:y]].sum())
-        if size >= ARRAY_BYTES or n == len(several) - 1:
-            own = np.array(held)
-            s = b.sizes[own] - 1
-            at = np.arange(int(s.sum())) + np.repeat(text_at[own] - (np.cumsum(s) - s), s)
-            t = strings[own]
-            to = np.arange(int(t.sum())) + np.repeat(first[own] - (np.cumsum(t) - t), t)
-            out[to] = least_by_string(b.left[own], s + 1, b.least[own], b.keys[own], b.text[at])
-            held, size = [], 0
+    anchor = _anchor_numbers(records, left)
+    order = np.argsort(anchor, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]]))
+    after = np.concatenate([[0], np.cumsum((span + BESIDE + 2)[order])])
+    size = after[cuts[1:]] - after[cuts[:-1]]
+    by_size = np.argsort(size, kind="stable")  # texts of like sizes side by side
+    done = np.cumsum(size[by_size])
+    lo = 0
+    while lo < len(by_size):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + ARRAY_BYTES, side="right")))
+        own = by_size[lo:hi]
+        n = cuts[own + 1] - cuts[own]
+        some = order[np.arange(int(n.sum())) + np.repeat(cuts[own] - (np.cumsum(n) - n), n)]
+        t = strings[some]
+        to = np.arange(int(t.sum())) + np.repeat(first[some] - (np.cumsum(t) - t), t)
+        of = _in_parts if size[own[0]] > ARRAY_BYTES else least_by_string
+        out[to] = of(left[some], span[some], least[some], anchor[some], records[some])
+        lo = hi
     return out
 
 
-def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
+def bucket_spans(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, hash, spans) of all packed rows of one bucket."""
+    ids, hashes, row, start, context, contexts = [], [], [], [], [], []
+    base = n = 0
+    for blob in blobs:
+        own_ids, own_hashes, occ, (left, span, least, record) = _unpack(blob)
+        ids.append(own_ids)
+        hashes.append(own_hashes)
+        row.append(occ[0] + base)
+        start.append(occ[1])
+        context.append(occ[2] + n)
+        contexts.append((left, span, own_ids[least], record))
+        base += len(own_ids)
+        n += len(left)
+    doc_ids, row, start, context = (np.concatenate(x) for x in (ids, row, start, context))
+    left, span, least, record = (np.concatenate(x) for x in zip(*contexts, strict=True))
+    del contexts
+    one, which = same_records(record, left, span, record_hash(record, left * LENGTH + span))
+    low = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(low, which, least)
+    left, span, record = left[one], span[one], record[one]
+    context = which[context]
+    strings = span + 1
+    first = np.cumsum(strings) - strings
+    low = _least_of(left, span, low, record)
+    parts = []
+    for lo in range(0, len(row), OCCURRENCES):
+        own_row, own_start, own = row[lo : lo + OCCURRENCES], start[lo : lo + OCCURRENCES], context[lo : lo + OCCURRENCES]
+        t = strings[own]
+        step = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+        occ = np.repeat(np.arange(len(own)), t)
+        gone = low[first[own][occ] + step] < doc_ids[own_row[occ]]
+        r, at = own_row[occ[gone]], own_start[occ[gone]] + step[gone]
+        if len(r):
+            new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)]))
+            parts.append((r[new], at[new], at[np.concatenate([new[1:] - 1, [len(r) - 1]])] + LENGTH))
+    if not parts:
+        return
+    r, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((begin, r))
+    r, pairs = r[order], np.stack([begin[order], end[order]], 1).astype("<u4")
+    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1], [True]])).tolist()
+    text_hashes = np.concatenate(hashes)
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        yield int(doc_ids[r[x]]), int(text_hashes[r[x]]), pairs[x:y].tobytes()
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(bucket, the lists of its other columns) of rows sorted by bucket, one bucket at a time."""
+    bucket, held = None, []
+    for batch in batches:
+        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = b
+            held.append(row)
+    if held:
+        yield bucket, held
+
+
+def repeated_spans(packed: DataFrame, tasks: int) -> DataFrame:
     """(doc_id, hash, spans): for each row, starts and ends of repeated bytes as 32-bit pairs; several rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["bucket"], []).append(r)
-        while held:
-            _, rows = held.popitem()
-            ids, hashes, b = _gather(rows)
-            if not len(b.row):
-                continue
-            low = _least_of(b)
-            strings = b.sizes - BESIDE
-            first = np.cumsum(strings) - strings
-            parts = []
-            for lo in range(0, len(b.row), 100_000):
-                row, start, context = b.row[lo : lo + 100_000], b.start[lo : lo + 100_000], b.context[lo : lo + 100_000]
-                n = strings[context]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                occ = np.repeat(np.arange(len(row)), n)
-                gone = low[first[context][occ] + step] < ids[row[occ]]
-                own, at = row[occ[gone]], start[occ[gone]] + step[gone]
-                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
-                if len(new):
-                    parts.append((own[new], at[new], at[np.concatenate([new[1:] - 1, [len(own) - 1]])] + LENGTH))
-            if not parts:
-                continue
-            own, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((begin, own))
-            own, pairs = own[order], np.stack([begin[order], end[order]], 1).astype("<u4")
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own[cut[:-1]]]), pa.array(hashes[own[cut[:-1]]]), pa.array([pairs[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "hash", "spans"])
-
-    return packed.repartition(max(1, buckets // 2), "bucket").mapInArrow(run, "doc_id long, hash long, spans binary")
+        for _, rows in _by_bucket(batches):
+            found = list(bucket_spans([x for (x,) in rows]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "hash", "spans"])
+
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, hash long, spans binary")
 
 
 def merged_spans(spans: list[bytes] | None) -> list[tuple[int, int]]:
@@ -455,16 +557,24 @@ def merged_spans(spans: list[bytes] | None) -> list[tuple[int, int]]:
     return out
 
 
-def find_repeats(docs: DataFrame, hot_slices: int = HOT_SLICES) -> DataFrame:
-    """All columns of docs with ``spans``: a list of packed (start, end) byte spans, null where nothing repeats."""
-    spark = docs.sparkSession
-    buckets = 1 << max(6, int(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).where("doc_id is not null and text is not null")
-    shared = shared_anchors(rows, buckets, hot_slices)
-    packed = packed_contexts(rows, filter_of(shared, buckets))
-    spans = repeated_spans(packed, buckets).groupBy("doc_id", "hash").agg(F.collect_list("spans").alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", "span_doc").withColumnRenamed("hash", "span_hash")
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("span_doc")) & (F.xxhash64("text") == F.col("span_hash")), "left").drop("span_doc", "span_hash")
+def find_repeats(docs: DataFrame, hot_slices: int = HOT_SLICES, name: str = "spans") -> DataFrame:
+    """All columns of docs and one more: a list of packed (start, end) byte spans, null where nothing repeats."""
+    text_hash = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    by_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    seen = by_id.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    doubled = seen["n"] > 1  # texts of one doc_id are told apart by their hashes
+    rows = rows.withColumn("hash", text_hash if doubled else F.lit(0).cast("long"))
+    buckets = 1 << min(MOST_BUCKETS, max(4, int(seen["size"] // BUCKET_BYTES).bit_length()))
+    tasks = max(buckets // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared = shared_anchors(rows, buckets, tasks, hot_slices)
+    packed = packed_contexts(rows, filter_of(shared, buckets), doubled)
+    spans = repeated_spans(packed, tasks).groupBy("doc_id", "hash").agg(F.collect_list("spans").alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("hash").alias("_span_hash"), F.col("spans").alias("_spans"))
+    meets = docs["doc_id"].cast("long") == spans["_span_doc"]
+    if doubled:
+        meets &= F.xxhash64(docs["text"]) == spans["_span_hash"]
+    return docs.join(spans, meets, "left").select(*[docs[f"`{c}`"] for c in docs.columns], spans["_spans"].alias(name))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,14 +128,71 @@ def test_suffixes():
         assert grouping.suffix_array(text).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffixes_side_by_side():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 60, 200):
+        for width in (2, 3, 8):
+            texts = [np.append(rng.integers(1, width, int(rng.integers(0, 40))), 0) for _ in range(n)]
+            first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            want = [int(f) + i for f, t in zip(first, texts, strict=False) for i in sorted(range(len(t)), key=lambda i: t.tolist()[i:])]
+            assert grouping.suffix_arrays(np.concatenate(texts), first).tolist() == want
+    assert grouping.suffix_arrays(np.zeros(0, np.int64), np.zeros(1, np.int64)).tolist() == []
+
+
+def _repeated(seed=2, n=80):
+    rng = np.random.default_rng(seed)
+    parts = ["".join(rng.choice(list("abc é"), int(k))) for k in rng.integers(40, 200, 6)]
+    return [(100 + k, "".join(parts[j][int(rng.integers(0, 9)) :] for j in rng.integers(0, 6, int(rng.integers(0, 5))))) for k in range(n)]
+
+
+def _kept(text, spans):
+    data = (text or "").encode()
+    edges = [0, *[x for s in spans for x in s], len(data)]
+    return hashlib.sha256(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))).hexdigest()
+
+
 @pytest.mark.parametrize("hot", [2, 2000])
-def test_substrings(spark, docs, hot):
-    rng = np.random.default_rng(2)
-    parts = ["".join(rng.choice(list("abc é"), int(n))) for n in rng.integers(40, 200, 6)]
-    rows = [(100 + k, "".join(parts[j][int(rng.integers(0, 9)) :] for j in rng.integers(0, 6, int(rng.integers(0, 5))))) for k in range(80)] + [(d, t) for d, t, _ in ODD[:6]]
-    got = {r.doc_id: substrings.merged_spans(r.spans) for r in substrings.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), hot).collect()}
-    for doc, (_, removed, spans, _) in substrings.brute_force(rows).items():
-        assert (sum(b - a for a, b in got[doc]), len(got[doc])) == (removed, spans)
+def test_substrings(spark, hot):
+    rows = _repeated() + [(d, t) for d, t, _ in ODD]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string").repartition(6)
+    got = {r.doc_id: (r.text, substrings.merged_spans(r.cut)) for r in substrings.find_repeats(df, hot, "cut").collect()}
+    for doc, (_, removed, n, digest) in substrings.brute_force(rows).items():
+        text, spans = got[doc]
+        assert (sum(b - a for a, b in spans), len(spans), _kept(text, spans)) == (removed, n, digest)
+
+
+def test_substrings_of_odd_rows(spark):
+    text = "One long passage that several rows of this table share, word for word. " * 2
+    rows = [(5, text), (5, "other words first. " + text), (5, text), (3, "x" + text), (None, text), (9, None), (8, "")]
+    got = [(r.doc_id, r.text, substrings.merged_spans(r.spans)) for r in substrings.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    assert all(spans == [(0, len(text))] for d, t, spans in got if d == 5 and t == text)
+    assert [spans for d, t, spans in got if t and t.startswith("other")] == [[(17, 19 + len(text))]]  # the text itself holds ". One"
+    assert all(spans == [] for d, _, spans in got if d != 5)
+    assert substrings.find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("case", ["", "records collide", "small arrays", "hot"])
+def test_a_bucket_of_contexts(monkeypatch, case):
+    """All of one bucket without Spark: collisions of any hash and small arrays change nothing."""
+    rows = _repeated(5, 60) + [(7, "abc " * 90), (8, "abc " * 80 + "abd " * 20)]
+    known = substrings.Filter(1, 1024, np.full(128, 255, np.uint8), np.zeros(0, np.uint64))
+    if case == "records collide":
+        monkeypatch.setattr(substrings, "mix", lambda x: x % np.uint64(3))
+    elif case == "small arrays":
+        monkeypatch.setattr(substrings, "ARRAY_BYTES", 60)
+    elif case == "hot":
+        known.is_hot = lambda key: key % np.uint64(2) == 0
+    blobs = []
+    for k in range(0, len(rows), 7):
+        data, at = decontam.text_bytes(pa.array([t for _, t in rows[k : k + 7]]))
+        blobs += [x for _, x in substrings.deal(data, at, np.array([d for d, _ in rows[k : k + 7]]), None, known, k)]
+    found = {}
+    for doc, _, spans in substrings.bucket_spans(blobs):
+        found.setdefault(doc, []).append(spans)
+    for doc, (_, removed, n, digest) in substrings.brute_force(rows).items():
+        spans = substrings.merged_spans(found.get(doc))
+        assert (sum(b - a for a, b in spans), len(spans), _kept(dict(rows)[doc], spans)) == (removed, n, digest)
 
 
 def test_chat(spark):
