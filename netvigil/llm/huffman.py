@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,12 +153,14 @@ def crc_of(ids: np.ndarray) -> int:
 def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [np.concatenate([x, end]) for x in own.encode_all(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4" if x.max() > 0xFFFF else "<u2").tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+            at = 0
+            for ids, ends in own.encode_column(batch.column(1), end_id):
+                width = 4 if ids.max() > 0xFFFF else 2
+                offsets = np.concatenate([[0], ends * width]).astype(np.int64)
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), pa.array(np.diff(ends, prepend=0)), data.cast(pa.binary())], ["doc_id", "n", "ids"])
+                at += len(ends)
 
     return run
 
@@ -167,6 +170,16 @@ def ids_of(n: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
+def all_ids(n: pa.Array, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of a batch of the token table, one after the other, and how many each row has."""
+    counts = n.to_numpy()
+    flat = data.cast(pa.large_binary())
+    if pc.all(pc.equal(pc.binary_length(data), pc.multiply(n, 2))).as_py():
+        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        return np.frombuffer(flat.buffers()[2], "<u2", int(counts.sum()), int(at[0])), counts
+    return np.concatenate([ids_of(k, memoryview(x.as_buffer())) for k, x in zip(counts.tolist(), data, strict=True)]), counts
+
+
 def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids) of each whole text with the end id, written once to the shared folder."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -179,8 +192,8 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.bincount(ids_of(n, memoryview(data.as_buffer())))
+            if batch.num_rows:
+                own = np.bincount(all_ids(batch.column(0), batch.column(1))[0])
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
@@ -214,9 +227,8 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n = part.column(1).to_numpy()
-                rows = [ids_of(k, memoryview(x.as_buffer())) for k, x in zip(n.tolist(), part.column(2), strict=True)]
-                payload, sizes, gaps = pack(np.concatenate(rows), n, code, bits)
+                ids, n = all_ids(part.column(1), part.column(2))
+                payload, sizes, gaps = pack(ids, n, code, bits)
                 ends, points = np.cumsum(sizes), np.cumsum(-(-n // CHECKPOINT))
                 bucket = np.searchsorted(bounds, part.column(0).fill_null(-(1 << 62)).to_numpy().astype(np.float64), side="right")
                 own = [payload[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.llm.common import only, parts_for, table
-from netvigil.llm.huffman import ids_of, token_table
+from netvigil.llm.huffman import all_ids, ids_of, token_table
 from netvigil.llm.tokens import vocabulary_path
 
 WINDOW = 4096
@@ -58,11 +58,14 @@ def statistics(tokens: DataFrame) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.unique(ids_of(n, memoryview(data.as_buffer())))
-                if own[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(own[-1]) + 1 - len(total), np.int64)])
-                total[own] += 1
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids, n = all_ids(part.column(0), part.column(1))
+                pair = np.sort((np.repeat(np.arange(len(n), dtype=np.int64), n) << 32) | ids)
+                own = np.bincount(pair[np.concatenate([[True], pair[1:] != pair[:-1]])] & 0xFFFFFFFF)
+                if len(own) > len(total):
+                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+                total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 

@@ -30,6 +30,23 @@ def test_pieces_equal_the_library(name):
     assert [list(x) for x in t.encode_all(texts)] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_equal_the_library_on_random_texts(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_UNITS", 50)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 500)
+    rng = np.random.default_rng(11)
+    bits = ["a", "the", "Größe", "ÿ", "İ", "ß", "'", "'s", ",", ".", "!?", "\n", "\n\n", "\t", "\r\n", " ", "  ", "\u00a0", "\u2028", "日本", "é", "e\u0301", "😀", "12", "3.5", "_", "-", "<|endoftext|>", "\0", "Ġ", "x\ny", "Word.", "And\nThen,"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 12)))) if k % 2 else " ".join(rng.choice(bits, int(rng.integers(0, 12)))) for k in range(4000)]
+    t = tokens.PieceTokenizer(tokens.vocabulary_path(name))
+    want = [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        got = t.encode_all(texts)
+        assert [k for k in range(len(texts)) if got[k].tolist() != want[k]] == []
+    ends = [(ids, e) for ids, e in t.encode_column(pa.array([None, *texts]), 2)]
+    whole = [x.tolist() for ids, e in ends for x in np.split(ids, e[:-1])]
+    assert whole == [[2], *[w + [2] for w in want]]
+
+
 def test_packing(docs, none):
     rows = packing.pack_pieces(docs).collect()
     t = tokens.tokenizer(tokens.vocabulary_path("word_bpe_49k.json"))
