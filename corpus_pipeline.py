@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.llm import alike, decontam, packing, substrings, toxicity
-from netvigil.llm.common import stored, table
+from netvigil.llm.common import free_name, only, stored, table
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -32,10 +32,10 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def _with_cuts(docs: DataFrame, columns: list[str], spans_of: Callable) -> DataFrame:
-    """docs (columns, then spans) with spans cut from text; texts without spans stay as they are."""
+def _with_cuts(docs: DataFrame, columns: list[str], spans: str, spans_of: Callable) -> DataFrame:
+    """docs (columns, and one of spans) with spans cut from text; texts without spans stay as they are."""
     at, n_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
-    schema = docs.select(*columns).schema
+    schema = only(docs, *columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,42 +52,49 @@ def _with_cuts(docs: DataFrame, columns: list[str], spans_of: Callable) -> DataF
                 cols[n_at] = pa.array(sizes, cols[n_at].type)
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return docs.select(*columns, "spans").mapInArrow(run, schema)
+    return only(docs, *columns, spans).mapInArrow(run, schema)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and the name of that column."""
+    row = free_name(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5 stay."""
-    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score_texts(docs, model).where("toxicity < 0.5").drop("toxicity")
+    """Documents scored under 0.5 stay; null and empty texts are scored like any other."""
+    score = free_name(docs, "toxicity")
+    model = toxicity.train(only(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return only(toxicity.score_texts(docs, model, score).where(F.col(score) < 0.5), *docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of alike documents (sets of five-word shingles, exact similarity of 0.8 or more) the smallest doc_id stays.
+    """Of each class of alike rows (sets of five-word shingles, exact similarity of 0.8 or more) the one with the smallest doc_id stays.
 
-    Documents without words are no copies of each other and all stay; so do rows without doc_id.
+    Rows count by themselves: of unlike rows with one doc_id all stay, of alike ones the
+    first. A row without doc_id comes after those with one. Rows without words are no
+    copies of each other and all stay.
     """
-    gone = alike.copies(docs.select("doc_id", "text")).where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    doubled = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    if not doubled.limit(1).count():
-        return kept
-    once = kept.join(doubled.drop("n"), "doc_id", "left_semi").withColumn("place", place).where("place = 1").select(*docs.columns)
-    return kept.join(doubled.drop("n"), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    rows, row = _numbered(docs)
+    found = stored(alike.copies(rows.select(F.col(row).alias("row"), "doc_id", "text")).where("class is not null"), "classes")
+    first = found.groupBy("class").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = found.join(first, "class").where("row <> first").select(F.col("row").alias(row))
+    return only(rows.join(gone, row, "left_anti"), *docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every byte under a 50-byte string that also starts in a document with a smaller doc_id."""
-    return _with_cuts(substrings.find_repeats(docs), docs.columns, substrings.merged_spans)
+    spans = free_name(docs, "spans")
+    return _with_cuts(substrings.find_repeats(docs, name=spans), docs.columns, spans, substrings.merged_spans)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts words that lie in windows of benchmark items."""
-    columns = docs.columns
-    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = decontam.find_contamination(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    spans = found.where("n_hit > 0").select(F.col("doc_id").alias("row"), "spans")
-    return _with_cuts(rows.join(spans, "row", "left"), columns, lambda s: [(x["start"], x["end"]) for x in s])
+    """Cuts words that lie in windows of benchmark items; rows count by themselves, whatever their doc_id."""
+    rows, row = _numbered(docs)
+    spans = free_name(docs, "spans")
+    found = decontam.find_contamination(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = found.where("n_hit > 0").select(F.col("doc_id").alias(row), F.col("spans").alias(spans))
+    return _with_cuts(rows.join(found, row, "left"), docs.columns, spans, lambda s: [(x["start"], x["end"]) for x in s])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
-"""Exact near-duplicates: Jaccard similarity of shingle sets, joined over rare shingles.
-
-Of two sets with similarity s, ordered alike, the first n - ceil(s n) + 1 members of
-each have a member in common, whatever the order. So every pair that must link shares
-one of these, and no pair is missed. The order puts shingles that a sample of texts
-repeats last; it tells how much work is done, never what is found. Pairs that share
-such a member are left out only by bounds that hold always: their sizes, and the bits
-in which the parities of their hashes differ, each of which needs a shingle that only
-one of them has. What remains is counted exactly from both sets.
-
-Equal sets are one node. A node is first held against the smallest node of each shingle
-that it shares; classes are joined by pairs that were counted, and then all pairs of
-different classes follow, so a large group of copies doesn't bring all its pairs.
+"""Near-duplicates: SimHash links, checked and completed by exact Jaccard similarity.
+
+SimHash codes of ``WORDS`` words over each text's set of shingles are linked through the
+Gray-order index of ``simhash``; a link counts only after the exact similarity of both
+sets. Codes are estimates, so a pair near the limit may share no block or differ in too
+many bits. The rest follows exactly: of two sets with similarity s, ordered alike, the
+first n - ceil(s n) + 1 members of each have a member in common, whatever the order. So
+every pair that must link shares one of these; pairs that do and are not in one class
+yet are counted too, and no pair is missed. The order puts shingles that a sample of
+texts repeats last; it tells how much work is done, never what is found. Pairs are left
+out uncounted only by bounds that hold always: their sizes, and the bits in which the
+parities of their hashes differ, each of which needs a shingle that only one of them has.
+
+Equal sets are one node, and classes are joined before the rest is looked at, so a large
+group of copies doesn't bring all its pairs.
 
 Defined results: texts without words are no copies of each other (node null); repeats
-of a shingle count once; a null id is kept, with a node but outside of links.
+of a shingle count once; every row counts by itself, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from netvigil.llm.common import parts_for, stored
 from netvigil.llm.components import smallest_reachable
-from netvigil.llm.simhash import mix, shingle_hashes
+from netvigil.llm.simhash import gray_links, majorities, mix, sampled_masks, shingle_hashes
 
+#: Words of a code, bits of a block, and bits in which linked codes may differ: at a similarity of 0.8 they differ in 39, give or take 6.
+WORDS, BLOCK, LIMIT = 4, 12, 46
 #: Texts that the order is taken from, and shingles whose counts every task knows.
 SAMPLE, KNOWN = 8_000, 1_000_000
 #: Members that one task takes, and pairs of one shingle that are looked at in one go.
@@ -71,7 +75,7 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def with_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(doc_id, text_key, node, size, prefix, parity) of every row: how many shingles, the first of them with rare ones before others, the parities of their hashes by 512 places."""
+    """(row, doc_id, text_key, node, size, code, prefix, parity) of every row: how many shingles, their SimHash, the first of them with rare ones before others, the parities of their hashes by 512 places."""
     known, counts = _common_shingles(docs, width)
     sent = docs.sparkSession.sparkContext.broadcast((known, counts))
 
@@ -80,20 +84,21 @@ def with_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                nodes, sizes, firsts, bits = [], [], [], []
-                for text in part.column(2).to_pylist():
-                    own = _members(text, width)
-                    nodes.append(_node(own))
-                    sizes.append(len(own))
+                found = [_members(text, width) for text in part.column(3).to_pylist()]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                codes = majorities(np.concatenate([np.zeros(0, np.uint64), *found]), sizes, WORDS)
+                firsts, bits = [], []
+                for own in found:
                     odd = np.bincount((mix(own) & np.uint64(511)).astype(np.int64), minlength=512) & 1
                     bits.append(np.packbits(odd.astype(bool)).view(np.uint64))
                     if len(known) and len(own):
                         k = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         own = own[np.argsort(np.where(known[k] == own, counts[k], 0), kind="stable")]
                     firsts.append(own[: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts), _lists(bits)], ["doc_id", "text_key", "node", "size", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(_node, found), pa.int64()), pa.array(sizes), _lists(list(codes)), _lists(firsts), _lists(bits)], ["row", "doc_id", "text_key", "node", "size", "code", "prefix", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, size long, prefix array<long>, parity array<long>")
+    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, text_key long, node long, size long, code array<long>, prefix array<long>, parity array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -134,10 +139,13 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     """(node, root) for all nodes of rows with_sets that have a link: the smallest node that it reaches."""
     spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = rows.where("doc_id is not null and node is not null").groupBy("node").agg(*[F.first(x).alias(x) for x in ("text_key", "size", "prefix", "parity")])
+    sets = rows.where("node is not null").groupBy("node").agg(*[F.first(x).alias(x) for x in ("text_key", "size", "code", "prefix", "parity")])
     sets = stored(sets, "sets")
-    dealt = sets.select(F.explode("prefix").alias("h"), "node")
-    n = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    n, members = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
+    near = gray_links(sets.select("node", F.col("code").alias("fp")), n, LIMIT, sampled_masks(WORDS, BLOCK))
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(_counted(pairs, sets, docs, similarity, width), "links")
+    classes = stored(smallest_reachable(links), "classes")
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -145,38 +153,35 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
             for (h, node), at in _runs(iter(held)):
                 size = np.diff(at)
                 many = np.repeat(size > 1, size)
-                head = np.repeat(node[at[:-1]], size)
-                yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, node, head)], ["h", "node", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(node[many])], ["h", "node"])
 
-    shared = stored(dealt.repartition(parts_for(n, ROWS, least), "h").mapInArrow(share, "h long, node long, head long"), "shared")
-    first = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_counted(first, sets, docs, similarity, width), "links")
-    classes = stored(smallest_reachable(links), "classes")
+    dealt = sets.select(F.explode("prefix").alias("h"), "node")
+    shared = stored(dealt.repartition(parts_for(members, ROWS, least), "h").mapInArrow(share, "h long, node long"), "shared")
 
-    # What the first pairs left apart: all pairs of different classes.
-    known = shared.join(classes, "node", "left").select("h", "node", "head", F.coalesce("root", "node").alias("root"))
-    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
+    # What SimHash left apart: all pairs of different classes.
+    known = shared.join(classes, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
     parts = F.ceil(F.col("n") / HOT).cast("int")
     apart = known.join(open_.select("h", parts.alias("parts")), "h").join(sets.select("node", "size", "parity"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     apart = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))
-    apart = stored(apart.select(cell.alias("cell"), "node", "head", "root", "size", "parity"), "apart")
+    apart = stored(apart.select(cell.alias("cell"), "node", "root", "size", "parity"), "apart")
     bound = (1 - similarity) / (1 + similarity)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        codes = np.concatenate([b.column(5).flatten().to_numpy() for b in held]).view(np.uint64).reshape(-1, 8)
+        codes = np.concatenate([b.column(4).flatten().to_numpy() for b in held]).view(np.uint64).reshape(-1, 8)
         row = pa.array(np.arange(len(codes)))
-        table = pa.Table.from_batches([b.select([0, 1, 2, 3, 4]) for b in held]).append_column("row", row)
-        for (_, node, head, root, size, row), at in _runs(iter(table.combine_chunks().to_batches())):
+        table = pa.Table.from_batches([b.select([0, 1, 2, 3]) for b in held]).append_column("row", row)
+        for (_, node, root, size, row), at in _runs(iter(table.combine_chunks().to_batches())):
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 step = max(1, PAIRS // (hi - lo))
                 for a in range(lo, hi, step):
                     i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(a, min(hi, a + step)), np.arange(a + 1, hi), indexing="ij"))
-                    live = (i < j) & (root[i] != root[j]) & (node[i] != head[i]) & (node[j] != head[j])
+                    live = (i < j) & (root[i] != root[j])
                     i, j = i[live], j[live]
                     both, apart = size[i] + size[j], np.abs(size[i] - size[j])
                     fits = apart <= both * bound + 1e-9
@@ -189,9 +194,7 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
 
 
 def copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(doc_id, node, component_id) of every row: the smallest doc_id of its class."""
-    rows = stored(with_sets(docs, similarity, width), "rows")
+    """(row, doc_id, class) of every row of docs (row, doc_id, text); rows of a class are alike, null is a class of its own."""
+    rows = stored(with_sets(docs, similarity, width), "sets-by-row")
     roots = linked_nodes(rows, docs, similarity, width)
-    placed = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    least = placed.where("doc_id is not null and node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root", "left").select("doc_id", "node", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return rows.select("row", "doc_id", "node").join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class"))

@@ -49,3 +49,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def parts_for(rows: int, each: int, least: int = 1) -> int:
     """How many partitions hold so many rows."""
     return max(least, -(-rows // each))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

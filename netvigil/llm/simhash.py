@@ -65,6 +65,11 @@ def fingerprints_of(texts: list[str | None], width: int = 4, words: int = 1) ->
     hashes = [shingle_hashes(t or "", width) for t in texts]
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
     joined = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    return majorities(joined, counts, words)
+
+
+def majorities(joined: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """For each run of hashes the bits that over half of them have, in words of 64 bits."""
     return np.stack([_majorities(joined if k == 0 else mix(joined + np.uint64(k)), counts) for k in range(words)], 1)
 
 
@@ -134,6 +139,11 @@ def block_masks(limit: int, extra: int) -> list[tuple[int, int]]:
     return [(0, sum(c)) for c in combinations(blocks, 1 + extra)]
 
 
+def sampled_masks(words: int, bits: int) -> list[tuple[int, int]]:
+    """(word, mask) of all blocks of so many bits, for codes of several words that are only likely to share one."""
+    return [(w, ((1 << bits) - 1) << a) for w in range(words) for a in range(0, 64 - bits + 1, bits)]
+
+
 class GrayIndex:
     """Groups of codes in Gray order within their keys, with the bits that each group shares."""
 
@@ -230,11 +240,16 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def linked_classes(codes: DataFrame, limit: int, masks: list[tuple[int, int]] | None = None) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint in (doc_id, fp); masks: exact ones unless given."""
+def linked_classes(codes: DataFrame, limit: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint in (doc_id, fp), by exact links."""
     nodes = stored(codes.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
     n = nodes.count()
-    masks = masks or block_masks(limit, 0 if n < 4_000_000 else 1)
+    roots = smallest_reachable(gray_links(nodes, n, limit, block_masks(limit, 0 if n < 4_000_000 else 1)))
+    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+
+
+def gray_links(nodes: DataFrame, n: int, limit: int, masks: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): links that join all of n nodes (node, fp) that are within the limit and share the bits of a mask."""
     dealt = nodes.select("node", "fp", F.posexplode(F.array(*[F.element_at("fp", w + 1).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in masks])).alias("choice", "value"))
     hot = dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     if n > HOT and hot.limit(1).count():
@@ -244,7 +259,7 @@ def linked_classes(codes: DataFrame, limit: int, masks: list[tuple[int, int]] |
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other)).withColumn("pair", F.least("own", "other") * 100_000 + F.greatest("own", "other"))
     else:
         dealt = dealt.withColumn("pair", F.lit(0))
-    parts = parts_for(n * len(masks), 1_000_000, int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(n * len(masks), 1_000_000, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -259,18 +274,13 @@ def linked_classes(codes: DataFrame, limit: int, masks: list[tuple[int, int]] |
         a, b = GrayIndex(key, fp.astype(np.int64).view(np.uint64)).forest(limit)
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    links = dealt.select("choice", "value", "pair", "node", "fp").repartition(parts, "choice", "value", "pair").mapInArrow(run, "a long, b long")
-    roots = smallest_reachable(links)
-    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return dealt.select("choice", "value", "pair", "node", "fp").repartition(parts, "choice", "value", "pair").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row, by exact links of 64-bit fingerprints."""
-    return _classed(stored(with_fingerprints(docs, width), "codes"), limit, None)
-
-
-def _classed(codes: DataFrame, limit: int, masks: list[tuple[int, int]] | None) -> DataFrame:
-    classes = linked_classes(codes, limit, masks)
+    codes = stored(with_fingerprints(docs, width), "codes")
+    classes = linked_classes(codes, limit)
     return codes.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -201,7 +201,7 @@ def sketch(words: list[str]) -> int:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns lexicon and weights from labelled rows that are not held out."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    sample = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
+    sample = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stored(rows.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")  # MAX_TRAIN small rows
 
@@ -285,8 +285,8 @@ def _fitted(rows: list[tuple[int, list[int], int]], draw: float = 0.05) -> np.nd
     return weights
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with toxicity (0 to 1) added."""
+def score_texts(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """All columns of docs and one more, the score (0 to 1)."""
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -296,11 +296,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 counts = np.array([pattern_counts(t or "", classes) for t in part.column(names.index("text")).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(counts, sent.value.weights))], [*names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(counts, sent.value.weights))], [*names, name])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,62 @@ def _texts(df):
 def test_near_duplicates(spark, docs, tables):
     kept = pipeline.drop_near_duplicates(spark, docs, tables)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9, 10]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9, 10, 10]  # both unlike rows of 10
+
+
+def test_near_duplicates_are_rows(spark, tables):
+    """Unlike rows of one doc_id stay, alike ones are one, and a row without doc_id gives way to one with it."""
+    a, b, c, d = (_words(200 + k, 60) for k in range(4))
+    rows = [(1, a), (2, b), (2, c), (3, a), (3, d), (None, d), (5, b), (2, b), (None, _words(300, 40))]
+    kept = pipeline.drop_near_duplicates(spark, spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA), tables)
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (2, c), (3, d), (0, rows[-1][1])])
+
+
+def _clashing(docs):
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *[F.lit(7).alias(n) for n in ("row", "spans", "toxicity", "class", "node", "fp", "hash", "start", "end")])
+
+
+def test_toxic_documents_go(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows = [(k, " ".join(rng.choice(words, 25)) + (" grunkle" if k % 3 == 0 else "") + " " + " ".join(rng.choice(words, 9)), "en", "s", 9) for k in range(300)]
+    rows += [(900, None, "en", "s", None), (901, "", "en", "s", 0), (901, "", "en", "s", 0), (None, "plain words", "en", "s", 11)]
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(300)] + [(0, 1, 0)]  # a doc_id with two labels is toxic
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = _clashing(spark.createDataFrame(rows, SCHEMA))
+    kept = pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([k for k in range(300) if k % 3] + [900, 901, 901, -1])
+    assert pipeline.drop_toxic(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark, docs, tables):
+    df = _clashing(docs)
+    for stage in (pipeline.drop_near_duplicates, pipeline.cut_repeats, pipeline.cut_benchmark):
+        got = stage(spark, df, tables)
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert {r.row for r in rows} == {r.spans for r in rows} == {7}
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in stage(spark, docs, tables).collect())
+
+
+def test_run(spark, docs, tables, tmp_path):
+    """All stages one after the other equal the stages called by hand, and every kept document is packed whole."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = pipeline.run(spark, str(tmp_path)).collect()
+    own = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        own = stage(spark, own, str(tmp_path))
+    from netvigil.llm import tokens
+
+    t = tokens.tokenizer(tokens.vocabulary_path("word_bpe_49k.json"))
+    want = sorted((r.doc_id, len(t.encode(r.text or "")) + 1) for r in own.collect())
+    assert sorted((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == want
+    assert sum(p.length for p in pieces) == sum(n for _, n in want)
 
 
 def test_repeats(spark, docs, tables):
