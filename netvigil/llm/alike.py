@@ -34,7 +34,11 @@ from netvigil.llm.components import smallest_reachable
 from netvigil.llm.simhash import gray_links, majorities, mix, sampled_masks, shingle_hashes
 
 #: Words of a code, bits of a block, and bits in which linked codes may differ: at a similarity of 0.8 they differ in 39, give or take 6.
-WORDS, BLOCK, LIMIT = 4, 12, 46
+WORDS, BLOCK, LIMIT = 4, 12, 50
+#: Places by which parities are counted: few for pairs that share a shingle; for pairs that this leaves, a power of two from four for each shingle on.
+FEW, EACH = 512, 4
+#: Keys of texts that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Texts that the order is taken from, and shingles whose counts every task knows.
 SAMPLE, KNOWN = 8_000, 1_000_000
 #: Members that one task takes, and pairs of one shingle that are looked at in one go.
@@ -75,7 +79,7 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def with_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(row, doc_id, text_key, node, size, code, prefix, parity) of every row: how many shingles, their SimHash, the first of them with rare ones before others, the parities of their hashes by 512 places."""
+    """(row, doc_id, text_key, node, size, code, prefix, parity, wide) of every row: how many shingles, their SimHash, the first of them with rare ones before others, the parities of their hashes by few and by many places."""
     known, counts = _common_shingles(docs, width)
     sent = docs.sparkSession.sparkContext.broadcast((known, counts))
 
@@ -87,18 +91,21 @@ def with_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataF
                 found = [_members(text, width) for text in part.column(3).to_pylist()]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 codes = majorities(np.concatenate([np.zeros(0, np.uint64), *found]), sizes, WORDS)
-                firsts, bits = [], []
+                firsts, bits, wide = [], [], []
                 for own in found:
-                    odd = np.bincount((mix(own) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                    many = 1 << max(FEW, EACH * len(own) - 1).bit_length()
+                    odd = np.bincount((mix(own) & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+                    wide.append(np.packbits(odd.astype(bool)).view(np.uint64))
+                    odd = odd.reshape(-1, FEW).sum(0) & 1
                     bits.append(np.packbits(odd.astype(bool)).view(np.uint64))
                     if len(known) and len(own):
                         k = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         own = own[np.argsort(np.where(known[k] == own, counts[k], 0), kind="stable")]
                     firsts.append(own[: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(_node, found), pa.int64()), pa.array(sizes), _lists(list(codes)), _lists(firsts), _lists(bits)], ["row", "doc_id", "text_key", "node", "size", "code", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(_node, found), pa.int64()), pa.array(sizes), _lists(list(codes)), _lists(firsts), _lists(bits), _lists(wide)], ["row", "doc_id", "text_key", "node", "size", "code", "prefix", "parity", "wide"])
 
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, text_key long, node long, size long, code array<long>, prefix array<long>, parity array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, text_key long, node long, size long, code array<long>, prefix array<long>, parity array<long>, wide array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -114,12 +121,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray],
 def _counted(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike, counted from all members of both; only texts of pairs that the bounds leave are read again."""
     bound = (1 - similarity) / (1 + similarity)
-    one, two = (sets.select(F.col("node").alias(x), F.col("text_key").alias(f"key_{x}"), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
-    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    one, two = (sets.select(F.col("node").alias(x), F.col("text_key").alias(f"key_{x}"), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    half = F.least(F.size("wide_a"), F.size("wide_b"))  # alike sets differ in size by a quarter at most, so one fold is enough
+    folded = [F.when(F.size(x) == half, F.col(x)).otherwise(F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))) for x in ("wide_a", "wide_b")]
+    differ = F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     both = F.col("size_a") + F.col("size_b")
-    pairs = pairs.join(one, "a").join(two, "b").where((F.abs(F.col("size_a") - F.col("size_b")) <= both * bound + 1e-9) & (differ <= both * bound + 1e-9))
+    alike_sizes = F.abs(F.col("size_a") - F.col("size_b")) <= both * bound + 1e-9
+    pairs = pairs.join(one, "a").join(two, "b").where(alike_sizes & F.when(alike_sizes, differ <= both * bound + 1e-9))
     pairs = stored(pairs.select("a", "b", "key_a", "key_b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
+    wanted = stored(pairs.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +150,10 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     """(node, root) for all nodes of rows with_sets that have a link: the smallest node that it reaches."""
     spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = rows.where("node is not null").groupBy("node").agg(*[F.first(x).alias(x) for x in ("text_key", "size", "code", "prefix", "parity")])
-    sets = stored(sets, "sets")
-    n, members = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
+    full = rows.where("node is not null")
+    members = full.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    sets = stored(full.groupBy("node").agg(*[F.first(x).alias(x) for x in ("text_key", "size", "code", "parity", "wide")]), "sets")
+    n = sets.count()
     near = gray_links(sets.select("node", F.col("code").alias("fp")), n, LIMIT, sampled_masks(WORDS, BLOCK))
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(_counted(pairs, sets, docs, similarity, width), "links")
@@ -150,12 +162,14 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            for (h, node), at in _runs(iter(held)):
-                size = np.diff(at)
+            for (h, node), _ in _runs(iter(held)):
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # equal texts once
+                h, node = h[new], node[new]
+                size = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), [len(h)]]))
                 many = np.repeat(size > 1, size)
                 yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(node[many])], ["h", "node"])
 
-    dealt = sets.select(F.explode("prefix").alias("h"), "node")
+    dealt = full.select(F.explode("prefix").alias("h"), "node")
     shared = stored(dealt.repartition(parts_for(members, ROWS, least), "h").mapInArrow(share, "h long, node long"), "shared")
 
     # What SimHash left apart: all pairs of different classes.

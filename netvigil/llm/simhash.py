@@ -167,7 +167,7 @@ class GrayIndex:
         self.root = np.searchsorted(first, np.arange(len(codes)), side="right") - 1
 
     def forest(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position, position) links, in the given order, that join all codes within the limit.
+        """(position, position) links, in the given order, each within the limit, that join all codes within the limit.
 
         Neighbours in Gray order are joined first: a large group of near copies is then
         a few classes, which searches leave out whole.
@@ -175,7 +175,14 @@ class GrayIndex:
         n = len(self.codes)
         label = np.arange(n)
         beside = np.flatnonzero(np.bitwise_count(self.codes[1:] ^ self.codes[:-1]).sum(1, dtype=np.int64) <= limit)
-        label = _joined(label, beside, beside + 1)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def join(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal label
+            label, used = _tree(label, a, b)
+            kept.append((a[used], b[used]))
+
+        join(beside, beside + 1)
         step = 4096
         for lo in range(0, n, step):
             asks = np.arange(lo, min(n, lo + step))
@@ -203,14 +210,14 @@ class GrayIndex:
                 found_b.append(child[near])
                 held += len(found_a[-1])
                 if held > HELD:
-                    label = _joined(label, np.concatenate(found_a), np.concatenate(found_b))
+                    join(np.concatenate(found_a), np.concatenate(found_b))
                     common = self._common(label)
                     found_a, found_b, held = [], [], 0
             a, b = np.concatenate(found_a or [asks[:0]]), np.concatenate(found_b or [asks[:0]])
             if len(a):
-                label = _joined(label, a, b)
-        roots = np.flatnonzero(label != np.arange(n))
-        return self.order[roots], self.order[label[roots]]
+                join(a, b)
+        one, two = (np.concatenate(x) for x in zip(*kept, strict=True))
+        return self.order[one], self.order[two]
 
     def _common(self, label: np.ndarray) -> list[np.ndarray]:
         """The class that all codes below a node share, or -1."""
@@ -223,6 +230,21 @@ class GrayIndex:
         return out
 
 
+def _tree(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes after links between a and b, and which links were needed: each class takes its first one to another."""
+    used = [np.zeros(0, np.int64)]
+    while True:
+        x, y = label[a], label[b]
+        across = np.flatnonzero(x != y)
+        if not len(across):
+            return label, np.concatenate(used)
+        first = np.full(len(label), len(a))
+        np.minimum.at(first, x[across], across)
+        np.minimum.at(first, y[across], across)
+        used.append(np.unique(first[first < len(a)]))
+        label = _joined(label, a[used[-1]], b[used[-1]])
+
+
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Classes after links between a and b; each class is named by its first position."""
     parent = label.copy()
