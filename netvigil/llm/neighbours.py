@@ -157,12 +157,13 @@ class Best:
 def _vectors(column: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), flat.dtype)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vec): the rows that take part."""
-    vec: Column = F.col("embedding").cast("array<float>")
+    double = vectors.schema["embedding"].dataType.simpleString() == "array<double>"
+    vec: Column = F.col("embedding").cast("array<double>" if double else "array<float>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & fine)
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -179,12 +180,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     queries = single.where(is_query).select("vec_id", "vec")
     asked = queries.groupBy("vec").agg(F.min("vec_id").alias("key"))
     n = entries.count()
+    kind = entries.schema["vec"].dataType.simpleString()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = entries.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()
     grown_on = np.array(sample["vec"].tolist(), np.float64).reshape(len(sample), -1)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts_for(n * TREES, PART_ROWS, shuffle)
     sent = spark.sparkContext.broadcast(Forest([grow(grown_on, LEAF, s) for s in range(TREES)], parts))
-    dealt = "part int, asks boolean, key long, vec array<float>, leaves array<int>"
+    dealt = f"part int, asks boolean, key long, vec {kind}, leaves array<int>"
 
     def deal(asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +232,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         query_vec[asked_no] = vec[asks]
         own_keys, own_no = np.unique(key[~asks], return_inverse=True)
         number[~asks] = own_no
-        own_vec = np.zeros((len(own_keys), vec.shape[1]), np.float32)
+        own_vec = np.zeros((len(own_keys), vec.shape[1]), vec.dtype)
         own_vec[own_no] = vec[~asks]
         best = Best(len(asked_keys), k + 1)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):

@@ -110,6 +110,35 @@ def test_neighbours(spark):
     assert right >= 0.9 * 75
 
 
+def test_neighbours_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, rank int, score double"
+    none = spark.createDataFrame([], schema)
+    is_query = F.col("vec_id") % 20 == 0
+    assert neighbours.nearest(none, is_query).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([(0, None, 1, 1.0), (20, [0.0, 0.0], 1, 1.0)], schema), is_query).count() == 0
+    third = 1 / 3  # no 32-bit number
+    rows = [(0, [1.0, third], 1, 1.0), (7, [1.0, third], 1, 1.0), (3, [1.0, third], 1, 1.0), (3, [1.0, third], 1, 1.0), (9, [third, 0.5], 1, 1.0), (None, [1.0, 1.0], 1, 1.0)]
+    got = neighbours.nearest(spark.createDataFrame(rows, schema), is_query, 5).orderBy("rank").collect()
+    same = 1.0 + third * third
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 3), (0, 2, 7), (0, 3, 9)]
+    assert [r.score for r in got] == pytest.approx([same, same, third + third * 0.5], rel=1e-15)
+
+
+def test_neighbours_where_most_leaves_are_not_visited(spark):
+    """Recall against brute force on clustered vectors, with a tenth of the leaves visited."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    base = (centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 16))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 200 == 0, 10).collect()
+    right = 0
+    for q in range(0, 6000, 200):
+        score = base @ base[q]
+        score[q] = -np.inf
+        right += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-score)[:10].tolist()))
+    assert right >= 0.9 * 10 * 30
+
+
 def test_decontamination(spark, docs, monkeypatch):
     items = [(1, "the same words over"), (2, "over and over again the same words over and over again the same"), (3, None), (4, "absent entirely")]
     bench = spark.createDataFrame(items, "item_id long, text string")
