@@ -32,10 +32,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; in local mode without one, a folder of its own."""
     import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -112,7 +118,7 @@ def c5(spark, d):
     return features.recon_features(telemetry(spark, d)).select("seq", "unique_dst_hosts", "unique_dst_ports", "scan_rate", "failure_ratio")
 
 
-@query("c5_recon_targets", _RECON + """, gated AS (SELECT seq, src_ip, ts_us FROM feat WHERE unique_dst_ports >= 12 AND failure_ratio >= 0.5 AND seq % 50 = 0), hosts AS (
+@query("c5_recon_targets", _RECON + """, gated AS (SELECT seq, src_ip, ts_us FROM feat WHERE unique_dst_ports >= 12 AND failure_ratio >= 0.5), hosts AS (
   SELECT g.seq, t.dst_ip, sum(CASE WHEN conn_state IN ('S0', 'REJ') THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM gated g JOIN tele t ON t.src_ip = g.src_ip AND t.ts_us >= g.ts_us - 30000000 AND (t.ts_us < g.ts_us OR (t.ts_us = g.ts_us AND t.seq <= g.seq)) GROUP BY ALL)
   SELECT seq, string_agg(dst_ip, ',' ORDER BY dst_ip) AS dst_hosts, first(dst_ip ORDER BY failed / n DESC, failed DESC, dst_ip) AS anchor_dst FROM hosts GROUP BY seq""")
 def c5_targets(spark, d):
@@ -369,7 +375,9 @@ def g16(spark, d):
     return evaluate.label_census(_table(spark, d, "documents"), "lang")
 
 
-@query("g19_replay_report", f"WITH tele AS ({TELEMETRY_SQL}) SELECT 'kind' AS what, kind AS name, count(*) AS n FROM tele GROUP BY kind UNION ALL SELECT 'span_s', '', CAST(floor((max(ts_us) - min(ts_us)) / 1e6) AS BIGINT) FROM tele")
+@query("g19_replay_report", _EXFIL_FOUND + """ SELECT 'kind' AS what, kind AS name, count(*) AS n FROM tele GROUP BY kind
+  UNION ALL SELECT 'alert', 'exfiltration/' || subtype, count(*) FROM cand GROUP BY subtype
+  UNION ALL SELECT 'span_s', '', CAST(floor((max(ts_us) - min(ts_us)) / 1e6) AS BIGINT) FROM tele""")
 def g19(spark, d):
     tele = telemetry(spark, d)
     return evaluate.replay_report(tele, alerts.with_ids(detectors.detect_exfil(tele)))
