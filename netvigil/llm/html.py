@@ -37,6 +37,7 @@ from netvigil.llm.common import stored, table
 
 # Roles of HTML elements, and words of class, id and role attributes.
 RAW = "script style noscript template svg math iframe object textarea select option button title".split()
+TEXTUAL = "script style noscript textarea title".split()
 DROPPED = "head nav footer aside form header dialog menu".split()
 INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input picture source meta link".split()
 LOOSE = "p li dt dd tr td th thead tbody tfoot colgroup option optgroup".split()
@@ -102,8 +103,10 @@ def tokens_of(html: str) -> tuple[list[str], list[str]]:
         if text is not None:
             parts.append(text)
         elif tag in RAW and not m[1]:
+            if m[0].endswith("/>") and tag not in TEXTUAL:
+                continue  # closed in itself
             stop = _RAW_END[tag].search(html, at)
-            at = stop.end() if stop else end
+            at = stop.end() if stop else end if tag in TEXTUAL else at
         elif not tag or tag in INLINE or tag in RAW:
             continue
         elif tag == "br" or tag == "hr":
@@ -221,8 +224,15 @@ def _bare(tokens: list[str]) -> list[str]:
 
 
 def _dropped(token: str) -> bool:
+    """Whether a container is none of the text by its tag or words; an article is text whatever its words."""
     tag, *words = token[1:].split(".")
-    return tag in DROPPED or any(map(_drops, words))
+    return tag in DROPPED or (tag not in MAIN_TAGS and any(map(_drops, words)))
+
+
+def _heads(token: str) -> bool:
+    """Whether nothing but its being a header speaks against a container."""
+    tag, *words = token[1:].split(".")
+    return all(p not in DROPPED_WORDS or p == "header" for w in words for p in [w, *re.split("[-_]+", w)]) and (tag == "header" or tag not in DROPPED)
 
 
 def _main(token: str) -> bool:
@@ -251,7 +261,7 @@ def label(tokens: list[str], chars: list[int], constant: list[bool]) -> list[boo
     for _, path in slots:
         start = max([0, *[k + 1 for k, t in enumerate(path) if t[1:].split(".")[0] in MAIN_TAGS]])
         # The header of an article belongs to it; the header of a page doesn't.
-        kept.append(not any(_dropped(t) and not (k >= start > 0 and t[1:].split(".")[0] == "header") for k, t in enumerate(path)))
+        kept.append(not any(_dropped(t) and not (k >= start > 0 and _heads(t)) for k, t in enumerate(path)))
     inside = [k and any(_main(t) for t in path) for k, (_, path) in zip(kept, slots, strict=True)]
     if any(inside):
         return inside

@@ -296,3 +296,20 @@ def test_html_of_many_classes(spark):
     rows = [(i, f"http://a.b/{i}", page(i)) for i in range(3)]
     got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"The story number {i} goes on for a while." for i in range(3)}
+
+
+def test_html_keeps_the_article(spark):
+    pages = {
+        "<article><p>One.</p><svg width=1/><p>Two.</p></article>": "One.\nTwo.",
+        "<article><p>One.</p><object data=x><p>Two.</p></article>": "One.\nTwo.",
+        '<article class="post tag-search category-news"><p>Whole.</p></article>': "Whole.",
+        '<article><div class="entry-header"><h1>Title</h1></div><p>Body.</p><div class="share-header">Share</div></article>': "Title\nBody.",
+        "<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Body.</p></article>": "Title\nBody.",
+        "<article><p>Long.</p></article>" * 1 + "<p>x</p>" * 3000: "Long.",
+    }
+    rows = [(k, f"http://h{k}.x/", h, "clash") for k, h in enumerate(pages)] + [(0, "http://h0.x/", next(iter(pages)), "clash")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html.extract_text(df)
+    assert got.columns == ["page_id", "url", "text"]
+    assert sorted((r.page_id, r.text) for r in got.collect()) == sorted([(0, "One.\nTwo."), *enumerate(pages.values())])
+    assert html.extract_text(df.where("false")).count() == 0
