@@ -2,8 +2,10 @@
 
 A batch of new events is scored together with the events of the longest window before
 it, which are kept in a small table beside the checkpoint; what was emitted already has
-the same alert_id and is dropped by the store. So results equal those of one batch over
-the same rows, and a batch that is run twice adds nothing.
+the same alert_id and is dropped by the store, and a batch that is run twice adds
+nothing. Results equal those of one batch over the same rows while all of them lie within
+``KEPT_SECONDS``; beyond that the repeat filter starts anew at the cut and can emit other
+alerts than one batch would.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ def run_stream(events: DataFrame, path: str, cfg: Config = Config(), asn: DataFr
         before = _read(spark, f"{recent}/{number - 1}") if number else None
         rows = frame if before is None else before.unionByName(frame).dropDuplicates(["seq"])
         newest = rows.agg(F.max("ts_us")).first()[0]
-        if newest is None:
+        if newest is None:  # nothing yet to keep, but the next batch looks here for history
+            rows.write.mode("overwrite").parquet(f"{recent}/{number}")
             return
         rows.where(F.col("ts_us") >= newest - KEPT_SECONDS * 1_000_000).write.mode("overwrite").parquet(f"{recent}/{number}")
         store.append(detect_all(rows, cfg, asn), f"{path}/alerts")
