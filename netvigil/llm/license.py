@@ -3,16 +3,17 @@
 A text is brought to a canonical form: lower case A-Z, copyright lines and pure
 rule lines dropped, equivalent spellings made one, everything but ASCII letters,
 digits and other scripts turned into single spaces. The sha256 of the whole
-canonical text is joined to the digests of known licences and notices. The same is
-done for each line on its own, so that a notice inside a document is found too.
+canonical text is looked up among the digests of known licences and notices. The same
+is done for each line on its own, so that a notice inside a document is found too.
 
-Only DataFrame functions are used. The registry is a table (license_id, text); its
-digests are broadcast only under ``BROADCAST_ROWS`` rows, else joined by a shuffle
-after each digest has been made distinct, so that a hot digest is one row.
+Only DataFrame functions are used. The registry is a table (license_id, text). Its
+digests are a map of constants up to ``MAP_ROWS``, so that a text is read once and
+nothing is shuffled; a larger registry is joined, broadcast only under
+``BROADCAST_ROWS`` rows, else by a shuffle after each digest has been made distinct.
 
 Defined results: a null text is empty; an empty canonical text matches nothing; a
-digest known under several ids gives the smallest; repeated rows stay; other columns
-are ignored; no rows give no rows.
+digest known under several ids gives the smallest; repeated rows stay, each with its own
+notices, with a doc_id or without; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import table
+from netvigil.llm.common import stored, table
 
 BROADCAST_ROWS = 10_000
+#: Up to so many digests are looked up in a map of constants.
+MAP_ROWS = 500
 
 # Equivalent spellings, by the public SPDX matching guidelines.
 SPELLINGS = [
@@ -85,6 +88,8 @@ TITLES = {"ISC": ["ISC License", "The ISC License", "ISC License (ISC)"], "MIT":
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright(?=[ \t:,]*(\(c\)|©|[0-9]{4})|[ \t:,]+(?!(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in|is|to|of|for|the above)\b)[^ \t\n])|\(c\)|©)[^\n]*"
 #: ASCII marks and white space but the line end.
 MARKS = r"[\x00-\x09\x0B-/:-@\[-`{-\x7F]+"
+#: The same runs but a single space, which stays as it is.
+RUNS = r"[\x00-\x09\x0B-/:-@\[-`{-\x7F]{2,}|[\x00-\x09\x0B-\x1F!-/:-@\[-`{-\x7F]"
 ONE_WORD = [(a, b) for a, b in SPELLINGS if " " not in a]
 TWO_WORDS = [(a, b) for a, b in SPELLINGS if " " in a]
 
@@ -100,13 +105,14 @@ def _shaped(text: Column) -> Column:
     low = F.lower(text)
     stated = low.contains("copyright") | low.contains("(c)") | low.contains("©")
     kept = F.when(stated, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low)
-    words = F.regexp_replace(F.regexp_replace(kept, MARKS, " "), " ?\n ?", " \n ")
+    words = F.replace(F.regexp_replace(kept, RUNS, " "), F.lit("\n"), F.lit(" \n "))
+    words = F.replace(F.replace(words, F.lit("  \n"), F.lit(" \n")), F.lit("\n  "), F.lit("\n "))
     return _spelled(F.concat(F.lit(" "), words, F.lit(" ")), ONE_WORD)
 
 
 def _whole(shaped: Column) -> Column:
     """The canonical form of a shaped text."""
-    return F.trim(_spelled(F.regexp_replace(shaped, r"[ \n]+", " "), TWO_WORDS))
+    return F.trim(_spelled(F.regexp_replace(shaped, r"[ \n]{2,}", " "), TWO_WORDS))
 
 
 def canonical(text: Column) -> Column:
@@ -125,28 +131,38 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, canonical_sha256, license_id, notices).
 
     ``license_id`` is that of the entire text, or null; ``notices`` are the sorted ids
-    of the lines that are a known text by themselves, over all rows of a doc_id.
+    of the row's lines that are a known text by themselves.
     """
     shapes = known.select("license_id", canonical(F.col("text")).alias("shape")).where("shape != ''")
     digests = shapes.groupBy(F.sha2("shape", 256).alias("digest"), F.length("shape").alias("chars")).agg(F.min("license_id").alias("license_id"))
-    bound = digests.agg(F.count("*").alias("n"), F.collect_set("chars").alias("chars")).first()
-    small = bound["n"] <= BROADCAST_ROWS
-    side = digests.select("digest", "license_id")
-    side = F.broadcast(side) if small else side
     rows = docs.select("doc_id", _shaped(F.coalesce("text", F.lit(""))).alias("shaped"))
-    rows = rows.select("doc_id", _whole(F.col("shaped")).alias("shape"), F.split("shaped", "\n").alias("lines"))
+    shape, lines = _whole(F.col("shaped")).alias("shape"), F.split(_spelled(F.col("shaped"), TWO_WORDS), "\n").alias("lines")
+    rows = rows.select("doc_id", shape, lines)
+    n = digests.count()
+    if n > MAP_ROWS:
+        return _joined(rows, F.broadcast(digests) if n <= BROADCAST_ROWS else digests)
+    entries = digests.orderBy("digest").collect()
+    ids = F.create_map(*[F.lit(x) for r in entries for x in (r["digest"], r["license_id"])]) if entries else F.create_map().cast("map<string,string>")
     # Equal digests need equal lengths, so most lines are never hashed.
-    fits = (lambda x: F.length(x).isin(sorted(bound["chars"]))) if small else (lambda x: x != "")
-    lines = F.filter(F.transform("lines", lambda x: F.trim(_spelled(x, TWO_WORDS))), fits)
-    found = rows.select("doc_id", F.explode(F.array_distinct(lines)).alias("line")).select("doc_id", F.sha2("line", 256).alias("digest"))
-    notices = found.join(side, "digest").groupBy("doc_id").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
-    whole = rows.select("doc_id", F.when(F.col("shape") != "", F.sha2("shape", 256)).alias("canonical_sha256"))
-    if small:
-        whole = whole.join(side.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    else:  # a digest that many documents share meets the registry as one row
-        hits = whole.select("canonical_sha256").distinct().join(side.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256")
-        whole = whole.join(hits, "canonical_sha256", "left")
-    return whole.join(notices, "doc_id", "left").select("doc_id", "canonical_sha256", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    lengths = sorted({r["chars"] for r in entries})
+    trimmed = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths))
+    notices = F.array_compact(F.transform(trimmed, lambda x: F.try_element_at(ids, F.sha2(x, 256))))
+    found = rows.select("doc_id", F.when(F.col("shape") != "", F.sha2("shape", 256)).alias("canonical_sha256"), F.array_sort(F.array_distinct(notices)).alias("notices"))
+    return found.select("doc_id", "canonical_sha256", F.try_element_at(ids, F.col("canonical_sha256")).alias("license_id"), "notices")
+
+
+def _joined(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The same with a registry that is joined: whole texts and lines meet it together, equal digests of a row once."""
+    lines = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != "")
+    whole = F.when(F.col("shape") != "", F.sha2("shape", 256))
+    marked = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole.alias("canonical_sha256"), F.transform(F.array_distinct(lines), lambda x: F.sha2(x, 256)).alias("lines"))
+    marked = stored(marked, "license-digests")  # row numbers stay those written, whichever task runs again
+    wanted = marked.select("row", F.explode("lines").alias("digest"), F.lit(True).alias("line")).unionByName(marked.select("row", F.col("canonical_sha256").alias("digest"), F.lit(False).alias("line")))
+    # A digest that many rows share meets the registry as one row.
+    hits = wanted.select("digest").distinct().join(digests.select("digest", "license_id"), "digest")
+    found = wanted.join(hits, "digest")
+    ids = found.groupBy("row").agg(F.max(F.when(~F.col("line"), F.col("license_id"))).alias("license_id"), F.array_sort(F.collect_set(F.when(F.col("line"), F.col("license_id")))).alias("notices"))
+    return marked.join(ids, "row", "left").select("doc_id", "canonical_sha256", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,24 @@ def test_licenses(spark):
     assert len(got) == 5 and {r.license_id for r in got if r.doc_id == 4} == {None, "MIT"}
 
 
+def test_licenses_of_odd_rows_and_of_a_joined_registry(spark, none, monkeypatch):
+    notice = "Released under the MIT License."
+    rows = [(None, notice, "a"), (None, "x", "b"), (5, notice + "\n" + notice, "c"), (5, "Licensed under CC BY 4.0.\n" + notice, "d"), (6, " \n\n \n", "e"), (7, "word - \n" * 30000 + "\t" + notice.upper(), "f"), (8, "licence  licence\n\nlicence", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, notices string")
+    want = sorted([(-1, "MIT", ["MIT"]), (-1, None, []), (5, None, ["MIT"]), (5, None, ["CC-BY-4.0", "MIT"]), (6, None, []), (7, None, ["MIT"]), (8, None, [])], key=str)
+    known = license.registry(spark)
+    results = []
+    for map_rows, broadcast_rows in ((license.MAP_ROWS, license.BROADCAST_ROWS), (0, license.BROADCAST_ROWS), (0, 0)):
+        monkeypatch.setattr(license, "MAP_ROWS", map_rows)
+        monkeypatch.setattr(license, "BROADCAST_ROWS", broadcast_rows)
+        got = license.scan_licenses(df, known).collect()
+        assert sorted([(-1 if r.doc_id is None else r.doc_id, r.license_id, r.notices) for r in got], key=str) == want
+        results.append(sorted([str(r.canonical_sha256) for r in got]))
+        assert license.scan_licenses(none, known).count() == 0
+    assert results[0] == results[1] == results[2]
+    assert {r.license_id for r in license.scan_licenses(df, known.where("false")).collect()} == {None}
+
+
 def test_token_files(spark, docs, none, monkeypatch):
     monkeypatch.setattr(huffman, "BUCKET_IDS", 5000)
     got = sorted(huffman.read_digests(spark, huffman.write_token_files(docs)).collect())
