@@ -8,6 +8,8 @@ state for a key: no key's rows are ever gathered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,15 +29,21 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.withColumns({"alert_id": F.sha2(key, 256), "timestamp": F.timestamp_micros("ts_us")})
 
 
-def validate(alerts: DataFrame) -> DataFrame:
-    """alerts with ``rejected``: the first rule of the contract that a row breaks, or null."""
+def validate(alerts: DataFrame, strict: bool = False) -> DataFrame:
+    """alerts with ``rejected``: the first rule of the contract that a row breaks, or null; strict ones fail instead."""
+    needed = ["alert_id", "timestamp", "flow_id", "threat_class", "subtype", "confidence", "severity", "supporting_evidence", "mitre_attack", "model_version"]
+    flow = ["src_ip", "src_port", "dst_ip", "dst_port", "proto"]
     checks: list[tuple[str, Column]] = [
-        ("missing field", F.col("alert_id").isNull() | F.col("flow_id").isNull() | F.col("subtype").isNull() | F.col("model_version").isNull() | F.col("mitre_attack").isNull()),
+        ("missing field", reduce(or_, [F.col(n).isNull() for n in needed])),
+        ("flow", reduce(or_, [F.col(f"flow_id.{n}").isNull() for n in flow])),
         ("threat class", ~F.coalesce(F.col("threat_class").isin(fixed.THREATS), F.lit(False))),
         ("severity", ~F.coalesce(F.col("severity").isin(fixed.SEVERITIES), F.lit(False))),
         ("confidence", ~F.coalesce(F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence"), F.lit(False))),
     ]
-    return alerts.withColumn("rejected", F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in checks]))
+    broken = F.coalesce(*[F.when(fails, F.lit(name)) for name, fails in checks])
+    if strict:
+        broken = F.when(broken.isNotNull(), F.raise_error(F.concat(F.lit("invalid alert: "), broken)).cast("string"))
+    return alerts.withColumn("rejected", broken)
 
 
 def refractory(found: DataFrame, windows: dict[str, int] | None = None, otherwise: int = 30) -> DataFrame:

@@ -140,6 +140,24 @@ def replay_report(events: DataFrame, alerts: DataFrame) -> DataFrame:
     return kinds.unionByName(found).unionByName(span)
 
 
-def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+def scenario_score(alerts: DataFrame, expected: str | None) -> DataFrame:
+    """One row: alerts of the expected class, other alerts, and whether the scenario was detected; None expects no alert."""
+    right = F.coalesce(F.sum((F.col("threat_class") == F.lit(expected)).cast("long")), F.lit(0)) if expected else F.lit(0).cast("long")
+    counts = alerts.agg(F.count("*").alias("alerts"), right.alias("true_positive_alerts"))
+    wrong = F.col("alerts") - F.col("true_positive_alerts")
+    return counts.select(F.lit(expected or "benign").alias("ground_truth"), "alerts", "true_positive_alerts", wrong.alias("false_positive_alerts"), (F.col("true_positive_alerts") > 0 if expected else wrong == 0).alias("detected"))
+
+
+def replay_latency(events: DataFrame, alerts: DataFrame, elapsed_s: float) -> DataFrame:
+    """One row: events, alerts, events_per_second and lower quantiles of the alerts' latency_ms to the microsecond.
+
+    Latencies are counted by value before they are ordered, so the ordering task sees values, not alerts.
+    """
+    values = alerts.where("latency_ms is not null").groupBy(S.rounded("latency_ms", 3).alias("ms")).agg(F.count("*").alias("n"))
+    upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)))
+    total = values.agg(F.sum("n").alias("total"))
+    place = lambda q: F.floor((F.col("total") - 1) * q)
+    quantiles = upto.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("upto") > place(q), F.col("ms"))).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    counts = events.agg(F.count("*").alias("events")).crossJoin(alerts.agg(F.count("*").alias("alerts")))
+    rate = S.rounded(F.col("events") / F.lit(max(elapsed_s, 0.0001)), 2)
+    return counts.crossJoin(quantiles).select("events", "alerts", rate.alias("events_per_second"), "p50", "p95", "p99")

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.functions import scalars as S
@@ -110,8 +110,21 @@ def incidents(stored: DataFrame, newest: int = 1000, shown: int = 6) -> DataFram
     )
 
 
+def write_metrics(snapshot: DataFrame, path: str, batch: int) -> None:
+    """Keeps the snapshot rows of a batch; a batch that runs again replaces its own."""
+    names = [x.split()[0] for x in METRICS.split(", ")]
+    types = dict(x.split() for x in METRICS.split(", "))
+    snapshot.select(*[F.col(n).cast(types[n]).alias(n) for n in names]).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """All snapshots, with the batch that wrote them."""
+    return spark.read.schema(METRICS + ", batch long").parquet(path)
+
+
 def latest_metrics(metrics: DataFrame) -> DataFrame:
-    return metrics.orderBy(F.desc("metric_ts")).limit(1)
+    """The newest snapshot."""
+    return metrics.orderBy(F.desc("metric_ts"), F.desc("events_total")).limit(1)
 
 
 def health(stored: DataFrame) -> DataFrame:
@@ -138,8 +151,3 @@ def export_evidence(stored: DataFrame, path: str) -> DataFrame:
         row = df.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns))))), 256).alias("sha256")).select(F.lit(name).alias("name"), "sha256")
         out = row if out is None else out.unionByName(row)
     return out
-
-
-def row_numbers(df: DataFrame, *order: str) -> DataFrame:
-    """df with a dense number n by the given order."""
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)))

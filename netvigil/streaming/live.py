@@ -10,6 +10,8 @@ alerts than one batch would.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,7 +37,11 @@ def run_stream(events: DataFrame, path: str, cfg: Config = Config(), asn: DataFr
             rows.write.mode("overwrite").parquet(f"{recent}/{number}")
             return
         rows.where(F.col("ts_us") >= newest - KEPT_SECONDS * 1_000_000).write.mode("overwrite").parquet(f"{recent}/{number}")
-        store.append(detect_all(rows, cfg, asn), f"{path}/alerts")
+        started = time.monotonic()
+        added = store.append(detect_all(rows, cfg, asn), f"{path}/alerts")
+        seconds = max(time.monotonic() - started, 1e-4)
+        figures = frame.agg(F.date_format(F.timestamp_micros(F.lit(newest)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("metric_ts"), F.count("*").alias("events_total"), F.lit(added).alias("alerts_total"), F.lit(0).alias("stream_lag"), F.lit(seconds * 1000).alias("p95_latency_ms"), (F.count("*") / F.lit(seconds)).alias("throughput_eps"))
+        store.write_metrics(figures, f"{path}/metrics", number)
 
     writer = events.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()

@@ -208,3 +208,24 @@ def test_replay_report_counts_alerts(spark, monkeypatch):
     got = {(r.what, r.name): r.n for r in queries.QUERIES["g19_replay_report"](spark, "").collect()}
     alerts_found = detectors.detect_exfil(spark.createDataFrame(rows, COLUMNS)).groupBy("threat_class", "subtype").count().collect()
     assert alerts_found and got == {("kind", "conn"): 5, ("span_s", ""): 4, **{("alert", f"{r.threat_class}/{r.subtype}"): r["count"] for r in alerts_found}}
+
+
+def test_contract_scores_and_metrics(spark, tmp_path):
+    from netvigil.operators import alerts, evaluate, store
+
+    flow = "named_struct('src_ip', 'a', 'src_port', 1, 'dst_ip', 'b', 'dst_port', 2, 'proto', 'tcp')"
+    good = spark.sql(f"SELECT 'i' AS alert_id, current_timestamp() AS timestamp, {flow} AS flow_id, 'ddos' AS threat_class, 'syn_flood' AS subtype, 0.5D AS confidence, 'low' AS severity, named_struct('n', 1) AS supporting_evidence, array('T') AS mitre_attack, 'v' AS model_version")
+    assert [r.rejected for r in alerts.validate(good, strict=True).collect()] == [None]
+    with pytest.raises(Exception, match="invalid alert: confidence"):
+        alerts.validate(good.selectExpr("* except (confidence)", "1.5D AS confidence"), strict=True).collect()
+    assert tuple(evaluate.scenario_score(good, None).first()) == ("benign", 1, 0, 1, False)
+    assert tuple(evaluate.scenario_score(good.where("false"), None).first()) == ("benign", 0, 0, 0, True)
+    assert tuple(evaluate.scenario_score(good.where("false"), "ddos").first()) == ("ddos", 0, 0, 0, False)
+    waits = spark.range(21).selectExpr("cast(id as double) AS latency_ms")
+    assert tuple(evaluate.replay_latency(good, waits, 2.0).first()) == (1, 21, 0.5, 10.0, 19.0, 19.0)
+    assert tuple(evaluate.replay_latency(good, waits.where("false"), 2.0).first()) == (1, 0, 0.5, None, None, None)
+    row = spark.sql("SELECT '2024' AS metric_ts, 5 AS events_total, 1 AS alerts_total, 0 AS stream_lag, 1.5D AS p95_latency_ms, 2D AS throughput_eps")
+    for batch in (0, 1, 1):
+        store.write_metrics(row.selectExpr("* except (events_total)", f"{batch} AS events_total"), str(tmp_path / "metrics"), batch)
+    seen = store.read_metrics(spark, str(tmp_path / "metrics"))
+    assert seen.count() == 2 and store.latest_metrics(seen).first().events_total == 1
