@@ -5,11 +5,13 @@ words) and text slots named by their block tag. Repeats inside a page are folded
 one-or-more groups. The distinct folded streams of a host are aligned one after the
 other into a wrapper: equal tokens stay, a stretch that only one side has becomes an
 optional group, a stretch that is a repeat of what stands beside it becomes a repeated
-group, texts that differ become slots, texts that all pages share stay constants. The wrapper's slots are then
-labelled as content or not by the containers around them and, where a host has no
-article or main container, by the container that holds most of the varying text. Each
-folded stream gets its slots' labels from its alignment with the wrapper, and pages
-take the texts of content slots.
+group. Every slot of a page has its slot in the wrapper; how often each text stands in a
+wrapper slot over the different pages of the host tells constants from text slots. The
+wrapper's slots are then labelled (``label``): in article and main containers all is
+content but boxes of constants; where a host has none, varying texts that are no links
+are, wherever they stand outside menus and the like. A page takes the texts of its
+content slots. Slots without a place in the wrapper, and hosts with a single page, are
+labelled by the page alone.
 
 Streams are counted per host and folded stream before they meet, so a host with many
 pages brings as many rows as it has page shapes; hosts with many shapes are aligned in
@@ -62,10 +64,10 @@ def host_of(url: str | None) -> str | None:
 
 @dataclass
 class Page:
-    """A folded stream and the texts of its slots: (slot, text) in page order, one for each block."""
+    """A folded stream and its blocks in page order: (slot, text, characters in links)."""
 
     shape: str
-    blocks: list[tuple[int, str]]
+    blocks: list[tuple[int, str, int]]
 
 
 def _signature(tag: str, attributes: str) -> str:
@@ -81,27 +83,35 @@ def _drops(word: str) -> bool:
     return word in DROPPED_WORDS or any(p in DROPPED_WORDS for p in re.split("[-_]+", word))
 
 
-def tokens_of(html: str) -> tuple[list[str], list[str]]:
-    """Tokens (``<div.ad``, ``/div``, ``#p``) and the text of each slot, in page order."""
+def tokens_of(html: str) -> tuple[list[str], list[str], list[int]]:
+    """Tokens (``<div.ad``, ``/div``, ``#p``), the text of each slot and its characters in links, in page order."""
     out: list[str] = []
     texts: list[str] = []
+    links: list[int] = []
+    linked, in_link = 0, False
     stack: list[str] = []
     block, parts = "", []
     at, end = 0, len(html)
 
     def close() -> None:
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 out.append("#" + block)
                 texts.append(text)
+                links.append(min(linked, len(text)))
             parts.clear()
+        linked = 0
 
     while at < end and (m := _TOKEN.match(html, at)):
         at = m.end()
         text, tag = m[4], (m[2] or "").lower()
         if text is not None:
             parts.append(text)
+            linked += len(text) * in_link
+        elif tag == "a":
+            in_link = not m[1]
         elif tag in RAW and not m[1]:
             if m[0].endswith("/>") and tag not in TEXTUAL:
                 continue  # closed in itself
@@ -135,7 +145,7 @@ def tokens_of(html: str) -> tuple[list[str], list[str]]:
             out.append("<" + _signature(tag, m[3]))
     close()
     out += ["/" + t for t in reversed(stack)]
-    return out, texts
+    return out, texts, links
 
 
 def fold(tokens: list[str]) -> tuple[list[str], list[int]]:
@@ -185,9 +195,9 @@ def _balanced(tokens: list[str]) -> bool:
 
 def read_page(html: str | None) -> Page:
     """The folded stream and blocks of a page."""
-    tokens, texts = tokens_of(html or "")
+    tokens, texts, links = tokens_of(html or "")
     folded, home = fold(tokens)
-    return Page(" ".join(folded), list(zip(home, texts, strict=True)))
+    return Page(" ".join(folded), list(zip(home, texts, links, strict=True)))
 
 
 MARKS = ("(", ")+", "[", "]?")
@@ -254,52 +264,130 @@ def slots_of(tokens: list[str]) -> list[tuple[str, list[str]]]:
     return out
 
 
-def label(tokens: list[str], chars: list[int], constant: list[bool]) -> list[bool]:
-    """Which slots of a wrapper are content."""
+@dataclass
+class Use:
+    """What the different pages of a host have in a wrapper slot."""
+
+    blocks: int = 0
+    texts: int = 0
+    chars: int = 0
+    again: int = 0
+    linked: int = 0
+
+    def constant(self, times: int = 2, share: float = 0.8) -> bool:
+        """Whether its texts come back, each ``times`` times on average and ``share`` of their characters."""
+        return self.texts * times <= self.blocks and self.again >= share * self.chars
+
+
+def label(tokens: list[str], uses: list[Use], by_name: bool = True) -> list[bool]:
+    """Which slots of a wrapper are content; by_name: main containers, if there are any, hold it all."""
     slots = slots_of(tokens)
     kept = []
     for _, path in slots:
         start = max([0, *[k + 1 for k, t in enumerate(path) if t[1:].split(".")[0] in MAIN_TAGS]])
         # The header of an article belongs to it; the header of a page doesn't.
         kept.append(not any(_dropped(t) and not (k >= start > 0 and _heads(t)) for k, t in enumerate(path)))
+    homes = paths_of(tokens)
     inside = [k and any(_main(t) for t in path) for k, (_, path) in zip(kept, slots, strict=True)]
-    if any(inside):
-        return inside
-    live = [k and not c for k, c in zip(kept, constant, strict=True)]
+    if by_name and any(inside):
+        return _without_boxes(slots, homes, uses, inside)
+    live = [k and not u.constant() and 2 * u.linked <= u.chars for k, u in zip(kept, uses, strict=True)]
     if not any(live):
         return kept
-    # The innermost container with most of the varying text.
-    weight: dict[tuple[str, ...], int] = {}
+    # A constant amid varying texts of its own container belongs to them, as does a heading before them.
+    out = list(live)
+    for k, (name, _) in enumerate(slots):
+        if kept[k] and not live[k] and 2 * uses[k].linked <= uses[k].chars:
+            beside = [j for j in range(len(slots)) if live[j] and homes[j] == homes[k]]
+            out[k] = bool(beside) and beside[-1] > k and (name == "#h" or beside[0] < k)
+    return out
+
+
+def paths_of(tokens: list[str]) -> list[tuple[int, ...]]:
+    """For each slot the places of the containers around it in the stream."""
+    stack: list[int] = []
+    out = []
+    for k, t in enumerate(tokens):
+        if t[0] == "<":
+            stack.append(k)
+        elif t[0] == "/" and stack:
+            stack.pop()
+        elif t[0] == "#":
+            out.append(tuple(stack))
+    return out
+
+
+def _without_boxes(slots: list[tuple[str, list[str]]], homes: list[tuple[int, ...]], uses: list[Use], inside: list[bool]) -> list[bool]:
+    """Main slots but for boxes: containers within main ones that hold the same texts on page after page.
+
+    A box holds no heading and less text than varies beside it, so that copied articles stay.
+    """
+    varying = sum(u.chars for u, i in zip(uses, inside, strict=True) if i and not u.constant(4, 0.95))
+    boxes: dict[tuple[int, ...], list[int]] = {}
     for k, (_, path) in enumerate(slots):
-        if live[k]:
+        first = next((d for d, t in enumerate(path) if _main(t)), len(path))
+        for d in range(first + 2, len(path) + 1):
+            boxes.setdefault(homes[k][:d], []).append(k)
+    out = list(inside)
+    for own in boxes.values():
+        if all(uses[k].constant(4, 0.95) and uses[k].blocks and slots[k][0] != "#h" for k in own) and sum(uses[k].chars for k in own) < varying:
+            for k in own:
+                out[k] = False
+    return out
+
+
+def label_alone(tokens: list[str], chars: list[int], linked: list[int]) -> list[bool]:
+    """Which slots of a stream are content, by itself: without a main container, those of the innermost one with nine tenths of the text."""
+    uses = [Use(1, 1, c, 0, l) for c, l in zip(chars, linked, strict=True)]
+    out = label(tokens, uses)
+    slots, homes = slots_of(tokens), paths_of(tokens)
+    if any(o and any(_main(t) for t in path) for o, (_, path) in zip(out, slots, strict=True)):
+        return out
+    weight: dict[tuple[int, ...], int] = {}
+    for k, path in enumerate(homes):
+        if out[k]:
             for d in range(len(path) + 1):
-                weight[tuple(path[:d])] = weight.get(tuple(path[:d]), 0) + chars[k]
+                weight[path[:d]] = weight.get(path[:d], 0) + chars[k]
+    if not weight:
+        return out
     most = max(weight.values())
-    root = max((p for p, w in weight.items() if w >= 0.6 * most), key=lambda p: (len(p), weight[p]))
-    return [l and tuple(path[: len(root)]) == root for l, (_, path) in zip(live, slots, strict=True)]
+    root = max((p for p, w in weight.items() if 10 * w >= 9 * most), key=len)
+    return [o and path[: len(root)] == root for o, path in zip(out, homes, strict=True)]
 
 
-def labels_by(wrapper: list[str], content: list[bool], shape: list[str]) -> str:
-    """The labels of a stream's slots, from its alignment with the wrapper."""
-    own = slots_of(shape)
-    out = [None] * len(own)
+def places_in(wrapper: list[str], shape: list[str]) -> list[int]:
+    """The wrapper slot of each slot of a stream, -1 where it has none."""
     number = {k: n for n, k in enumerate(k for k, t in enumerate(wrapper) if t[0] == "#")}
     mine = {k: n for n, k in enumerate(k for k, t in enumerate(shape) if t[0] == "#")}
+    out = [-1] * len(mine)
     for block in SequenceMatcher(None, wrapper, shape, autojunk=False).get_matching_blocks():
         for d in range(block.size):
             if block.b + d in mine:
-                out[mine[block.b + d]] = content[number[block.a + d]]
-    alone = label(shape, [1] * len(own), [False] * len(own))
-    return "".join("1" if (alone[k] if x is None else x) else "0" for k, x in enumerate(out))
+                out[mine[block.b + d]] = number[block.a + d]
+    return out
 
 
 def _shape_key(shape: str) -> int:
     return int.from_bytes(blake2b(shape.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _tokens(joined: str | None) -> list[str]:
+    return joined.split(" ") if joined else []
+
+
+def marks_alone(page: Page) -> str:
+    """0 or 1 for each slot of a page, by the page itself."""
+    tokens = _tokens(page.shape)
+    chars, linked = [0] * sum(t[0] == "#" for t in tokens), [0] * sum(t[0] == "#" for t in tokens)
+    for slot, text, n in page.blocks:
+        chars[slot] += len(text)
+        linked[slot] += n
+    return "".join("01"[x] for x in label_alone(tokens, chars, linked))
+
+
 def read_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, shape_key, shape, slots, texts) of each page."""
-    schema = "page_id long, url string, host string, shape_key long, shape string, slots array<int>, texts array<string>"
+    """(page_id, url, host, shape_key, shape, slots, texts, linked, alone) of each page; alone labels its slots by itself."""
+    schema = "page_id long, url string, host string, shape_key long, shape string, slots array<int>, texts array<string>, linked array<int>, alone string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,72 +395,106 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 urls = part.column(1).to_pylist()
                 read = [read_page(h) for h in part.column(2).to_pylist()]
-                cols = [part.column(0), pa.array(urls, pa.string()), pa.array([host_of(u) for u in urls], pa.string()), pa.array([_shape_key(p.shape) for p in read], pa.int64()), pa.array([p.shape for p in read], pa.string()), pa.array([[s for s, _ in p.blocks] for p in read], pa.list_(pa.int32())), pa.array([[t for _, t in p.blocks] for p in read], pa.list_(pa.string()))]
+                lists = [pa.array([[b[k] for b in p.blocks] for p in read], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.string(), pa.int32()))]
+                cols = [part.column(0), pa.array(urls, pa.string()), pa.array([host_of(u) for u in urls], pa.string()), pa.array([_shape_key(p.shape) for p in read], pa.int64()), pa.array([p.shape for p in read], pa.string()), *lists, pa.array([marks_alone(p) for p in read], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
 
-def host_wrappers(read: DataFrame) -> DataFrame:
-    """(host, shape_key, labels): a mark for each slot of each page shape."""
-    texts = F.transform(F.col("texts"), lambda t: F.xxhash64(t))
-    digest = F.xxhash64(F.col("slots"), texts)
-    shapes = read.groupBy("host", "shape_key").agg(
-        F.first("shape").alias("shape"),
-        F.count("*").alias("pages"),
-        F.min(digest).alias("least"), F.max(digest).alias("most"),
-        F.max_by(F.struct("slots", "texts"), F.struct(F.size("texts"), "page_id")).alias("longest"),
-        F.min_by(F.struct("slots", "texts"), F.struct(F.size("texts"), "page_id")).alias("shortest"),
-    )
-    per_slot = shapes.select("host", "shape_key", "shape", "pages", F.col("longest.slots").alias("slots"), F.transform("longest.texts", F.length).alias("chars"), F.array_intersect("longest.texts", "shortest.texts").alias("shared"), F.col("longest.texts").alias("texts"), (F.col("least") != F.col("most")).alias("varies"))
-    own = per_slot.select("host", "shape_key", "shape", "pages", "slots", "chars", F.transform("texts", lambda t: F.col("varies") & F.array_contains("shared", t)).alias("same"))
+def host_wrappers(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, wrapper) and (host, shape_key, named, places): whether a page shape has a main container, the wrapper slot of each of its slots."""
+    shapes = read.groupBy("host", "shape_key").agg(F.first("shape").alias("shape"), F.count("*").alias("pages"))
+    sizes = shapes.groupBy("host").agg(F.count("*").alias("n")).withColumnRenamed("host", "h")
     part = F.pmod(F.col("shape_key"), F.greatest(F.lit(1), F.ceil(F.col("n") / SHAPES))).cast("long")
-    counted = own.join(own.groupBy("host").agg(F.count("*").alias("n")).withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("part", part)
-    counted = stored(counted, "shapes")
+    counted = stored(shapes.join(sizes, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("part", part), "shapes")
 
-    def infer(frame: pd.DataFrame) -> pd.DataFrame:
+    def union(streams: pd.Series) -> str:
         wrapper: list[str] = []
-        for shape in frame.sort_values(["pages", "shape_key"], ascending=False)["shape"]:
-            wrapper = align(wrapper, shape.split(" ")) if wrapper and shape else shape.split(" ") if shape else wrapper
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [" ".join(wrapper)], "pages": [int(frame["pages"].sum())]})
+        for stream in streams:
+            wrapper = align(wrapper, _tokens(stream)) if wrapper and stream else _tokens(stream) or wrapper
+        return " ".join(wrapper)
+
+    def infer(frame: pd.DataFrame) -> pd.DataFrame:
+        own = union(frame.sort_values(["pages", "shape_key"], ascending=False)["shape"])
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [own], "pages": [int(frame["pages"].sum())]})
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        wrapper: list[str] = []
-        for own_wrapper in frame.sort_values(["pages", "wrapper"], ascending=False)["wrapper"]:
-            wrapper = align(wrapper, own_wrapper.split(" ")) if wrapper and own_wrapper else own_wrapper.split(" ") if own_wrapper else wrapper
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [" ".join(wrapper)]})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [union(frame.sort_values(["pages", "wrapper"], ascending=False)["wrapper"])]})
 
     parts = counted.groupBy("host", "part").applyInPandas(infer, "host string, wrapper string, pages long")
-    wrappers = parts.groupBy("host").applyInPandas(meet, "host string, wrapper string")
+    wrappers = stored(parts.groupBy("host").applyInPandas(meet, "host string, wrapper string"), "wrappers")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_tokens(r["wrapper"]), _tokens(r["shape"])) for r in batch.select(["wrapper", "shape"]).to_pylist()]
+            named = pa.array([any(t[0] == "<" and _main(t) for t in shape) for _, shape in rows], pa.bool_())
+            places = pa.array([places_in(wrapper, shape) for wrapper, shape in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape_key"), named, places], ["host", "shape_key", "named", "places"])
+
+    both = counted.join(wrappers.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).select("host", "shape_key", "shape", "wrapper")
+    return wrappers, stored(both.mapInArrow(place, "host string, shape_key long, named boolean, places array<int>"), "places")
+
+
+def slot_uses(read: DataFrame, places: DataFrame) -> DataFrame:
+    """(host, slot, blocks, texts, chars, again, linked) of each wrapper slot over the different pages of a host."""
+    hashes = F.transform("texts", lambda t: F.xxhash64(t))
+    slim = read.select("host", "shape_key", "slots", hashes.alias("hashes"), F.transform("texts", F.length).alias("sizes"), "linked")
+    # Copies of a page say nothing about what its host repeats.
+    once = slim.dropDuplicates(["host", "shape_key", "slots", "hashes"])
+    at = places.withColumnRenamed("host", "h").withColumnRenamed("shape_key", "k")
+    placed = once.join(at, F.col("host").eqNullSafe(F.col("h")) & (F.col("shape_key") == F.col("k")))
+    block = F.explode(F.arrays_zip(F.transform("slots", lambda s: F.element_at("places", s + 1)).alias("slot"), F.col("hashes").alias("hash"), F.col("sizes").alias("size"), "linked"))
+    blocks = placed.select("host", block.alias("b")).select("host", "b.*").where("slot >= 0")
+    texts = blocks.groupBy("host", "slot", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.sum("linked").alias("linked"))
+    return texts.groupBy("host", "slot").agg(F.sum("n").alias("blocks"), F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("n") > 1, F.col("chars")).otherwise(0)).alias("again"), F.sum("linked").alias("linked"))
+
+
+def host_labels(wrappers: DataFrame, uses: DataFrame) -> DataFrame:
+    """(h, labels, loose): a mark for each slot of a host's wrapper, with and without a say of its main containers."""
+    per_host = uses.groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("slot", "blocks", "texts", "chars", "again", "linked")).alias("uses"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                shape, wrapper = r["shape"].split(" ") if r["shape"] else [], r["wrapper"].split(" ") if r["wrapper"] else []
-                slots = slots_of(wrapper)
-                mine = slots_of(shape)
-                chars, same = [0] * len(mine), [True] * len(mine)
-                for s, c, k in zip(r["slots"], r["chars"], r["same"], strict=True):
-                    chars[s] += c
-                    same[s] &= k
-                if any(_main(t) for t in wrapper if t[0] == "<"):
-                    out.append(labels_by(wrapper, label(wrapper, [1] * len(slots), [False] * len(slots)), shape))
-                else:  # no container says where the content is: this shape's own texts decide
-                    out.append("".join("01"[x] for x in label(shape, chars, same)))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape_key"), pa.array(out, pa.string())], ["host", "shape_key", "labels"])
-
-    both = counted.join(wrappers.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).select("host", "shape_key", "shape", "slots", "chars", "same", "wrapper")
-    return both.mapInArrow(mark, "host string, shape_key long, labels string")
+            out: tuple[list[str], list[str]] = ([], [])
+            for r in batch.select(["wrapper", "uses"]).to_pylist():
+                tokens = _tokens(r["wrapper"])
+                own = [Use() for t in tokens if t[0] == "#"]
+                for u in r["uses"]:
+                    slot = u.pop("slot")
+                    own[slot] = Use(**u)
+                for labels, by_name in zip(out, (True, False), strict=True):
+                    labels.append("".join("01"[x] for x in label(tokens, own, by_name)))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *[pa.array(x, pa.string()) for x in out]], ["h", "labels", "loose"])
+
+    return wrappers.join(per_host, F.col("host").eqNullSafe(F.col("h"))).select("host", "wrapper", "uses").mapInArrow(mark, "h string, labels string, loose string")
+
+
+def page_labels(read: DataFrame) -> DataFrame:
+    """(h, k, marks): for each slot of each page shape of each host 0, 1, or ? where the page alone decides."""
+    wrappers, places = host_wrappers(read)
+    digest = F.xxhash64("shape_key", "slots", F.transform("texts", lambda t: F.xxhash64(t)))
+    several = read.groupBy("host").agg((F.min(digest) != F.max(digest)).alias("several")).where("several").select("host")
+    by_host = host_labels(wrappers, slot_uses(read, places))
+    known = by_host.join(several, F.col("h").eqNullSafe(F.col("host"))).drop("host")
+
+    def marks(labels: str) -> F.Column:
+        return F.array_join(F.transform("places", lambda p: F.when((p < 0) | F.col(labels).isNull(), "?").otherwise(F.substring(labels, p + 1, F.lit(1)))), "")
+
+    # A page without a main container, none of whose text has its place in one, is of another kind.
+    own = F.when(F.col("named") | marks("labels").contains("1"), marks("labels")).otherwise(marks("loose"))
+    return places.join(known, F.col("host").eqNullSafe(F.col("h")), "left").select(F.col("host").alias("h"), F.col("shape_key").alias("k"), own.alias("marks"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each page."""
     read = stored(read_pages(pages), "pages")
-    labels = stored(host_wrappers(read), "labels").withColumnRenamed("host", "h").withColumnRenamed("shape_key", "k")
-    joined = read.join(labels, F.col("host").eqNullSafe(F.col("h")) & (F.col("shape_key") == F.col("k")), "left")
-    kept = F.filter("texts", lambda t, k: F.substring("labels", F.element_at("slots", k + 1) + 1, F.lit(1)) == "1")
+    joined = read.join(stored(page_labels(read), "labels"), F.col("host").eqNullSafe(F.col("h")) & (F.col("shape_key") == F.col("k")), "left")
+
+    def of(labels: str, k: F.Column) -> F.Column:
+        return F.substring(labels, F.element_at("slots", k + 1) + 1, F.lit(1))
+
+    kept = F.filter("texts", lambda t, k: (of("marks", k) == "1") | ((of("marks", k) == "?") & (of("alone", k) == "1")))
     return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
 
 
