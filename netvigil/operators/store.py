@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netvigil.functions import scalars as S
@@ -27,10 +27,11 @@ def records(alerts: DataFrame) -> DataFrame:
 def chain(new: DataFrame, head: str = GENESIS, first: int = 1) -> DataFrame:
     """The rows in (ts_us, alert_id) order with seq, prev_hash and record_hash.
 
-    A chain is one sequence by definition; only hashes pass through its single task,
-    the records meet them again by alert_id.
+    A chain is one sequence by definition: each hash takes in the one before it and the
+    whole record, so ids and records pass through one task, as a stream that keeps only
+    the last hash. The other columns meet the hashes again by alert_id.
     """
-    slim = new.select("ts_us", "alert_id", F.sha2("record_json", 256).alias("digest"), "record_json").orderBy("ts_us", "alert_id").coalesce(1)
+    slim = new.select("ts_us", "alert_id", "record_json").orderBy("ts_us", "alert_id").coalesce(1)
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, seq = head, first
@@ -47,6 +48,17 @@ def chain(new: DataFrame, head: str = GENESIS, first: int = 1) -> DataFrame:
     return new.join(hashes, "alert_id").select(*[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def numbered(new: DataFrame, path: str, first: int = 1) -> DataFrame:
+    """The rows with seq in (ts_us, alert_id) order, without a chain: written at path in ranges by all tasks, each range numbered from where the one before it ends."""
+    ranged = new.repartitionByRange("ts_us", "alert_id").sortWithinPartitions("ts_us", "alert_id")
+    at = F.monotonically_increasing_id()
+    ranged.withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.mode("overwrite").parquet(path)
+    rows = new.sparkSession.read.parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))  # as many as there are ranges
+    starts = sizes.select(F.col("_range"), (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_start"))
+    return rows.join(starts, "_range").withColumn("seq", F.col("_start") + F.col("_at") + first).drop("_range", "_at", "_start")
+
+
 def append(alerts: DataFrame, path: str) -> int:
     """Adds the alerts that the table lacks to its chain; how many."""
     spark = alerts.sparkSession

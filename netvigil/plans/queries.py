@@ -232,18 +232,25 @@ def b15(spark, d):
 
 
 # The store, over customers as alerts: many rows, given order.
-def _stored(spark: SparkSession, d: str) -> DataFrame:
+def _rows_to_store(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "orders").select(
         F.col("o_orderkey").alias("ts_us"), F.concat(F.lit("a"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("alert_id"), F.lit("2024").alias("timestamp"),
         F.element_at(F.array(*map(F.lit, fixed.THREATS)), (F.col("o_custkey") % 6 + 1).cast("int")).alias("threat_class"),
         S.rounded(F.col("o_custkey") % 100 / 100.0, 2).alias("confidence"), F.concat(F.lit("10.1.1."), (F.col("o_custkey") % 50).cast("string")).alias("src_ip"), F.lit("10.2.2.2").alias("dst_ip"),
         F.concat(F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit("}")).alias("record_json"))
-    rows = rows.withColumn("severity", S.severity_of(F.col("confidence")))
+    return rows.withColumn("severity", S.severity_of(F.col("confidence")))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark, "chain")
-    store.chain(rows).write.parquet(path)
+    store.chain(_rows_to_store(spark, d)).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    return store.numbered(_rows_to_store(spark, d), _scratch(spark, "numbered"))
+
+
 _STORED = f"""WITH RECURSIVE rows AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS seq, 'a' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS alert_id,
   list_extract([{", ".join(f"'{t}'" for t in fixed.THREATS)}], CAST(o_custkey % 6 + 1 AS INT)) AS threat_class, round_even(o_custkey % 100 / 100.0, 2) AS confidence, '10.1.1.' || CAST(o_custkey % 50 AS VARCHAR) AS src_ip, '{{"key":' || CAST(o_orderkey AS VARCHAR) || '}}' AS record_json FROM orders
 ), stored AS (SELECT *, {_SEV} AS severity FROM rows)"""
@@ -268,17 +275,17 @@ def f2_bad(spark, d):
 
 @query("f3_list_alerts", _STORED + " SELECT seq, alert_id, confidence FROM stored WHERE threat_class = 'ddos' AND severity = 'high' ORDER BY seq DESC LIMIT 250")
 def f3(spark, d):
-    return store.list_alerts(_stored(spark, d), "ddos", "high").select("seq", "alert_id", "confidence")
+    return store.list_alerts(_numbered(spark, d), "ddos", "high").select("seq", "alert_id", "confidence")
 
 
 @query("f4_summary", _STORED + """ SELECT 'threat_class' AS "by", threat_class AS name, count(*) AS n FROM stored GROUP BY ALL UNION ALL SELECT 'severity', severity, count(*) FROM stored GROUP BY ALL UNION ALL SELECT 'all', '', count(*) FROM stored""")
 def f4(spark, d):
-    return store.summary(_stored(spark, d))
+    return store.summary(_numbered(spark, d))
 
 
 @query("f5_incidents", _STORED + """, newest AS (SELECT * FROM stored ORDER BY seq DESC LIMIT 1000) SELECT src_ip, CAST(least(100, sum(CAST(round_even(confidence * 18, 0) AS BIGINT))) AS BIGINT) AS risk, string_agg(DISTINCT threat_class, ',' ORDER BY threat_class) AS classes, max(seq) AS newest FROM newest GROUP BY src_ip""")
 def f5(spark, d):
-    return store.incidents(_stored(spark, d)).select("src_ip", "risk", F.array_join("classes", ",").alias("classes"), F.col("alerts")[0]["seq"].alias("newest"))
+    return store.incidents(_numbered(spark, d)).select("src_ip", "risk", F.array_join("classes", ",").alias("classes"), F.col("alerts")[0]["seq"].alias("newest"))
 
 
 @query("f7_health", "SELECT count(*) AS alerts, true AS valid, count(*) AS checked FROM orders")

@@ -1,11 +1,14 @@
 """The detection pipeline over streams.
 
-A batch of new events is scored together with the events of the longest window before
-it, which are kept in a small table beside the checkpoint; what was emitted already has
-the same alert_id and is dropped by the store, and a batch that is run twice adds
-nothing. Results equal those of one batch over the same rows while all of them lie within
-``KEPT_SECONDS``; beyond that the repeat filter starts anew at the cut and can emit other
-alerts than one batch would.
+A batch of new events raises alerts only for its own events. What the pipeline has to
+remember lies in small tables beside the checkpoint, one folder for each batch: the
+events of the last ``KEPT_SECONDS``, which fill windows; when each key last raised an
+alert in that time, from which the repeat filter goes on; and the latest alerts of each
+source that has any, from which correlation goes on. So the alerts are those of one batch
+over the same rows in the same order. An event that comes later than what its key has
+raised already counts as a repeat of it; one that is older than the kept time finds its
+window empty. A batch that is run twice reads the state of the one before it and adds
+nothing, as its alerts have the same ids.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from netvigil.operators import store
-from netvigil.operators.alerts import detect_all
+from netvigil.operators import alerts, store
 from netvigil.operators.detectors import Config
 
-#: Seconds of events that are kept for the windows and cooldowns of later batches.
+#: Seconds of events that are kept for the windows of later batches: the longest window, and as much again for rows that come late.
 KEPT_SECONDS = 3600 + 300
 
 
@@ -29,16 +31,29 @@ def run_stream(events: DataFrame, path: str, cfg: Config = Config(), asn: DataFr
 
     def batch(frame: DataFrame, number: int) -> None:
         spark = frame.sparkSession
-        recent = f"{path}/recent"
-        before = _read(spark, f"{recent}/{number - 1}") if number else None
-        rows = frame if before is None else before.unionByName(frame).dropDuplicates(["seq"])
+
+        def before(name: str) -> DataFrame | None:
+            return _read(spark, f"{path}/{name}/{number - 1}") if number else None
+
+        def keep(name: str, rows: DataFrame) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/{number}")
+            return spark.read.parquet(f"{path}/{name}/{number}")
+
+        history, last, sources = before("recent"), before("emitted"), before("sources")
+        rows = frame if history is None else history.unionByName(frame).dropDuplicates(["seq"])
         newest = rows.agg(F.max("ts_us")).first()[0]
         if newest is None:  # nothing yet to keep, but the next batch looks here for history
-            rows.write.mode("overwrite").parquet(f"{recent}/{number}")
+            keep("recent", rows)
             return
-        rows.where(F.col("ts_us") >= newest - KEPT_SECONDS * 1_000_000).write.mode("overwrite").parquet(f"{recent}/{number}")
+        since = newest - KEPT_SECONDS * 1_000_000
+        keep("recent", rows.where(F.col("ts_us") >= since))
         started = time.monotonic()
-        added = store.append(detect_all(rows, cfg, asn), f"{path}/alerts")
+        new = frame.select("seq") if history is None else frame.select("seq").join(history.select("seq"), "seq", "left_anti")
+        fresh = alerts.fresh_alerts(rows, cfg, asn, only=new, last=last).persist()
+        keep("emitted", alerts.last_emitted(fresh, last).where(F.col("ts_us") >= since))
+        keep("sources", alerts.correlation_state(fresh, sources))
+        added = store.append(alerts.with_correlated(fresh, sources), f"{path}/alerts")
+        fresh.unpersist()
         seconds = max(time.monotonic() - started, 1e-4)
         figures = frame.agg(F.date_format(F.timestamp_micros(F.lit(newest)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("metric_ts"), F.count("*").alias("events_total"), F.lit(added).alias("alerts_total"), F.lit(0).alias("stream_lag"), F.lit(seconds * 1000).alias("p95_latency_ms"), (F.count("*") / F.lit(seconds)).alias("throughput_eps"))
         store.write_metrics(figures, f"{path}/metrics", number)

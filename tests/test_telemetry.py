@@ -147,6 +147,34 @@ def test_logs_flows_and_packets(spark, tmp_path):
     assert packets.dns_queries(heads).first().query == "n.example"
 
 
+def test_many_runs_equal_one(spark, tmp_path):
+    """Hours of alerts in runs that carry their state, one of them empty, are those of one run."""
+    rng = random.Random(5)
+    threats = ["ddos", "recon_scan", "exfiltration", "c2_beaconing"]
+    times = sorted(rng.randrange(20_000) for _ in range(900))
+    found = _alerts(spark, [(t, rng.choice(threats), rng.choice("abc")) for t in times]).withColumn("aggregation_key", F.col("flow_id.src_ip")).persist()
+    fresh = alerts.refractory(found).persist()
+    whole = {r.seq for r in fresh.collect()}, sorted((r.ts_us, r.underlying_alert_ids) for r in alerts.correlate(fresh).collect())
+    seqs, linked, last, sources = set(), [], None, None
+    for turn, (low, high) in enumerate(((0, 7000), (7000, 7000), (7000, 12_500), (12_500, 20_000))):
+        own = alerts.refractory(found.where(F.col("ts_us").between(low * 1_000_000, high * 1_000_000 - 1)), last=last).persist()
+        seqs |= {r.seq for r in own.collect()}
+        linked += [(r.ts_us, r.underlying_alert_ids) for r in alerts.correlate(own, before=sources).collect()]
+        for name, rows in (("last", alerts.last_emitted(own, last)), ("sources", alerts.correlation_state(own, sources))):
+            rows.write.parquet(str(tmp_path / f"{name}{turn}"))
+        last, sources = (spark.read.parquet(str(tmp_path / f"{name}{turn}")) for name in ("last", "sources"))
+    assert len(whole[1]) > 8 and (seqs, sorted(linked)) == whole
+    late = alerts.refractory(found.limit(1), last=last)
+    assert late.count() == 0  # it comes after what its key has raised
+
+
+def test_numbered_rows(spark, tmp_path):
+    rows = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("ts_us"), F.concat(F.lit("a"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("alert_id"))
+    got = store.numbered(rows.repartition(6), str(tmp_path / "rows")).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, 501)) and [(r.ts_us, r.alert_id) for r in got] == sorted((r.ts_us, r.alert_id) for r in rows.collect())
+    assert store.numbered(rows.where("false"), str(tmp_path / "none")).count() == 0
+
+
 def test_evaluation(spark):
     rows = [event(i, 1000 + i % 40, src_ip="172.16.0.1", dst_ip="10.0.0.5", dst_port=1 + i % 40) for i in range(40)] + [event(100 + i, 2050 + i, src_ip="172.16.0.1", dst_ip="10.0.0.7", dst_port=1 + i) for i in range(40)] + [event(200 + i, 1500 + i, src_ip="192.168.10.50") for i in range(60)] + [event(300, 1, src_ip="9.9.9.9")]
     tele = spark.createDataFrame(rows, COLUMNS)
