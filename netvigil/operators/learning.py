@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.functions import scalars as S
@@ -79,32 +79,60 @@ def exfil_anomaly(rows: DataFrame, model: pd.DataFrame | None, limit: float = 0.
     """rows with exfil_anomaly_score and exfil_anomaly_flag; null without a model."""
     if model is None or not len(model):
         return rows.withColumns({"exfil_anomaly_score": F.lit(None).cast("double"), "exfil_anomaly_flag": F.lit(None).cast("boolean")})
-    trees = [t.sort_values("node").reset_index(drop=True) for _, t in model.groupby("tree")]
+    trees = []
+    for _, t in model.groupby("tree"):
+        t = t.sort_values("node").reset_index(drop=True)
+        children = np.zeros((len(t), 2), int)
+        inner = t["parent"].to_numpy() >= 0
+        children[t["parent"].to_numpy()[inner], t["side"].to_numpy()[inner]] = t["node"].to_numpy()[inner]
+        trees.append((children, t["axis"].to_numpy(), t["cut"].to_numpy(), t["depth"].to_numpy(float), t["size"].to_numpy(float)))
     rest = lambda n: 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772) - 2 * (n - 1) / np.maximum(n, 1)
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def score(sent: pd.Series, ratio: pd.Series) -> pd.Series:
         points = np.stack([sent.to_numpy(float), ratio.to_numpy(float)], 1)
         total = np.zeros(len(points))
-        for t in trees:
-            child = {(int(p), int(s)): int(n) for n, p, s in zip(t["node"], t["parent"], t["side"], strict=True) if p >= 0}
+        for children, axis, cut, depth, sizes in shared.value:
             at = np.zeros(len(points), int)
-            axis, cut = t["axis"].to_numpy(), t["cut"].to_numpy()
             for _ in range(9):
                 live = np.flatnonzero(axis[at] >= 0)
                 if not len(live):
                     break
                 right = points[live, axis[at[live]]] >= cut[at[live]]
-                at[live] = [child[n, int(r)] for n, r in zip(at[live].tolist(), right.tolist(), strict=True)]
-            size = t["size"].to_numpy(float)[at]
-            total += t["depth"].to_numpy(float)[at] + np.where(size > 1, rest(size), 0)
-        top = max(2.0, float(max(t["size"].iloc[0] for t in trees)))
-        return pd.Series(2 ** (-(total / len(trees)) / rest(top)))
+                at[live] = children[at[live], right.astype(int)]
+            total += depth[at] + np.where(sizes[at] > 1, rest(sizes[at]), 0)
+        top = max(2.0, float(max(sizes[0] for *_, sizes in shared.value)))
+        return pd.Series(2 ** (-(total / len(shared.value)) / rest(top)))
 
     out = rows.withColumn("exfil_anomaly_score", S.rounded(score(F.col("outbound_bytes").cast("double"), F.col("outbound_inbound_ratio")), 3))
     return out.withColumn("exfil_anomaly_flag", F.col("exfil_anomaly_score") >= limit)
 
 
-def gate(manifest: dict[str, str], name: str, digest: str, version: str) -> bool:
+def artifact_digest(spark: SparkSession, path: str) -> str | None:
+    """One digest over the names and bytes of a model's files, or none where there are none; tasks hash the files."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    # Part files have random names; the folder and the bytes tell them apart.
+    own = files.select(F.concat_ws(":", F.element_at(F.split("path", "/"), -2), F.sha2("content", 256)).alias("file"))
+    row = own.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("file"))), 256).alias("digest")).first()
+    return row["digest"] if row["n"] else None
+
+
+def manifest_of(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """The manifest of models by name: their digests and the version of the library that wrote them."""
+    return {"library": spark.version} | {name: digest for name, path in paths.items() if (digest := artifact_digest(spark, path))}
+
+
+def gate(manifest: dict[str, str], name: str, digest: str | None, version: str) -> bool:
     """Whether an artifact is the one that the manifest names; fails closed."""
-    return bool(manifest) and manifest.get(name) == digest and manifest.get("library") == version
+    return bool(manifest) and digest is not None and manifest.get(name) == digest and manifest.get("library") == version
+
+
+def load_gated(spark: SparkSession, path: str, name: str, manifest: dict[str, str]) -> PipelineModel | None:
+    """The model at path if its files are those that the manifest names; none, and it is never read, if not."""
+    return PipelineModel.load(path) if gate(manifest, name, artifact_digest(spark, path), spark.version) else None

@@ -168,6 +168,50 @@ def test_many_runs_equal_one(spark, tmp_path):
     assert late.count() == 0  # it comes after what its key has raised
 
 
+def test_models_are_read_only_if_known(spark, tmp_path):
+    from netvigil.operators import learning
+
+    rows = spark.createDataFrame([(w, 0) for w in ("mail", "portal", "images", "static")] + [(w, 1) for w in ("xq7zk2", "qz9xv4", "k3jx8q", "zz8qk1")], "label string, dga int")
+    model, path = learning.dga_train(rows), str(tmp_path / "dga")
+    model.write().save(path)
+    manifest = learning.manifest_of(spark, {"dga": path})
+    assert set(manifest) == {"library", "dga"}
+    loaded = learning.load_gated(spark, path, "dga", manifest)
+    score = lambda m: {r.label: round(r.dga_char_ngram_score, 9) for r in learning.dga_score(m, rows).collect()}
+    assert score(loaded) == score(model)
+    assert learning.load_gated(spark, path, "dga", {}) is None and learning.load_gated(spark, path, "dga", manifest | {"library": "0"}) is None
+    assert learning.load_gated(spark, str(tmp_path / "none"), "dga", manifest) is None
+    (tmp_path / "dga" / "extra").write_text("x")
+    assert learning.load_gated(spark, path, "dga", manifest) is None
+    assert [r.dga_char_ngram_score for r in learning.dga_score(None, rows.limit(1)).collect()] == [None]
+
+
+def test_uploads_that_stand_out(spark):
+    """The vectorised walk of the trees gives the mean depth that a walk row by row gives."""
+    import math
+
+    from netvigil.operators import learning
+
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(float(rng.randrange(1000, 5000)), rng.random() * 3) for _ in range(600)] + [(9e8, 900.0)], "outbound_bytes double, outbound_inbound_ratio double")
+    model = learning.exfil_train(rows, trees=12)
+    got = {(r.outbound_bytes, r.outbound_inbound_ratio): r.exfil_anomaly_score for r in learning.exfil_anomaly(rows, model).collect()}
+    trees = [{int(n["node"]): n for n in t.to_dict("records")} for _, t in model.groupby("tree")]
+    rest = lambda n: 2 * (math.log(max(n - 1, 1)) + 0.5772) - 2 * (n - 1) / max(n, 1)
+    for point, score in got.items():
+        total = 0.0
+        for tree in trees:
+            at = 0
+            while tree[at]["axis"] >= 0:
+                side = int(point[tree[at]["axis"]] >= tree[at]["cut"])
+                at = next(k for k, n in tree.items() if n["parent"] == at and n["side"] == side)
+            total += tree[at]["depth"] + (rest(tree[at]["size"]) if tree[at]["size"] > 1 else 0)
+        top = max(2, max(t[0]["size"] for t in trees))
+        assert abs(score - 2 ** (-(total / len(trees)) / rest(top))) < 6e-4
+    assert max(got, key=got.get) == (9e8, 900.0)
+    assert learning.exfil_anomaly(rows, None).where("exfil_anomaly_score is not null").count() == 0
+
+
 def test_numbered_rows(spark, tmp_path):
     rows = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("ts_us"), F.concat(F.lit("a"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("alert_id"))
     got = store.numbered(rows.repartition(6), str(tmp_path / "rows")).orderBy("seq").collect()
