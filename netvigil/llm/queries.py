@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netvigil.llm import chat, decontam, html, huffman, license, neighbours, packing, simhash, substrings, toxicity
+from netvigil.llm import chat, decontam, fim, html, huffman, license, neighbours, packing, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_license_scan": license.op9_license_scan,
     "op10_token_output": huffman.op10_token_output,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": chat.OP8_SQL,
     "op9_license_scan": license.OP9_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
