@@ -45,11 +45,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         coded = terms.dictionary_encode()
         known, width = coded.dictionary, len(coded.dictionary)
-        pair = pd.MultiIndex.from_arrays([part.column("lang").to_pylist(), part.column("source").to_pylist()])
-        group, groups = pair.factorize()
+        pairs = pd.DataFrame({c: part.column(c).to_pylist() for c in ("lang", "source")})
+        group, groups = pairs.groupby(["lang", "source"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
         in_doc, n = np.unique(doc * width + coded.indices.to_numpy(), return_counts=True)
         cells, at = np.unique(group[in_doc // width] * width + in_doc % width, return_inverse=True)
-        names = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(cells // width)) for k in (0, 1)]
+        names = [pa.array(groups[c].tolist(), pa.string()).take(pa.array(cells // width)) for c in ("lang", "source")]
         total = np.bincount(at, weights=n, minlength=len(cells)).astype(np.int64)
         columns = [*names, known.take(pa.array(cells % width)).cast(pa.string()), pa.array(total), pa.array(np.bincount(at, minlength=len(cells)))]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COUNTS.split(", ")])
@@ -98,9 +98,9 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     marks = rows[rows["sub"] < 0].drop_duplicates("idx").sort_values("idx")
     cells = rows[rows["sub"] >= 0]
     idx, base = marks["idx"].to_numpy(np.int64), marks["p"].to_numpy(np.int64)
-    keys = pd.MultiIndex.from_frame(cells[["digest", "sub"]])
-    term, names = keys.factorize()
-    shares = np.tile(base, (len(names), 1))
+    term = cells.groupby(["digest", "sub"], sort=False).ngroup().to_numpy()
+    seen = int(term.max(initial=-1)) + 1
+    shares = np.tile(base, (seen, 1))
     shares[term, np.searchsorted(idx, cells["idx"].to_numpy(np.int64))] = cells["p"].to_numpy(np.int64)
     first, last = int(rows["tile_a"].iloc[0]), int(rows["tile_b"].iloc[0])
     out = []
@@ -108,7 +108,7 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         others = np.flatnonzero((idx // TILE == last) & (idx > idx[a]))
         p, q = shares[:, [a]], shares[:, others]
         sums = ((p - q) ** 2 // (p + q)).sum(0)
-        out += [(rows["lang"].iloc[0], int(idx[a]), int(idx[b]), len(names), int(v)) for b, v in zip(others, sums, strict=True)]
+        out += [(rows["lang"].iloc[0], int(idx[a]), int(idx[b]), seen, int(v)) for b, v in zip(others, sums, strict=True)]
     return pd.DataFrame(out, columns=["lang", "a", "b", "seen", "total"])
 
 
