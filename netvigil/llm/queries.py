@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netvigil.llm import chat, decontam, divergence, fim, html, huffman, license, neighbours, packing, simhash, substrings, toxicity
+from netvigil.llm import chat, decontam, divergence, fim, html, huffman, license, neighbours, packing, ppm, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": license.op9_license_scan,
     "op10_token_output": huffman.op10_token_output,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_lm_score": ppm.op12_lm_score,
     "op13_divergence": divergence.op13_divergence,
 }
 
