@@ -81,11 +81,16 @@ def _noise() -> Column:
 
 
 def _connections(events: DataFrame) -> DataFrame:
-    return events.where(F.col("kind").isin("conn", "early_event"))
+    return events.where(feat.CONNECTIONS)
 
 
 def detect_ddos(events: DataFrame, cfg: Config = Config()) -> DataFrame:
-    rows = feat.ddos_features(_connections(events), cfg.ddos_seconds).where(~_noise())
+    return ddos_rules(feat.ddos_features(_connections(events), cfg.ddos_seconds), cfg)
+
+
+def ddos_rules(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Candidates of rows with their features; so for each detector, whoever made the features."""
+    rows = rows.where(~_noise())
     reflected = (F.col("udp_count") >= cfg.ddos_packets) & (F.col("unique_sources") >= cfg.ddos_sources)
     flood = (F.col("syn_count") >= cfg.ddos_packets) & (F.col("completion_ratio") <= cfg.ddos_completion)
     subtype = F.when(reflected, "udp_reflection_amplification").when(flood & (F.col("source_ip_entropy") >= cfg.ddos_entropy), "spoof_like_source_flood").when(flood, "syn_flood")
@@ -94,7 +99,10 @@ def detect_ddos(events: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def detect_c2(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
-    rows = feat.c2_features(_connections(events), cfg.c2_seconds)
+    return c2_rules(feat.c2_features(_connections(events), cfg.c2_seconds), cfg, asn)
+
+
+def c2_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
     gate = (F.col("session_count") >= cfg.c2_sessions) & (F.col("iat_cv") <= cfg.c2_cv) & (F.col("persistence_seconds") >= cfg.c2_persistence) & (F.col("destination_port_count") <= cfg.c2_ports)
     gate &= (F.col("mean_outbound_bytes") <= cfg.c2_bytes) & ((F.col("inbound_bytes") == 0) | (F.col("mean_inbound_bytes") <= cfg.c2_bytes))
     rows = describe(rows.where(gate & ~_noise()), "dst_ip", asn)  # only what passed is looked up
@@ -116,13 +124,21 @@ def detect_c2(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None =
 def detect_recon(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """thin: drops repeated candidates before their lists are made, which their key does not need."""
     own = _connections(events)
-    gate = ((F.col("unique_dst_ports") >= cfg.recon_fanout) | (F.col("unique_dst_hosts") >= cfg.recon_fanout)) & (F.col("failure_ratio") >= cfg.recon_failures)
-    passed = feat.recon_features(own, cfg.recon_seconds).where(gate)
+    passed = feat.recon_features(own, cfg.recon_seconds).where(recon_gate(cfg))
     if thin:
         subtype = F.when(F.col("unique_dst_ports") >= cfg.recon_fanout, "vertical_scan").otherwise("horizontal_scan")
         keys = {"threat_class": F.lit("recon_scan"), "subtype": subtype, "aggregation_key": F.concat(F.lit("src="), "src_ip"), "detector_rank": F.lit(2)}
         passed = thin(passed.withColumns(keys)).drop(*keys)
-    gated = feat.recon_targets(passed, own, cfg.recon_seconds)
+    return recon_rules(feat.recon_targets(passed, own, cfg.recon_seconds), cfg, asn)
+
+
+def recon_gate(cfg: Config) -> Column:
+    """Fan-out wide enough, and mostly in vain."""
+    return ((F.col("unique_dst_ports") >= cfg.recon_fanout) | (F.col("unique_dst_hosts") >= cfg.recon_fanout)) & (F.col("failure_ratio") >= cfg.recon_failures)
+
+
+def recon_rules(gated: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+    """gated: rows behind the gate, with dst_hosts and anchor_dst."""
     hosts = gated.select(F.explode("dst_hosts").alias("host")).distinct()
     known = describe(hosts, "host", asn).where("reputation = 'provider'").select("host")
     shares = gated.select("ts_us", "seq", "src_ip", F.explode("dst_hosts").alias("host"), F.size("dst_hosts").alias("n")).join(known, "host").groupBy("ts_us", "seq", "src_ip", "n").agg(F.count("*").alias("hit"))
@@ -142,7 +158,10 @@ def detect_recon(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Non
 
 def detect_exfil(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, anomaly=None) -> DataFrame:
     """anomaly: a function that adds exfil_anomaly_score and exfil_anomaly_flag to gated rows."""
-    rows = feat.exfil_features(_connections(events), cfg.exfil_seconds)
+    return exfil_rules(feat.exfil_features(_connections(events), cfg.exfil_seconds), cfg, asn, anomaly)
+
+
+def exfil_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, anomaly=None) -> DataFrame:
     rows = describe(rows.where((F.col("outbound_bytes") >= cfg.exfil_bytes) & (F.col("outbound_inbound_ratio") >= cfg.exfil_ratio) & (F.col("session_count") >= cfg.exfil_sessions)), "dst_ip", asn)
     rows = anomaly(rows) if anomaly else rows.withColumn("exfil_anomaly_score", F.lit(None).cast("double")).withColumn("exfil_anomaly_flag", F.lit(None).cast("boolean"))
     provider = F.col("reputation") == "provider"
@@ -155,7 +174,11 @@ def detect_exfil(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Non
 
 def detect_dns(events: DataFrame, cfg: Config = Config(), scores: DataFrame | None = None) -> DataFrame:
     """scores: (label, dga_char_ngram_score) of a model, or none."""
-    rows = feat.dns_features(events.where("kind = 'dns'"), cfg.dns_seconds).where(~S.is_known_good_domain(F.col("query")))
+    return dns_rules(feat.dns_features(events.where(feat.FRAMES["dns"].rows), cfg.dns_seconds), cfg, scores)
+
+
+def dns_rules(rows: DataFrame, cfg: Config = Config(), scores: DataFrame | None = None) -> DataFrame:
+    rows = rows.where(~S.is_known_good_domain(F.col("query")))
     if scores is None:
         rows = rows.withColumn("dga_char_ngram_score", F.lit(None).cast("double"))
     else:
@@ -172,7 +195,11 @@ def detect_dns(events: DataFrame, cfg: Config = Config(), scores: DataFrame | No
 
 
 def detect_encrypted(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
-    rows = describe(feat.tls_features(events, cfg.tls_seconds), "dst_ip", asn)
+    return encrypted_rules(feat.tls_features(events, cfg.tls_seconds), cfg, asn)
+
+
+def encrypted_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+    rows = describe(rows, "dst_ip", asn)
     flagged = F.coalesce("suspicious_fingerprint", F.lit(False))
     upload = ~flagged & (F.coalesce("ja3", F.lit("")) == "") & (F.col("outbound_inbound_ratio") >= cfg.tls_ratio) & (F.col("host_sessions") <= cfg.tls_sessions) & (F.col("reputation") != "provider")
     subtype = F.when(flagged, "metadata_anomaly").when(upload, "upload_channel_anomaly")

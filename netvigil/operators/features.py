@@ -1,32 +1,72 @@
-"""The six windowed feature sets: one row out for each row in."""
+"""The six windowed feature sets: one row out for each row in.
+
+What a set sums and counts is stated once, as SQL over events, so that a batch (running
+sums over sorted rows) and a stream (state of each key) keep the same things; what is
+derived from them is the same code for both.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.functions import scalars as S
 from netvigil.operators.windows import trailing
 
-
-def _flag(condition) -> F.Column:
-    return F.when(condition, 1).otherwise(0)
-
-
-def ddos_features(events: DataFrame, seconds: int = 5) -> DataFrame:
-    """By destination: rates, handshakes and the spread of sources."""
-    out = trailing(
-        events, ["dst_ip"], seconds,
-        sums={"syn_count": _flag(F.col("tcp_flags") == "S"), "udp_count": _flag(F.col("proto") == "udp"), "completed": _flag(F.col("conn_state") == "SF"), "inbound_bytes": F.col("orig_bytes"), "outbound_bytes": F.col("resp_bytes")},
-        distinct={"unique_sources": F.col("src_ip")}, entropy={"source_ip_entropy": F.col("src_ip")},
-    )
+CONNECTIONS = "kind IN ('conn', 'early_event')"
+PARENT = "CASE WHEN instr(query, '.') > 0 THEN substring(query, instr(query, '.') + 1) ELSE query END"
+
+
+@dataclass(frozen=True)
+class Frame:
+    """Which events a set is about, what keys them, and what is kept of a window."""
+
+    rows: str
+    keys: tuple[str, ...]
+    sums: dict[str, str] = field(default_factory=dict)
+    distinct: dict[str, str] = field(default_factory=dict)
+    entropy: str | None = None  # the name; the values are those of the first distinct one
+    gaps: bool = False
+
+    def over(self, events: DataFrame, seconds: int) -> DataFrame:
+        """events, all of which the set is about, with what their windows hold."""
+        keyed = events.withColumns({f"_key{n}": F.expr(k) for n, k in enumerate(self.keys)})
+        values = {k: F.expr(v) for k, v in self.distinct.items()}
+        out = trailing(
+            keyed, [f"_key{n}" for n in range(len(self.keys))], seconds, sums={k: F.expr(v) for k, v in self.sums.items()}, distinct=values,
+            entropy={self.entropy: next(iter(values.values()))} if self.entropy else None, gaps=self.gaps,
+        )
+        return out.drop(*[f"_key{n}" for n in range(len(self.keys))])
+
+
+FRAMES = {
+    "ddos": Frame(
+        CONNECTIONS, ("dst_ip",),
+        {
+            "syn_count": "int(coalesce(tcp_flags = 'S', false))", "udp_count": "int(coalesce(proto = 'udp', false))",
+            "completed": "int(coalesce(conn_state = 'SF', false))", "inbound_bytes": "orig_bytes", "outbound_bytes": "resp_bytes",
+        },
+        {"unique_sources": "src_ip"}, entropy="source_ip_entropy",
+    ),
+    "c2": Frame(CONNECTIONS, ("src_ip", "dst_ip"), {"outbound_bytes": "orig_bytes", "inbound_bytes": "resp_bytes"}, {"destination_port_count": "dst_port"}, gaps=True),
+    "dns": Frame("kind = 'dns'", ("src_ip", PARENT), {}, {"unique_subdomains": "query"}),
+    "tls": Frame("coalesce(tls, false)", ("src_ip",)),
+    "recon": Frame(CONNECTIONS, ("src_ip",), {"failed": "int(coalesce(conn_state IN ('S0', 'REJ'), false))"}, {"unique_dst_hosts": "dst_ip", "unique_dst_ports": "dst_port"}),
+    "exfil": Frame(CONNECTIONS, ("src_ip", "dst_ip"), {"outbound_bytes": "orig_bytes", "inbound_bytes": "resp_bytes"}),
+}
+
+
+def ddos_derived(out: DataFrame, seconds: int) -> DataFrame:
     n = F.col("window_n")
-    return out.withColumns({"packet_rate": n / seconds, "completion_ratio": S.rounded(F.col("completed") / F.greatest(F.lit(1), n), 3), "source_ip_entropy": S.rounded("source_ip_entropy", 3), "dst_concentration": F.col("dst_ip")}).drop("completed", "window_n")
+    ratio = S.rounded(F.col("completed") / F.greatest(F.lit(1), n), 3)
+    more = {"packet_rate": n / seconds, "completion_ratio": ratio, "source_ip_entropy": S.rounded("source_ip_entropy", 3), "dst_concentration": F.col("dst_ip")}
+    return out.withColumns(more).drop("completed", "window_n")
 
 
-def c2_features(events: DataFrame, seconds: int = 300) -> DataFrame:
-    """By pair: the regularity, size and length of an exchange."""
-    out = trailing(events, ["src_ip", "dst_ip"], seconds, sums={"outbound_bytes": F.col("orig_bytes"), "inbound_bytes": F.col("resp_bytes")}, distinct={"destination_port_count": F.col("dst_port")}, gaps=True)
+def c2_derived(out: DataFrame, seconds: int) -> DataFrame:
     m, g = F.col("gap_n"), F.col("gap_sum")
     spread = (m.cast("decimal(10,0)") * F.col("gap_squares").cast("decimal(28,0)") - g.cast("decimal(19,0)") * g.cast("decimal(19,0)")).cast("double")
     cv = F.when((m >= 2) & (g > 0), S.rounded(F.sqrt(spread) / g, 3)).otherwise(F.lit(1.0))
@@ -39,52 +79,85 @@ def c2_features(events: DataFrame, seconds: int = 300) -> DataFrame:
     }).drop("window_n", "gap_n", "gap_sum", "gap_squares")
 
 
+def dns_derived(out: DataFrame, seconds: int) -> DataFrame:
+    label = S.first_label(F.col("query"))
+    return out.withColumns({"label_length": F.length(label), "label_entropy": S.rounded(S.string_entropy(label), 3), "query_rate": F.col("window_n") / seconds}).drop("window_n")
+
+
+def tls_derived(out: DataFrame, seconds: int) -> DataFrame:
+    ratio = S.rounded(F.col("orig_bytes") / F.greatest(F.lit(1), F.col("resp_bytes")), 2)
+    return out.withColumns({"outbound_inbound_ratio": ratio, "host_sessions": F.col("window_n")}).drop("window_n")
+
+
+def recon_derived(out: DataFrame, seconds: int) -> DataFrame:
+    return out.withColumns({"scan_rate": F.col("window_n") / seconds, "failure_ratio": S.rounded(F.col("failed") / F.col("window_n"), 2)}).drop("failed", "window_n")
+
+
+def exfil_derived(out: DataFrame, seconds: int) -> DataFrame:
+    ratio = S.rounded(F.col("outbound_bytes") / F.greatest(F.lit(1), F.col("inbound_bytes")), 2)
+    return out.withColumns({"outbound_inbound_ratio": ratio, "session_count": F.col("window_n")}).drop("window_n")
+
+
+DERIVED: dict[str, Callable[[DataFrame, int], DataFrame]] = {"ddos": ddos_derived, "c2": c2_derived, "dns": dns_derived, "tls": tls_derived, "recon": recon_derived, "exfil": exfil_derived}
+
+
+def ddos_features(events: DataFrame, seconds: int = 5) -> DataFrame:
+    """By destination: rates, handshakes and the spread of sources."""
+    return ddos_derived(FRAMES["ddos"].over(events, seconds), seconds)
+
+
+def c2_features(events: DataFrame, seconds: int = 300) -> DataFrame:
+    """By pair: the regularity, size and length of an exchange."""
+    return c2_derived(FRAMES["c2"].over(events, seconds), seconds)
+
+
 def dns_features(events: DataFrame, seconds: int = 60) -> DataFrame:
     """By source and parent domain: the name itself, and the rate and variety of names."""
-    named = events.withColumn("parent", S.parent_domain(F.col("query")))
-    out = trailing(named, ["src_ip", "parent"], seconds, distinct={"unique_subdomains": F.col("query")})
-    label = S.first_label(F.col("query"))
-    return out.withColumns({"label_length": F.length(label), "label_entropy": S.rounded(S.string_entropy(label), 3), "query_rate": F.col("window_n") / seconds}).drop("window_n", "parent")
+    return dns_derived(FRAMES["dns"].over(events, seconds), seconds)
 
 
 def tls_features(events: DataFrame, seconds: int = 30) -> DataFrame:
     """By source, over encrypted sessions only."""
-    out = trailing(events.where(F.coalesce("tls", F.lit(False))), ["src_ip"], seconds)
-    ratio = S.rounded(F.col("orig_bytes") / F.greatest(F.lit(1), F.col("resp_bytes")), 2)
-    return out.withColumns({"outbound_inbound_ratio": ratio, "host_sessions": F.col("window_n")}).drop("window_n")
+    return tls_derived(FRAMES["tls"].over(events.where(FRAMES["tls"].rows), seconds), seconds)
 
 
 def recon_features(events: DataFrame, seconds: int = 30) -> DataFrame:
     """By source: fan-out over hosts and ports, and failures. Lists come from recon_targets."""
-    out = trailing(events, ["src_ip"], seconds, sums={"failed": _flag(F.col("conn_state").isin("S0", "REJ"))}, distinct={"unique_dst_hosts": F.col("dst_ip"), "unique_dst_ports": F.col("dst_port")})
-    return out.withColumns({"scan_rate": F.col("window_n") / seconds, "failure_ratio": S.rounded(F.col("failed") / F.col("window_n"), 2)}).drop("failed", "window_n")
+    return recon_derived(FRAMES["recon"].over(events, seconds), seconds)
+
+
+def exfil_features(events: DataFrame, seconds: int = 300) -> DataFrame:
+    """By pair: volume, ratio and sessions."""
+    return exfil_derived(FRAMES["exfil"].over(events, seconds), seconds)
 
 
 def recon_targets(gated: DataFrame, events: DataFrame, seconds: int = 30, hosts: int = 64, targets: int = 8) -> DataFrame:
-    """gated rows (few, behind a detector's gate) with dst_hosts, scan_targets and anchor_dst of their windows.
+    """gated rows (behind a detector's gate) with dst_hosts, scan_targets and anchor_dst of their windows.
 
-    Rows meet events of the same source in one of the two time slots that a window touches.
+    Attempts and failures of each (source, host) are running sums that change as events
+    arrive and leave; a gated row reads them at its own place, once for each host of its
+    time slot and the one before. So the work is that of events and of gated rows times
+    hosts, not of gated rows times events.
     """
     span = seconds * 1_000_000
     slot = F.floor(F.col("ts_us") / span).cast("long")
-    own = gated.select("src_ip", F.col("ts_us").alias("at"), F.col("seq").alias("at_seq"), F.explode(F.array(slot - 1, slot)).alias("slot"))
-    seen = events.select("src_ip", slot.alias("slot"), "ts_us", "seq", "dst_ip", F.col("conn_state").isin("S0", "REJ").alias("failed"))
-    inside = (F.col("ts_us") >= F.col("at") - span) & ((F.col("ts_us") < F.col("at")) | ((F.col("ts_us") == F.col("at")) & (F.col("seq") <= F.col("at_seq"))))
-    by_host = own.join(seen, ["src_ip", "slot"]).where(inside).groupBy("src_ip", "at", "at_seq", "dst_ip").agg(F.sum(F.col("failed").cast("long")).alias("failed"), F.count("*").alias("attempts"))
-    ratio = S.rounded(F.col("failed") / F.col("attempts"), 2)
-    ranked = by_host.withColumn("rank", F.row_number().over(Window.partitionBy("src_ip", "at", "at_seq").orderBy((F.col("failed") / F.col("attempts")).desc(), F.desc("failed"), "dst_ip")))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("src_ip", "at", "at_seq").orderBy("dst_ip")))
-    lists = ranked.groupBy("src_ip", "at", "at_seq").agg(
-        F.array_sort(F.collect_list(F.when(F.col("place") <= hosts, F.col("dst_ip")))).alias("dst_hosts"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= targets, F.struct("rank", "dst_ip", "failed", "attempts", ratio.alias("failure_ratio"))))).alias("scan_targets"),
-        F.min_by("dst_ip", "rank").alias("anchor_dst"),
+    failed = F.coalesce(F.col("conn_state").isin("S0", "REJ"), F.lit(False)).cast("long")
+    # A slot holds its own events and those of the slot before, which its windows reach into.
+    seen = events.select("src_ip", "dst_ip", F.explode(F.array(slot, slot + 1)).alias("slot"), F.col("ts_us").alias("t"), F.col("seq").alias("s"), failed.alias("f"))
+    arriving = seen.select("*", F.lit(1).alias("phase"), F.lit(1).cast("long").alias("a"), F.lit(0).alias("mark"))
+    leaving = seen.select("src_ip", "dst_ip", "slot", (F.col("t") + span).alias("t"), "s", (-F.col("f")).alias("f"), F.lit(2).alias("phase"), F.lit(-1).cast("long").alias("a"), F.lit(0).alias("mark"))
+    places = gated.select("src_ip", slot.alias("slot"), F.col("ts_us").alias("t"), F.col("seq").alias("s"))
+    marks = places.join(seen.select("src_ip", "slot", "dst_ip").distinct(), ["src_ip", "slot"])
+    marks = marks.withColumns({"f": F.lit(0).cast("long"), "phase": F.lit(1), "a": F.lit(0).cast("long"), "mark": F.lit(1)})
+    upto = Window.partitionBy("src_ip", "slot", "dst_ip").orderBy("t", "phase", "s", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    counted = arriving.unionByName(leaving).unionByName(marks).select("src_ip", "dst_ip", "t", "s", "mark", F.sum("a").over(upto).alias("attempts"), F.sum("f").over(upto).alias("failed"))
+    by_host = counted.where((F.col("mark") == 1) & (F.col("attempts") > 0))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("failed") / F.col("attempts")).alias("order"), (-F.col("failed")).alias("less"), "dst_ip", "failed", "attempts")))
+    lists = by_host.groupBy(F.col("src_ip").alias("list_src"), F.col("t").alias("at"), F.col("s").alias("at_seq")).agg(ranked.alias("_ranked"))
+    target = lambda x, n: F.struct((n + 1).alias("rank"), x["dst_ip"].alias("dst_ip"), x["failed"].alias("failed"), x["attempts"].alias("attempts"), S.rounded(x["failed"] / x["attempts"], 2).alias("failure_ratio"))
+    named = lists.select(
+        "list_src", "at", "at_seq", F.slice(F.array_sort(F.col("_ranked.dst_ip")), 1, hosts).alias("dst_hosts"),
+        F.transform(F.slice("_ranked", 1, targets), target).alias("scan_targets"), F.col("_ranked")[0]["dst_ip"].alias("anchor_dst"),
     )
     keys = (F.col("ts_us") == F.col("at")) & (F.col("seq") == F.col("at_seq"))
-    return gated.join(lists.withColumnRenamed("src_ip", "list_src"), (F.col("src_ip") == F.col("list_src")) & keys).drop("list_src", "at", "at_seq")
-
-
-def exfil_features(events: DataFrame, seconds: int = 300) -> DataFrame:
-    """By pair: volume, ratio and sessions."""
-    out = trailing(events, ["src_ip", "dst_ip"], seconds, sums={"outbound_bytes": F.col("orig_bytes"), "inbound_bytes": F.col("resp_bytes")})
-    ratio = S.rounded(F.col("outbound_bytes") / F.greatest(F.lit(1), F.col("inbound_bytes")), 2)
-    return out.withColumns({"outbound_inbound_ratio": ratio, "session_count": F.col("window_n")}).drop("window_n")
+    return gated.join(named, (F.col("src_ip") == F.col("list_src")) & keys).drop("list_src", "at", "at_seq")

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netvigil.functions import scalars as S
@@ -48,6 +48,119 @@ def chain(new: DataFrame, head: str = GENESIS, first: int = 1) -> DataFrame:
     return new.join(hashes, "alert_id").select(*[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+#: Alerts in one segment of a chain.
+SEGMENT_ROWS = 10_000
+HEADS = "segment long, first_seq long, n long, head string, prev_link string, link string"
+
+
+def chain_segments(rows: DataFrame, first_segment: int = 0, first_seq: int = 1, each: int = SEGMENT_ROWS) -> DataFrame:
+    """Numbered rows (see ``numbered``) with segment, prev_hash and record_hash: a chain for each run of so many rows.
+
+    Each segment is a chain of its own, so all tasks make hashes at once; what holds the
+    segments together is the chain of their heads.
+    """
+    placed = rows.withColumn("segment", F.lit(first_segment) + F.floor((F.col("seq") - first_seq) / each).cast("long"))
+    slim = placed.select("segment", "seq", "record_json").repartition("segment").sortWithinPartitions("segment", "seq")
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, last = None, GENESIS
+        for frame in frames:
+            prev, own = [], []
+            for at, body in zip(frame["segment"], frame["record_json"], strict=True):
+                if at != segment:
+                    segment, last = at, GENESIS
+                prev.append(last)
+                last = hashlib.sha256((last + body).encode()).hexdigest()
+                own.append(last)
+            yield pd.DataFrame({"seq": frame["seq"], "prev_hash": prev, "record_hash": own})
+
+    hashes = slim.mapInPandas(link, "seq long, prev_hash string, record_hash string")
+    return placed.join(hashes, "seq")
+
+
+def segment_heads(chained: DataFrame) -> DataFrame:
+    """(segment, first_seq, n, head) of chained rows."""
+    return chained.groupBy("segment").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.max_by("record_hash", "seq").alias("head"))
+
+
+def _head_json() -> Column:
+    return F.to_json(F.struct("first_seq", "head", "n", "segment"))
+
+
+def link_heads(heads: DataFrame, last: str = GENESIS) -> DataFrame:
+    """Heads chained in order of their segments; one row stands for a whole segment."""
+    named = heads.withColumn("body", _head_json()).orderBy("segment").coalesce(1)
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = last
+        for frame in frames:
+            prev, own = [], []
+            for body in frame["body"]:
+                prev.append(before)
+                before = hashlib.sha256((before + body).encode()).hexdigest()
+                own.append(before)
+            yield frame.drop(columns="body").assign(prev_link=prev, link=own)
+
+    return named.mapInPandas(link, HEADS)
+
+
+def append_batch(alerts: DataFrame, path: str, batch: int, each: int = SEGMENT_ROWS) -> int:
+    """Adds a batch's alerts to the table at ``path``/alerts as segments of their own, and their heads to ``path``/heads; how many.
+
+    Only the heads of earlier batches are read, not their alerts. A batch that runs again
+    replaces its own part.
+    """
+    spark = alerts.sparkSession
+    new = records(alerts).dropDuplicates(["alert_id"])
+    before = read_heads(spark, path)
+    last = None if before is None else before.where(F.col("batch") < batch).orderBy(F.desc("segment")).first()
+    segment, seq, link = (last["segment"] + 1, last["first_seq"] + last["n"], last["link"]) if last else (0, 1, GENESIS)
+    part = f"{path}/alerts/batch={batch}"
+    rows = chain_segments(numbered(new, f"{path}/numbered", seq), segment, seq, each)
+    rows.select(*[x.split()[0] for x in SCHEMA.split(", ")], "segment").write.mode("overwrite").parquet(part)
+    written = spark.read.schema(SCHEMA + ", segment long").parquet(part)
+    link_heads(segment_heads(written), link).write.mode("overwrite").parquet(f"{path}/heads/batch={batch}")
+    return written.count()
+
+
+def read_heads(spark: SparkSession, path: str) -> DataFrame | None:
+    """The chain of segment heads, with the batch that wrote each, or none before the first."""
+    try:
+        return spark.read.schema(HEADS + ", batch long").parquet(f"{path}/heads")
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+def verify_segments(stored: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row, as of ``verify_chain``: each segment is checked by itself, and heads against segments and each other.
+
+    Rows changed, taken away (also the last ones), moved or doubled in any segment are found;
+    failed_sequence is the first number that is not as it was written.
+    """
+    own = Window.partitionBy("segment").orderBy("seq", "record_hash")
+    rows = stored.select("segment", "seq", "prev_hash", "record_hash", "record_json").withColumns({"_at": F.row_number().over(own), "_before": F.lag("record_hash").over(own)})
+    known = heads.select("segment", "first_seq", "n", "head")
+    rows = rows.join(known, "segment", "left")
+    good = (F.col("prev_hash") == F.coalesce("_before", F.lit(GENESIS))) & (F.col("record_hash") == F.sha2(F.concat("prev_hash", "record_json"), 256)) & (F.col("seq") == F.col("first_seq") + F.col("_at") - 1)
+    bad = ~F.coalesce(good, F.lit(False))
+    # A gap fails at the number that is missing, not at the row behind it.
+    at = F.least("seq", F.coalesce(F.col("first_seq") + F.col("_at") - 1, "seq"))
+    segments = rows.groupBy("segment").agg(F.count("*").alias("rows"), F.min(F.when(bad, at)).alias("bad"), F.max_by("record_hash", F.struct("seq", "_at")).alias("last"))
+    linked = heads.withColumns({"_body": _head_json(), "_prev": F.lag("link").over(Window.orderBy("segment")), "_first": F.lag(F.col("first_seq") + F.col("n")).over(Window.orderBy("segment"))})
+    sound = (F.col("prev_link") == F.coalesce("_prev", F.lit(GENESIS))) & (F.col("link") == F.sha2(F.concat("prev_link", "_body"), 256)) & (F.col("first_seq") == F.coalesce("_first", "first_seq"))
+    linked = linked.select("segment", "first_seq", "n", "head", "link", F.when(~sound, F.col("first_seq")).alias("broken"))
+    both = linked.join(segments, "segment", "full")
+    short = F.when(F.col("n").isNotNull() & ((F.coalesce("rows", F.lit(0)) != F.col("n")) | (F.coalesce("last", F.lit("")) != F.col("head"))), F.col("first_seq") + F.least(F.coalesce("rows", F.lit(0)), F.col("n") - 1))
+    out = both.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.min(F.least("bad", "broken", F.when(F.col("bad").isNull(), short))).alias("failed_sequence"),
+        F.coalesce(F.min("first_seq"), F.lit(1)).alias("least"), F.max_by("link", "segment").alias("last"),
+    )
+    failed = F.col("failed_sequence")
+    return out.select(failed.isNull().alias("valid"), F.when(failed.isNull(), F.col("n")).otherwise(failed - F.col("least") + 1).alias("checked"), "failed_sequence", F.when(failed.isNull(), F.coalesce("last", F.lit(GENESIS))).alias("head"))
+
+
 def numbered(new: DataFrame, path: str, first: int = 1) -> DataFrame:
     """The rows with seq in (ts_us, alert_id) order, without a chain: written at path in ranges by all tasks, each range numbered from where the one before it ends."""
     ranged = new.repartitionByRange("ts_us", "alert_id").sortWithinPartitions("ts_us", "alert_id")
@@ -113,6 +226,18 @@ def summary(stored: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("g") == 1, "threat_class").when(F.col("g") == 2, "severity").otherwise("all").alias("by"), F.coalesce("threat_class", "severity", F.lit("")).alias("name"), "n")
 
 
+def dashboard(stored: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """One row: total, counts by class and by severity (maps), and the newest metrics snapshot, or null."""
+    counts = summary(stored)
+    of = lambda by: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("by") == by, F.struct("name", "n")))))
+    row = counts.agg(F.coalesce(F.max(F.when(F.col("by") == "all", F.col("n"))), F.lit(0)).alias("total"), of("threat_class").alias("by_class"), of("severity").alias("by_severity"))
+    names = [x.split()[0] for x in METRICS.split(", ")]
+    if metrics is None:
+        return row.withColumn("metrics", F.lit(None).cast("struct<" + METRICS.replace(" ", ":").replace(",:", ",") + ">"))
+    newest = metrics.agg(F.max_by(F.struct(*names), F.struct("metric_ts", "events_total")).alias("metrics"))
+    return row.crossJoin(newest)
+
+
 def incidents(stored: DataFrame, newest: int = 1000, shown: int = 6) -> DataFrame:
     """The newest alerts by source, riskiest first."""
     return (

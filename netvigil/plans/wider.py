@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import fixed
 from netvigil.functions import scalars as S
-from netvigil.operators import alerts, detectors, evaluate, reputation, store
+from netvigil.operators import alerts, detectors, evaluate, features, reputation, store
 from netvigil.plans import queries as base
 from netvigil.plans.adapter import NAMES_SQL, TELEMETRY_SQL, beacons, names, telemetry
 from netvigil.plans.queries import ORACLE_SQL, query
+from netvigil.sources import tables
 
 #: Addresses of many kinds, one by event.
 _ADDRESSES = """
@@ -198,3 +199,82 @@ _FRESH = "WITH RECURSIVE cand AS (" + " UNION ALL ".join(f"SELECT '{threat}' AS
 ORACLE_SQL["e2_correlate"] = _FRESH + " SELECT src_ip, seq, confidence, classes FROM linked"
 ORACLE_SQL["e4_pipeline"] = _FRESH + f""", found AS (SELECT threat_class, subtype, confidence, aggregation_key, ts_us, seq FROM emitted UNION ALL SELECT 'c2_beaconing', 'correlated_multi_signal', confidence, 'src=' || src_ip, ts_us, seq FROM linked)
   SELECT sha256(concat_ws('|', threat_class, subtype, aggregation_key, ts_us, seq)) AS alert_id, threat_class, subtype, confidence, {base._SEV} AS severity, aggregation_key, seq FROM found"""
+
+
+# Files of one table under different headers.
+@query("a23_parquet_scan", """SELECT label, count(*) AS n, count(port) AS ports, CAST(sum(port) AS BIGINT) AS port_sum, CAST(sum(span) AS DOUBLE) AS span_sum FROM (
+  SELECT lang AS label, CASE WHEN doc_id % 3 <> 1 THEN doc_id % 1000 END AS port, CASE WHEN doc_id % 3 = 2 THEN n_chars + 0.5 ELSE n_chars END AS span FROM documents) GROUP BY label""")
+def a23(spark, d):
+    """The census of documents, written as three files with different spellings, types and columns, and scanned as one."""
+    path = base._scratch(spark, "tables")
+    docs = base._table(spark, d, "documents")
+    k, port, span = F.col("doc_id") % 3, F.col("doc_id") % 1000, F.col("n_chars")
+    docs.where(k == 0).select(F.col("lang").alias(" Label "), port.cast("int").alias("Dst Port"), span.cast("int").alias("Flow Duration")).coalesce(1).write.parquet(f"{path}/monday")
+    docs.where(k == 1).select(span.cast("long").alias("FLOW DURATION"), F.col("lang").alias("LABEL")).coalesce(1).write.parquet(f"{path}/tuesday")
+    docs.where(k == 2).select(F.col("lang").alias("label"), (span + 0.5).alias(" flow duration"), port.alias("dst port ")).coalesce(1).write.parquet(f"{path}/friday")
+    rows = tables.parquet_scan(spark, path)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.count("dst port").alias("ports"), F.sum("dst port").alias("port_sum"), F.sum("flow duration").alias("span_sum"))
+
+
+# The chain in segments.
+_PLACED = base._STORED + """, placed AS (SELECT seq, alert_id, record_json, (seq - 1) // 500 AS segment, (seq - 1) % 500 AS pos FROM rows
+), linked AS (SELECT segment, pos, seq, alert_id, sha256('0000000000000000000000000000000000000000000000000000000000000000' || record_json) AS record_hash FROM placed WHERE pos = 0
+  UNION ALL SELECT p.segment, p.pos, p.seq, p.alert_id, sha256(l.record_hash || p.record_json) FROM linked l JOIN placed p ON p.segment = l.segment AND p.pos = l.pos + 1
+), heads AS (SELECT segment, min(seq) AS first_seq, count(*) AS n, arg_max(record_hash, seq) AS head FROM linked GROUP BY segment
+), chained AS (SELECT segment, first_seq, n, head, sha256('0000000000000000000000000000000000000000000000000000000000000000' || '{"first_seq":' || first_seq || ',"head":"' || head || '","n":' || n || ',"segment":' || segment || '}') AS link FROM heads WHERE segment = 0
+  UNION ALL SELECT h.segment, h.first_seq, h.n, h.head, sha256(c.link || '{"first_seq":' || h.first_seq || ',"head":"' || h.head || '","n":' || h.n || ',"segment":' || h.segment || '}') FROM chained c JOIN heads h ON h.segment = c.segment + 1)"""
+
+
+def _segmented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    path = base._scratch(spark, "segments")
+    store.chain_segments(base._numbered(spark, d), each=500).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    store.link_heads(store.segment_heads(rows)).write.parquet(f"{path}/heads")
+    return rows, spark.read.parquet(f"{path}/heads")
+
+
+@query("f1_segments", _PLACED + " SELECT l.segment, l.seq, l.alert_id, l.record_hash, c.link FROM linked l JOIN chained c USING (segment)")
+def f1_segments(spark, d):
+    rows, heads = _segmented(spark, d)
+    return rows.join(heads.select("segment", "link"), "segment").select("segment", "seq", "alert_id", "record_hash", "link")
+
+
+@query("f2_segments", _PLACED + " SELECT true AS valid, (SELECT count(*) FROM rows) AS checked, (SELECT arg_max(link, segment) FROM chained) AS head")
+def f2_segments(spark, d):
+    return store.verify_segments(*_segmented(spark, d)).select("valid", "checked", "head")
+
+
+@query("f2_segments_tampered", _PLACED + """ SELECT kind, false AS valid, CASE kind WHEN 'gone' THEN 503 WHEN 'tail' THEN (SELECT max(seq) FROM rows) ELSE 777 END AS failed_sequence FROM (SELECT unnest(['changed', 'doubled', 'gone', 'tail']) AS kind)""")
+def f2_segments_bad(spark, d):
+    """What is found after one row is changed, doubled, taken away, or the last one cut off."""
+    rows, heads = _segmented(spark, d)
+    last = rows.agg(F.max("seq").alias("_last"))
+    broken = {
+        "changed": rows.withColumn("record_json", F.when(F.col("seq") == 777, F.lit("{}")).otherwise(F.col("record_json"))), "doubled": rows.unionByName(rows.where("seq = 777")),
+        "gone": rows.where("seq <> 503"), "tail": rows.crossJoin(F.broadcast(last)).where("seq < _last").drop("_last"),
+    }
+    out = [store.verify_segments(r, heads).select(F.lit(kind).alias("kind"), "valid", "failed_sequence") for kind, r in broken.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("f4_dashboard", base._STORED + """, m AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS metric_ts, count(*) AS events_total, count(*) FILTER (WHERE o_orderstatus = 'F') AS alerts_total FROM orders GROUP BY o_orderdate ORDER BY metric_ts DESC LIMIT 1)
+  SELECT (SELECT count(*) FROM stored) AS total, (SELECT string_agg(threat_class || ':' || n, ',' ORDER BY threat_class) FROM (SELECT threat_class, count(*) AS n FROM stored GROUP BY ALL)) AS by_class,
+    (SELECT string_agg(severity || ':' || n, ',' ORDER BY severity) FROM (SELECT severity, count(*) AS n FROM stored GROUP BY ALL)) AS by_severity, metric_ts, events_total, alerts_total FROM m""")
+def f4_dashboard(spark, d):
+    rows = base._table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("metric_ts")).agg(F.count("*").alias("events_total"), F.count_if(F.col("o_orderstatus") == "F").alias("alerts_total"))
+    metrics = rows.select("*", F.lit(0).cast("long").alias("stream_lag"), F.lit(0.0).alias("p95_latency_ms"), F.lit(0.0).alias("throughput_eps"))
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    board = store.dashboard(base._numbered(spark, d), metrics)
+    return board.select("total", text(F.col("by_class")).alias("by_class"), text(F.col("by_severity")).alias("by_severity"), "metrics.metric_ts", "metrics.events_total", "metrics.alerts_total")
+
+
+@query("c5_scan_targets", base._RECON + """, gated AS (SELECT seq, src_ip, ts_us FROM feat WHERE unique_dst_ports >= 12 AND failure_ratio >= 0.5), hosts AS (
+  SELECT g.seq, t.dst_ip, sum(CASE WHEN conn_state IN ('S0', 'REJ') THEN 1 ELSE 0 END) AS failed, count(*) AS n
+  FROM gated g JOIN tele t ON t.src_ip = g.src_ip AND t.ts_us >= g.ts_us - 30000000 AND (t.ts_us < g.ts_us OR (t.ts_us = g.ts_us AND t.seq <= g.seq)) GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY failed / n DESC, failed DESC, dst_ip) AS rank FROM hosts)
+  SELECT seq, CAST(rank AS INT) AS rank, dst_ip, CAST(failed AS BIGINT) AS failed, n AS attempts, round_even(failed / n, 2) AS failure_ratio FROM ranked WHERE rank <= 8""")
+def c5_scan_targets(spark, d):
+    """The eight hosts that each scanning event's source failed at most."""
+    tele = telemetry(spark, d)
+    gated = features.recon_features(tele).where("unique_dst_ports >= 12 AND failure_ratio >= 0.5")
+    return features.recon_targets(gated, tele).select("seq", F.explode("scan_targets").alias("t")).select("seq", "t.*")

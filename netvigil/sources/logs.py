@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +38,8 @@ def _port(*columns: str) -> Column:
     return F.coalesce(F.split(F.coalesce(*[F.col(c) for c in columns]), "/")[0].try_cast("int"), F.lit(0))
 
 
-def normalize(raw: DataFrame, log: Column, order: Column) -> DataFrame:
-    """Log lines as events; ``log`` names the log of a line that has no kind, ``order`` its place."""
+def normalize(raw: DataFrame, log: Column, order: Column, **more: Column) -> DataFrame:
+    """Log lines as events; ``log`` names the log of a line that has no kind, ``order`` its place, ``more`` further columns."""
     kind = F.coalesce("kind", F.when(log == "dns", "dns").when(log.isin("ssl", "tls"), "tls").when(log == "x509", "tls_certificate").when(log == "early", "early_event").otherwise("conn"))
     given, tls, conn = F.col("kind").isNotNull(), kind == "tls", kind == "conn"
     values = {
@@ -53,7 +56,7 @@ def normalize(raw: DataFrame, log: Column, order: Column) -> DataFrame:
         "certificate_subject": _text("subject"), "certificate_issuer": _text("issuer"), "certificate_validity": _text("`certificate.version`"),
         "suspicious_fingerprint": F.coalesce("suspicious_fingerprint", F.lit(False)),
     }
-    return raw.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in EVENT.fields])
+    return raw.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in EVENT.fields], *[c.alias(n) for n, c in more.items()])
 
 
 def _stem(path: Column) -> Column:
@@ -67,12 +70,54 @@ def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def follow_event_logs(spark: SparkSession, path: str, per_batch: int = 100, archive: str | None = None) -> DataFrame:
-    """The same as a stream over files that appear in a folder; read ones may be moved to an archive."""
+    """The same as a stream over files that appear in a folder; read ones may be moved to an archive.
+
+    A row's ``position`` is its place in the source: when its file was written, the file
+    and the block of it, and a number that grows along the block. ``numbered`` makes seq
+    of it, so no two lines are one event, whatever they say. Lines that can't be read
+    come with their text in ``corrupt`` and belong in quarantine.
+    """
     reader = spark.readStream.schema(RAW).option("maxFilesPerTrigger", per_batch).option("columnNameOfCorruptRecord", "_corrupt_record")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    raw = reader.json(path).where("_corrupt_record is null").withColumn("_stem", _stem(F.input_file_name()))
-    return normalize(raw, F.col("_stem"), F.xxhash64("uid", "ts", "`id.orig_h`", "`id.resp_h`", "src_ip", "dst_ip", "query"))
+    file = {"_arrived": F.unix_micros("_metadata.file_modification_time"), "_source": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    raw = _counted(reader.json(path).withColumns(file))
+    position = _position(F.col("_arrived"), F.col("_source"), F.col("_block"), F.col("_place"))
+    return normalize(raw, _stem(F.col("_source")), F.lit(None), position=position, corrupt=F.col("_corrupt_record"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with _place, which counts those of a task as they come; a block's rows come together and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(place, place + batch.num_rows), pa.int64())], [*batch.schema.names, "_place"])
+            place += batch.num_rows
+
+    names = [*rows.columns, "_place"]  # some have dots, by which mapInArrow can't find them
+    fields = [*[f.dataType for f in rows.schema.fields], T.LongType()]
+    plain = [f"_{n}" for n in range(len(names) - 1)] + ["_place"]
+    return rows.toDF(*plain[:-1]).mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(plain, fields, strict=True)])).toDF(*names)
+
+
+def _position(arrived: Column, source: Column, block: Column, place: Column) -> Column:
+    return F.struct(arrived.cast("long").alias("arrived"), source.cast("string").alias("source"), block.cast("long").alias("block"), place.cast("long").alias("place"))
+
+
+def numbered(batch: DataFrame, number: int) -> DataFrame:
+    """A batch with seq: the batch's number first, then sources by time and name, then the place in each.
+
+    A batch that runs again has the same positions, so the same numbers. Only one row for
+    each file block or topic partition of the batch is ordered as a whole.
+    """
+    key = [F.col(f"position.{k}").alias(f"_{k}") for k in ("source", "block")]
+    places = batch.groupBy(*key).agg(F.min("position.arrived").alias("_arrived"), F.min("position.place").alias("_first"), (F.max("position.place") + 1 - F.min("position.place")).alias("_size"))
+    order = Window.orderBy("_arrived", "_source", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = places.select("_source", "_block", "_first", F.coalesce(F.sum("_size").over(order), F.lit(0)).alias("_start"))
+    rows = batch.withColumns({"_source": F.col("position.source"), "_block": F.col("position.block")}).join(starts, ["_source", "_block"])
+    seq = F.lit(number << 40) + F.col("_start") + F.col("position.place") - F.col("_first")
+    return rows.withColumn("seq", seq).select(*batch.columns)
 
 
 def alias_map(columns: list[str]) -> dict[str, str]:
@@ -127,8 +172,14 @@ def publish(events: DataFrame) -> DataFrame:
 
 
 def consume(messages: DataFrame) -> DataFrame:
-    """Events from published values."""
-    return messages.select(F.from_json(F.col("value").cast("string"), EVENT).alias("e")).select("e.*")
+    """Events from published values; with topic, partition, offset and timestamp, as a bus gives them, also position and corrupt."""
+    text = F.col("value").cast("string")
+    if not {"topic", "partition", "offset", "timestamp"} <= set(messages.columns):
+        return messages.select(F.from_json(text, EVENT).alias("e")).select("e.*")
+    position = _position(F.unix_micros("timestamp"), F.concat_ws("-", "topic", "partition"), F.lit(0), F.col("offset"))
+    read = messages.select(F.from_json(text, EVENT).alias("e"), position.alias("position"), text.alias("_text"))
+    usable = F.col("e.ts_us").isNotNull() & F.col("e.kind").isNotNull()
+    return read.select("e.*", "position", F.when(~F.coalesce(usable, F.lit(False)), F.coalesce("_text", F.lit(""))).alias("corrupt"))
 
 
 def write_alert_lines(alerts: DataFrame, path: str) -> None:
