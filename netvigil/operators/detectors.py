@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import scalars as S
 from netvigil.operators import features as feat
-from netvigil.operators.reputation import describe, empty_asn_table
+from netvigil.operators.reputation import Owners, describe, prepare
 
 #: What every candidate has; evidence columns that a detector lacks are null.
 EVIDENCE = {
@@ -98,11 +98,11 @@ def ddos_rules(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     return _candidates(rows, "ddos", 0, subtype, score, F.array(F.lit("T1498")), F.lit("ddos-rules-v2"), F.concat(F.lit("dst="), "dst_ip"))
 
 
-def detect_c2(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+def detect_c2(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None) -> DataFrame:
     return c2_rules(feat.c2_features(_connections(events), cfg.c2_seconds), cfg, asn)
 
 
-def c2_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+def c2_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None) -> DataFrame:
     gate = (F.col("session_count") >= cfg.c2_sessions) & (F.col("iat_cv") <= cfg.c2_cv) & (F.col("persistence_seconds") >= cfg.c2_persistence) & (F.col("destination_port_count") <= cfg.c2_ports)
     gate &= (F.col("mean_outbound_bytes") <= cfg.c2_bytes) & ((F.col("inbound_bytes") == 0) | (F.col("mean_inbound_bytes") <= cfg.c2_bytes))
     rows = describe(rows.where(gate & ~_noise()), "dst_ip", asn)  # only what passed is looked up
@@ -121,7 +121,7 @@ def c2_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = No
     )
 
 
-def detect_recon(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def detect_recon(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """thin: drops repeated candidates before their lists are made, which their key does not need."""
     own = _connections(events)
     passed = feat.recon_features(own, cfg.recon_seconds).where(recon_gate(cfg))
@@ -137,7 +137,7 @@ def recon_gate(cfg: Config) -> Column:
     return ((F.col("unique_dst_ports") >= cfg.recon_fanout) | (F.col("unique_dst_hosts") >= cfg.recon_fanout)) & (F.col("failure_ratio") >= cfg.recon_failures)
 
 
-def recon_rules(gated: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+def recon_rules(gated: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None) -> DataFrame:
     """gated: rows behind the gate, with dst_hosts and anchor_dst."""
     hosts = gated.select(F.explode("dst_hosts").alias("host")).distinct()
     known = describe(hosts, "host", asn).where("reputation = 'provider'").select("host")
@@ -156,12 +156,12 @@ def recon_rules(gated: DataFrame, cfg: Config = Config(), asn: DataFrame | None
     )
 
 
-def detect_exfil(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, anomaly=None) -> DataFrame:
+def detect_exfil(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None, anomaly=None) -> DataFrame:
     """anomaly: a function that adds exfil_anomaly_score and exfil_anomaly_flag to gated rows."""
     return exfil_rules(feat.exfil_features(_connections(events), cfg.exfil_seconds), cfg, asn, anomaly)
 
 
-def exfil_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, anomaly=None) -> DataFrame:
+def exfil_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None, anomaly=None) -> DataFrame:
     rows = describe(rows.where((F.col("outbound_bytes") >= cfg.exfil_bytes) & (F.col("outbound_inbound_ratio") >= cfg.exfil_ratio) & (F.col("session_count") >= cfg.exfil_sessions)), "dst_ip", asn)
     rows = anomaly(rows) if anomaly else rows.withColumn("exfil_anomaly_score", F.lit(None).cast("double")).withColumn("exfil_anomaly_flag", F.lit(None).cast("boolean"))
     provider = F.col("reputation") == "provider"
@@ -194,11 +194,11 @@ def dns_rules(rows: DataFrame, cfg: Config = Config(), scores: DataFrame | None
     )
 
 
-def detect_encrypted(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+def detect_encrypted(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None) -> DataFrame:
     return encrypted_rules(feat.tls_features(events, cfg.tls_seconds), cfg, asn)
 
 
-def encrypted_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None) -> DataFrame:
+def encrypted_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None) -> DataFrame:
     rows = describe(rows, "dst_ip", asn)
     flagged = F.coalesce("suspicious_fingerprint", F.lit(False))
     upload = ~flagged & (F.coalesce("ja3", F.lit("")) == "") & (F.col("outbound_inbound_ratio") >= cfg.tls_ratio) & (F.col("host_sessions") <= cfg.tls_sessions) & (F.col("reputation") != "provider")
@@ -209,9 +209,9 @@ def encrypted_rules(rows: DataFrame, cfg: Config = Config(), asn: DataFrame | No
     )
 
 
-def candidates(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, dga_scores: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def candidates(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None, dga_scores: DataFrame | None = None, thin: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All detectors over normalized events."""
-    asn = asn if asn is not None else empty_asn_table(events.sparkSession)
+    asn = prepare(asn)  # decided once for all detectors
     found = [detect_ddos(events, cfg), detect_c2(events, cfg, asn), detect_recon(events, cfg, asn, thin), detect_exfil(events, cfg, asn), detect_dns(events, cfg, dga_scores), detect_encrypted(events, cfg, asn)]
     out = found[0]
     for more in found[1:]:

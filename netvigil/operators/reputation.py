@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +40,63 @@ def curate(dump: DataFrame, curated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(curated, "asn", "left_semi").orderBy(number, "start"), curated.join(rows, "asn", "left_anti").orderBy(number)
 
 
-def asn_lookup(rows: DataFrame, ip: str, asn: DataFrame) -> DataFrame:
-    """rows with asn and asn_name: ranges meet addresses in the /16 networks that they touch."""
-    ranges = asn.select("start", "end", F.col("asn").alias("found_asn"), F.col("asn_name").alias("found_name"), F.explode(F.sequence(F.shiftright("start", 16), F.shiftright("end", 16))).alias("net"))
-    if asn.count() and ranges.count() <= BROADCAST_ROWS:
-        ranges = F.broadcast(ranges)
-    own = rows.withColumn("u32", S.ip_to_u32(F.col(ip))).withColumn("own_net", F.shiftright("u32", 16))
-    out = own.join(ranges, (F.col("own_net") == F.col("net")) & F.col("u32").between(F.col("start"), F.col("end")), "left")
-    return out.withColumn("asn", F.col("found_asn")).withColumn("asn_name", F.col("found_name")).drop("u32", "own_net", "net", "start", "end", "found_asn", "found_name")
+@dataclass(frozen=True)
+class Owners:
+    """A prefix table made ready once: disjoint ranges, dealt by the first bits of an address; without ranges it is unavailable."""
+
+    ranges: DataFrame | None
+    bits: int = 16
+
+
+def _innermost(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ranges of one /16 as disjoint ones: an address belongs to its narrowest range, then the one that begins first."""
+    base = int(rows["net"].iloc[0]) << 16
+    low, high = (rows["start"].clip(base, base + 65535) - base).to_numpy(), (rows["end"].clip(base, base + 65535) - base).to_numpy()
+    order = np.lexsort((rows["asn"], -rows["start"], -(rows["end"] - rows["start"])))  # the widest first, painted over by the others
+    owner = np.full(65536, -1, np.int64)
+    for k in order:
+        owner[low[k] : high[k] + 1] = k
+    first = np.flatnonzero(np.diff(owner, prepend=-2))
+    last = np.append(first[1:], 65536) - 1
+    own = owner[first]
+    held = own >= 0
+    names = rows.iloc[own[held]]
+    return pd.DataFrame({"net": base >> 16, "start": first[held] + base, "end": last[held] + base, "asn": names["asn"].to_numpy(), "asn_name": names["asn_name"].to_numpy()})
+
+
+def prepare(asn: DataFrame | Owners | None) -> Owners:
+    """The table as ``asn_lookup`` wants it; ranges may nest and overlap.
+
+    Up to ``BROADCAST_ROWS`` ranges are broadcast by /16; more of them meet addresses in a
+    shuffle by /24, so that one busy /16 is many keys.
+    """
+    if isinstance(asn, Owners):
+        return asn
+    n = 0 if asn is None else asn.count()
+    if not n:
+        return Owners(None)
+    nets = F.explode(F.sequence(F.shiftright("start", 16), F.shiftright("end", 16))).alias("net")
+    ranges = asn.where("start <= end").select("start", "end", "asn", "asn_name", nets).groupBy("net").applyInPandas(_innermost, "net long, " + SCHEMA)
+    if n <= BROADCAST_ROWS and ranges.count() <= BROADCAST_ROWS:
+        return Owners(F.broadcast(ranges))
+    return Owners(ranges.withColumn("net", F.explode(F.sequence(F.shiftright("start", 8), F.shiftright("end", 8)))), 24)
+
+
+def asn_lookup(rows: DataFrame, ip: str, asn: DataFrame | Owners) -> DataFrame:
+    """rows with asn and asn_name, one for each: an address meets the disjoint ranges of its network."""
+    owners = prepare(asn)
+    none = F.lit(None).cast("string")
+    if owners.ranges is None:
+        return rows.withColumns({"asn": none, "asn_name": none})
+    ranges = owners.ranges.select(F.col("net").alias("_net"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("asn").alias("_asn"), F.col("asn_name").alias("_name"))
+    own = rows.withColumn("_u32", S.ip_to_u32(F.col(ip))).withColumn("_own", F.shiftright("_u32", 32 - owners.bits))
+    out = own.join(ranges, (F.col("_own") == F.col("_net")) & F.col("_u32").between(F.col("_start"), F.col("_end")), "left")
+    return out.withColumn("asn", F.col("_asn")).withColumn("asn_name", F.col("_name")).drop("_u32", "_own", "_net", "_start", "_end", "_asn", "_name")
 
 
-def describe(rows: DataFrame, ip: str, asn: DataFrame | None) -> DataFrame:
+def describe(rows: DataFrame, ip: str, asn: DataFrame | Owners | None) -> DataFrame:
     """rows with asn, asn_name and reputation: provider, unknown, or unavailable without a table."""
-    if asn is None or asn.isEmpty():
-        return rows.withColumns({"asn": F.lit(None).cast("string"), "asn_name": F.lit(None).cast("string"), "reputation": F.lit("unavailable")})
-    found = asn_lookup(rows, ip, asn)
-    return found.withColumn("reputation", F.when(F.col("asn").isin(fixed.PROVIDER_ASNS), "provider").otherwise("unknown"))
+    owners = prepare(asn)
+    found = asn_lookup(rows, ip, owners)
+    known = F.when(F.col("asn").isin(fixed.PROVIDER_ASNS), "provider").otherwise("unknown")
+    return found.withColumn("reputation", F.lit("unavailable") if owners.ranges is None else known)

@@ -278,3 +278,19 @@ def c5_scan_targets(spark, d):
     tele = telemetry(spark, d)
     gated = features.recon_features(tele).where("unique_dst_ports >= 12 AND failure_ratio >= 0.5")
     return features.recon_targets(gated, tele).select("seq", F.explode("scan_targets").alias("t")).select("seq", "t.*")
+
+
+@query("b9_nested_ranges", f"""WITH ip AS (SELECT seq, o, net FROM (SELECT event_id AS seq, event_id % 256 AS o, event_id // 256 % 64 AS net FROM events))
+  SELECT seq, CASE WHEN net % 2 = 0 AND o BETWEEN 16 AND 31 THEN CASE WHEN o = 20 THEN 'AS3' ELSE 'AS13335' END WHEN net < 48 THEN 'AS2' END AS asn,
+    CASE WHEN net % 2 = 0 AND o BETWEEN 16 AND 31 AND o <> 20 THEN 'provider' ELSE 'unknown' END AS reputation FROM ip""")
+def b9_nested(spark, d):
+    """Addresses of one busy /16 against ranges within ranges; the innermost owner counts, in the shuffled and in the broadcast form."""
+    rows = base._table(spark, d, "events").select(F.col("event_id").alias("seq"), F.format_string("7.7.%d.%d", (F.col("event_id") / 256).cast("long") % 64, F.col("event_id") % 256).alias("ip"))
+    nets = base._table(spark, d, "events").select((F.col("event_id") % 64).alias("n")).distinct().where("n % 2 = 0").select((F.col("n") * 256 + _net(7, 7, 0)).alias("at"))
+    span = lambda a, b, asn: nets.select((F.col("at") + a).alias("start"), (F.col("at") + b).alias("end"), F.lit(asn).alias("asn"), F.lit("").alias("asn_name"))
+    whole = spark.createDataFrame([(_net(7, 7, 0), _net(7, 7, 47) + 255, "AS2", ""), (_net(7, 7, 0), _net(7, 7, 47) + 255, "AS2", "")], reputation.SCHEMA)
+    owners = reputation.prepare(whole.unionByName(span(16, 31, "AS13335")).unionByName(span(20, 20, "AS3")))
+    by_24 = reputation.Owners(owners.ranges.withColumn("net", F.explode(F.sequence(F.shiftright("start", 8), F.shiftright("end", 8)))), 24)
+    half = F.col("seq") % 2 == 0
+    found = reputation.describe(rows.where(half), "ip", owners).unionByName(reputation.describe(rows.where(~half), "ip", by_24))
+    return found.select("seq", "asn", "reputation")

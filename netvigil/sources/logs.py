@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ _EVENT = (
     "certificate_subject string, certificate_issuer string, certificate_validity string, suspicious_fingerprint boolean"
 )
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+#: Headers that the driver asks for at the same time.
+HEADERS = 16
 #: The normalized event.
 EVENT = T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split(" ") for x in _EVENT.split(", "))])
 #: A log line as sensors write it; ids come flat, dotted or nested.
@@ -130,7 +134,7 @@ def has_endpoints(columns: list[str]) -> bool:
     return {"src_ip", "dst_ip"} <= set(alias_map(columns))
 
 
-def read_flow_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_flow_table(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """A headed text table with our field names where a column is known, all text, and seq."""
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     known = alias_map(raw.columns)
@@ -139,6 +143,27 @@ def read_flow_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
     return rows.withColumn("_micro", F.lit(known.get("duration", "").strip().lower() == "flow duration"))
 
 
+def read_flow_tables(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame | None, DataFrame | None]:
+    """(connection events, flow rows without endpoints) of headed text files, each read by its own header; None where no file is of that kind.
+
+    Files with the same header are one scan; only first lines are read for the plan.
+    """
+    files = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles())
+    with ThreadPoolExecutor(HEADERS) as pool:
+        headers = list(pool.map(lambda f: tuple(spark.read.option("header", True).option("sep", sep).csv(f).columns), files))
+    events = flows = None
+    for n, header in enumerate(sorted(set(headers))):
+        rows = read_flow_table(spark, [f for f, h in zip(files, headers, strict=True) if h == header], sep)
+        far = F.col("seq") + (n << 54)  # numbers of one header's files stay below that
+        if has_endpoints(list(header)):
+            own = flow_events(rows).withColumn("seq", far)
+            events = own if events is None else events.unionByName(own)
+        else:
+            rows = rows.withColumn("seq", far)
+            flows = rows if flows is None else flows.unionByName(rows, allowMissingColumns=True)
+    return events, flows
+
+
 def flow_events(rows: DataFrame, base_us: int = 0, max_rows: int | None = None) -> DataFrame:
     """Connection events of a flow table with endpoints."""
     missing = [c for c in ("src_ip", "dst_ip") if c not in rows.columns]

@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netvigil.operators import alerts, detectors, store
 from netvigil.operators.detectors import Config
-from netvigil.operators.reputation import empty_asn_table
+from netvigil.operators.reputation import Owners, prepare
 from netvigil.sources import logs
 from netvigil.streaming import windows
 
@@ -107,10 +107,10 @@ def ingest_stream(events: DataFrame, path: str, once: bool = True, delay_s: int
     return _started(events.writeStream.option("checkpointLocation", f"{path}/checkpoint-ingest").foreachBatch(batch), once)
 
 
-def detect_stream(spark: SparkSession, path: str, cfg: Config = Config(), asn: DataFrame | None = None, once: bool = True, delay_s: int = DELAY_SECONDS, per_batch: int = 100) -> StreamingQuery:
+def detect_stream(spark: SparkSession, path: str, cfg: Config = Config(), asn: DataFrame | Owners | None = None, once: bool = True, delay_s: int = DELAY_SECONDS, per_batch: int = 100) -> StreamingQuery:
     """Raises alerts of the events stored at ``path`` into its alert table; per_batch: files of events in a batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
-    asn = asn if asn is not None else empty_asn_table(spark)
+    asn = prepare(asn)
     fields = ", ".join(f"{c} {t}" for c, t in (windows.CARRIED | {"tcp_flags": "string"}).items())
     stored = spark.readStream.schema(fields).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).parquet(_folder(spark, f"{path}/events"))
 
@@ -141,7 +141,7 @@ def detect_stream(spark: SparkSession, path: str, cfg: Config = Config(), asn: D
     return _started(features.writeStream.option("checkpointLocation", f"{path}/checkpoint-detect").outputMode("append").foreachBatch(batch), once)
 
 
-def _candidates(found: DataFrame, cfg: Config, asn: DataFrame) -> DataFrame:
+def _candidates(found: DataFrame, cfg: Config, asn: Owners) -> DataFrame:
     """Alert candidates of all detectors, from rows of ``windows.windowed``."""
     of = lambda family: windows.of_set(found, family, cfg)
     parts = [
@@ -154,7 +154,7 @@ def _candidates(found: DataFrame, cfg: Config, asn: DataFrame) -> DataFrame:
     return out
 
 
-def run_stream(events: DataFrame, path: str, cfg: Config = Config(), asn: DataFrame | None = None, once: bool = True, delay_s: int = DELAY_SECONDS) -> StreamingQuery:
+def run_stream(events: DataFrame, path: str, cfg: Config = Config(), asn: DataFrame | Owners | None = None, once: bool = True, delay_s: int = DELAY_SECONDS) -> StreamingQuery:
     """Both queries: once, one after the other; else side by side, and the one that detects is returned."""
     spark = events.sparkSession
     ingest = ingest_stream(events, path, once, delay_s)
