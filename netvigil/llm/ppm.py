@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netvigil.llm.common import only, stored, table
-from netvigil.llm.rawtext import LOWER, SPACE, runs, slices
+from netvigil.llm.rawtext import LOWER, SPACE, hashes, runs, slices, text_array, text_bytes
 
 #: Bytes of context; a key has one byte more and must fit into eight.
 ORDER = 5
@@ -42,11 +42,11 @@ LOCAL = 3
 SYMBOLS, END = 256, 0xFF
 #: UTF-8 bytes of a chunk's texts.
 CHUNK_BYTES = 32_000_000
-#: Rows in one batch to Spark.
-ROWS = 200_000
+#: Bytes that are worked on in one go, and rows in one batch to Spark.
+SLICE_BYTES, ROWS = 2_000_000, 100_000
 STRINGS, WORDS, TEXTS = 1, 2, 3
-_WORK = "chunk long, kind int, doc_id long, text string, train boolean, key long, word string, n long"
-_MEET = "chunk long, kind int, doc_id long, text string, keys binary, scores binary, word string, n long"
+_WORK = "chunk long, kind int, texts binary, key long, word string, salt int, n long"
+_MEET = "chunk long, kind int, texts binary, keys binary, values binary, salt int"
 _DONE = "doc_id long, n_tokens long, n_known long, log_sum double, score double"
 
 
@@ -90,24 +90,42 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
 
 
+def _sealed(doc_ids: pa.Array, texts: pa.Array) -> bytes:
+    """Texts and their ids as one compressed value."""
+    batch = pa.RecordBatch.from_arrays([doc_ids, texts], ["doc_id", "text"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 def chunked(docs: DataFrame, train: Column, order: int) -> DataFrame:
     """Texts with their chunk, and for each chunk its strings and words with their counts in training texts.
 
     Written once, so that a chunk stays what it is; counts of texts that are not for
-    training are zero. The word '' stands for the end of a text.
+    training are zero. The word '' stands for the end of a text. A word's key is a hash
+    by which its chunk tells it from all its others: the salt is the first that does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size, keys, words = TaskContext.get().partitionId() << 32, 0, [], []
 
+        def merge() -> None:
+            keys[:] = [_merged(keys)]
+            coded = pa.concat_arrays([w for w, _ in words]).dictionary_encode()
+            total = np.bincount(coded.indices.to_numpy(), weights=np.concatenate([n for _, n in words]), minlength=len(coded.dictionary))
+            words[:] = [(coded.dictionary, total.astype(np.int64))]
+
         def flush() -> Iterator[pa.RecordBatch]:
-            strings, n = _merged(keys)
+            merge()
+            (strings, n), (known, seen) = keys[0], words[0]
             yield from _rows(_WORK, chunk=_same(chunk, len(n)), kind=_same(STRINGS, len(n)), key=pa.array(strings), n=pa.array(n))
-            by_word = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).combine_chunks()
-            known = by_word["word"].combine_chunks()
-            yield from _rows(_WORK, chunk=_same(chunk, len(known)), kind=_same(WORDS, len(known)), word=known, n=by_word["n_sum"].combine_chunks())
+            salt = 0
+            while len(np.unique(own := hashes(known, salt))) < len(known):
+                salt += 1
+            yield from _rows(_WORK, chunk=_same(chunk, len(known)), kind=_same(WORDS, len(known)), key=pa.array(own), word=known, salt=_same(salt, len(known)), n=pa.array(seen))
 
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, limit=SLICE_BYTES):
             trains = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
             small = LOWER[data]
             string, begin = context_keys(small, offsets, order)
@@ -116,12 +134,14 @@ def chunked(docs: DataFrame, train: Column, order: int) -> DataFrame:
             rest = np.unique(string[~taught])
             keys.append((rest, np.zeros(len(rest), np.int64)))
             word, doc = runs(small, offsets, ~SPACE)
-            for own, weight in ((trains[doc], 1), (~trains[doc], 0)):
-                counts = pc.value_counts(word.filter(pa.array(own)))
-                words.append(pa.table({"word": counts.field(0), "n": pc.multiply(counts.field(1), pa.scalar(weight, pa.int64()))}))
-            words.append(pa.table({"word": pa.array([""], pa.large_string()), "n": pa.array([int(trains.sum())])}))
-            yield from _rows(_WORK, chunk=_same(chunk, len(part)), kind=_same(TEXTS, len(part)), doc_id=part.column("doc_id"), text=part.column("text"), train=part.column("train"))
+            coded = word.dictionary_encode()
+            words.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), weights=trains[doc], minlength=len(coded.dictionary))))
+            words.append((pa.array([""], pa.large_string()), np.array([trains.sum()])))
+            sealed = _sealed(part.column("doc_id"), text_array(small, offsets))
+            yield from _rows(_WORK, chunk=_same(chunk, 1), kind=_same(TEXTS, 1), texts=pa.array([sealed], pa.binary()))
             size += len(data)
+            if sum(len(k) for k, _ in keys[1:]) >= 10 * ROWS:
+                merge()
             if size >= CHUNK_BYTES:
                 yield from flush()
                 chunk, size, keys, words = chunk + 1, 0, [], []
@@ -199,57 +219,71 @@ def probabilities(strings: DataFrame, order: int = ORDER) -> DataFrame:
     return _level(strings, _level(by_edge(LOCAL - 1), F.broadcast(low), LOCAL - 1, 1), order, LOCAL).select("key", "score")
 
 
-def _packed(scores: DataFrame) -> DataFrame:
-    """(chunk, kind, keys, scores) with many strings in a row."""
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as bytes of their steps, high bytes first, which shuffle files compress well."""
+    return np.ascontiguousarray(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view(np.int64).ravel())
+
+
+def _packed(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows (chunk, key, value, salt) with many of a chunk in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, n = [], 0
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= 4 * ROWS:
+            n += batch.num_rows
+            if n >= 5 * ROWS:
                 yield from pack(held)
-                held, rows = [], 0
-        if rows:
+                held, n = [], 0
+        if n:
             yield from pack(held)
 
     def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, key, score = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("chunk", "key", "score"))
-        order = np.argsort(chunk, kind="stable")
-        chunk, key, score = chunk[order], key[order], score[order]
-        cut = np.flatnonzero(np.diff(chunk)) + 1
-        ends = [0, *cut.tolist(), len(chunk)]
-        blobs = [(key[a:b].tobytes(), score[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
-        yield from _rows(_MEET, chunk=pa.array(chunk[ends[:-1]]), kind=_same(STRINGS, len(blobs)), keys=pa.array([k for k, _ in blobs], pa.binary()), scores=pa.array([s for _, s in blobs], pa.binary()))
+        chunk, key, value, salt = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("chunk", "key", "value", "salt"))
+        order = np.lexsort((key, chunk))
+        chunk, key, value, salt = chunk[order], key[order], value[order], salt[order]
+        ends = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        blobs = [(_planes(key[a:b]), value[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+        yield from _rows(_MEET, chunk=pa.array(chunk[ends[:-1]]), kind=_same(kind, len(blobs)), keys=pa.array([k for k, _ in blobs], pa.binary()), values=pa.array([v for _, v in blobs], pa.binary()), salt=pa.array(salt[ends[:-1]]))
 
-    return scores.mapInArrow(run, _MEET)
+    return rows.select("chunk", "key", "value", "salt").mapInArrow(run, _MEET)
 
 
 class _Chunk:
     """What a task holds of one chunk: its strings and words."""
 
     def __init__(self, order: int):
-        self.order, self.keys, self.scores, self.words, self.counts, self.ready = order, [], [], [], [], False
+        self.order, self.salt, self.ready = order, 0, False
+        self.keys: dict[int, list[np.ndarray]] = {STRINGS: [], WORDS: []}
+        self.values: dict[int, list[np.ndarray]] = {STRINGS: [], WORDS: []}
 
     def take(self, kind: int, rows: pa.RecordBatch) -> None:
-        if kind == STRINGS:
-            self.keys += [np.frombuffer(b, np.int64) for b in rows.column("keys").to_pylist()]
-            self.scores += [np.frombuffer(b, np.float64) for b in rows.column("scores").to_pylist()]
-        else:
-            self.words.append(rows.column("word").cast(pa.large_string()))
-            self.counts.append(rows.column("n").to_numpy())
+        self.keys[kind] += [_from_planes(b) for b in rows.column("keys").to_pylist()]
+        self.values[kind] += [np.frombuffer(b, np.float64 if kind == STRINGS else np.int64) for b in rows.column("values").to_pylist()]
+        if kind == WORDS:
+            self.salt = rows.column("salt")[0].as_py()
+
+    def _of(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        return self.table[kind][1][pc.index_in(pa.array(keys), value_set=self.table[kind][0]).to_numpy()]
 
     def score(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not self.ready:
-            self.keys, self.scores = pa.array(np.concatenate(self.keys)), np.concatenate(self.scores)
-            self.words, self.counts, self.ready = pa.concat_arrays(self.words), np.concatenate(self.counts), True
-            self.end = int(self.counts[self.words.index("").as_py()])
-        for part, data, offsets in slices(iter([rows])):
-            small = LOWER[data]
+            self.table = {kind: (pa.array(np.concatenate(self.keys.pop(kind))), np.concatenate(self.values.pop(kind))) for kind in (STRINGS, WORDS)}
+            self.end = int(self._of(WORDS, hashes(pa.array([""], pa.large_string()), self.salt))[0])
+            self.ready = True
+        for sealed in rows.column("texts"):
+            with pa.ipc.open_stream(sealed.as_buffer()) as reader:
+                part = reader.read_next_batch()
+            small, offsets = text_bytes(part.column("text"))
             string, begin = context_keys(small, offsets, self.order)
-            found = self.scores[pc.index_in(pa.array(string), value_set=self.keys).to_numpy()]
+            found = self._of(STRINGS, string)
             word, doc = runs(small, offsets, ~SPACE)
-            count = self.counts[pc.index_in(word, value_set=self.words).to_numpy()] if len(word) else np.zeros(0, np.int64)
+            count = self._of(WORDS, hashes(word, self.salt)) if len(word) else np.zeros(0, np.int64)
             n = part.num_rows
             of = lambda weights: np.bincount(doc, weights=weights, minlength=n)  # noqa: E731, B023
             values = {"n_tokens": np.bincount(doc, minlength=n) + 1, "n_known": of(count > 0).astype(np.int64) + (self.end > 0), "log_sum": of(np.log10(count + 1.0)) + np.log10(self.end + 1.0), "score": np.add.reduceat(found, begin[:-1])}
@@ -268,12 +302,12 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame
     work = chunked(docs, train, order)
     own = work.where(F.col("kind") == STRINGS).select("chunk", "key", "n")
     strings = stored(own.groupBy("key").agg(F.sum("n").alias("n")), "ppm-strings")
-    scores = own.select("chunk", "key").join(probabilities(strings, order), "key")
-    in_chunk = work.where(F.col("kind") == WORDS).select("chunk", "kind", "word", "n")
-    words = stored(in_chunk.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
-    known = in_chunk.drop("n").join(words, "word")
-    texts = work.where(F.col("kind") == TEXTS).select("chunk", "kind", "doc_id", "text")
-    meeting = _packed(scores).unionByName(known, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
+    scores = own.select("chunk", "key").join(probabilities(strings, order), "key").select("chunk", "key", F.col("score").alias("value"), F.lit(0).alias("salt"))
+    in_word = Window.partitionBy("word")
+    words = work.where(F.col("kind") == WORDS).select("chunk", "key", "salt", F.sum("n").over(in_word).alias("value"), (F.row_number().over(in_word.orderBy("chunk")) == 1).alias("first"))
+    words = stored(words, "ppm-words")
+    texts = work.where(F.col("kind") == TEXTS).select("chunk", "kind", "texts")
+    meeting = _packed(scores, STRINGS).unionByName(_packed(words, WORDS)).unionByName(texts, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = None, None
@@ -292,7 +326,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame
 
     chunks = work.select("chunk").distinct().count()
     scored = meeting.repartition(max(1, chunks), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, _DONE)
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("n") > 0).alias("_known"))
+    totals = words.where("first").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("value") > 0).alias("_known"))
     base = F.col("log_sum") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("_known") + 1).cast("double"))
     return scored.crossJoin(F.broadcast(totals)).select("doc_id", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 

@@ -46,11 +46,29 @@ def text_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The longest runs of bytes for which ``inside`` holds, none across texts: (the runs as texts, the text of each)."""
     held = inside[data]
-    first = held.copy()
+    first, last = held.copy(), held.copy()
     first[1:] &= ~held[:-1]
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    first[starts] = held[starts]
+    last[:-1] &= ~held[1:]
+    filled = offsets[1:] > offsets[:-1]
+    starts, ends = offsets[:-1][filled], offsets[1:][filled] - 1
+    first[starts], last[ends] = held[starts], held[ends]
     begin = np.flatnonzero(first)
-    place = np.cumsum(held) - 1  # of each held byte among all held ones
-    at = np.append(place[begin], int(held.sum())) if len(begin) else np.zeros(1, np.int64)
+    at = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - begin)])
     return text_array(data[held], at), np.searchsorted(offsets, begin, "right") - 1
+
+
+def hashes(words: pa.Array, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of texts; other salts make other collisions."""
+    _, at, data = words.buffers()
+    offsets = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(offsets)
+    out = size.astype(np.uint64)
+    filled = np.flatnonzero(size)
+    if len(filled):
+        own = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+        starts = offsets[filled] - offsets[0]
+        powers = np.cumprod(np.full(int(size.max()), (0x9E3779B97F4A7C15 + 2 * salt) & 0xFFFFFFFFFFFFFFFF, np.uint64))
+        out[filled] += np.add.reduceat(own * powers[np.arange(len(own)) - np.repeat(starts, size[filled])], starts)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)

@@ -90,6 +90,15 @@ def test_probabilities_of_a_context_sum_to_one():
             assert sum(model.p(context, s) for s in range(256)) == pytest.approx(1)
 
 
+def test_words_whose_hashes_meet_get_another_salt(spark, monkeypatch):
+    real = ppm.hashes
+    monkeypatch.setattr(ppm, "hashes", lambda words, salt: real(words, salt) & (255 if salt < 2 else -1))
+    df = spark.createDataFrame([(i, f"w{i} x{i % 7} y") for i in range(60)], "doc_id long, text string").coalesce(1)
+    model = ByHand([r.text for r in df.collect()])
+    for r in ppm.score_texts(df, F.lit(True)).collect():
+        assert r.base_score == pytest.approx(model.base(f"w{r.doc_id} x{r.doc_id % 7} y")) and r.n_known == 4
+
+
 def test_no_training_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.score_texts(df, F.lit(False)).collect()}
