@@ -1,10 +1,11 @@
 """Source divergence: how far each source's use of terms lies from its language and its other sources.
 
-Terms are counted under digests of 8 bytes: what is shuffled has a fixed width, and texts
-of terms stay behind in the written table of counts. Only digests that enough documents
-hold look their texts up there; where the least and the greatest text of a digest differ,
-terms collided, and that digest is split into one number for each of its terms and counted
-again. Texts are joined to the few rows that are reported. No result depends on digests.
+Terms are counted under digests of 8 bytes, so that counts are shuffled at a fixed width;
+each slice of texts writes the spelling of its digests once, apart from the counts. Only
+digests that enough documents hold look their spellings up; where the least and the
+greatest spelling of a digest differ, terms collided, and such a digest is split into one
+number for each of its terms, whose texts are counted again. Spellings are joined to the
+few rows that are reported. No result depends on digests.
 
 Null text, lang and source are ''. Every (lang, source) pair that occurs is reported, also
 without terms; a language with one source has no pairs, and one without kept terms has
@@ -13,7 +14,7 @@ pairs of value 0 and no terms. Ties go to the lesser text. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netvigil.llm.common import only, parts_for, stored, table
-from netvigil.llm.rawtext import LOWER, runs, slices
+from netvigil.llm.rawtext import LOWER, hashes, runs, slices
 
 #: Documents of a language that must hold a term.
 LEAST_DOCS = 10
@@ -30,29 +31,50 @@ LEAST_DOCS = 10
 TOP_TERMS = 10
 #: Parts of a share in a whole.
 UNIT = 1_000_000_000
+#: UTF-8 bytes of text that are counted in one go.
+SLICE_BYTES = 16_000_000
+#: Rows in one batch to Spark.
+ROWS = 100_000
 #: Terms that one task compares at a time, and sources in one tile of its matrix.
 BLOCK_TERMS, TILE = 20_000, 64
 #: Bytes that a term is made of: letters, and all of characters beyond ASCII.
 _TERM = np.array([b > 0x7F or chr(b).isalpha() for b in range(256)])
-_COUNTS = "lang string, source string, term string, n long, docs long"
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, occurrences, documents) of each slice of texts."""
-    for part, data, offsets in slices(batches, limit=16_000_000):
-        terms, doc = runs(LOWER[data], offsets, _TERM)
-        if not len(terms):
-            continue
-        coded = terms.dictionary_encode()
-        known, width = coded.dictionary, len(coded.dictionary)
-        pairs = pd.DataFrame({c: part.column(c).to_pylist() for c in ("lang", "source")})
-        group, groups = pairs.groupby(["lang", "source"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
-        in_doc, n = np.unique(doc * width + coded.indices.to_numpy(), return_counts=True)
-        cells, at = np.unique(group[in_doc // width] * width + in_doc % width, return_inverse=True)
-        names = [pa.array(groups[c].tolist(), pa.string()).take(pa.array(cells // width)) for c in ("lang", "source")]
-        total = np.bincount(at, weights=n, minlength=len(cells)).astype(np.int64)
-        columns = [*names, known.take(pa.array(cells % width)).cast(pa.string()), pa.array(total), pa.array(np.bincount(at, minlength=len(cells)))]
-        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COUNTS.split(", ")])
+_COUNTS = "lang string, source string, digest long, n long, docs long, term string"
+
+
+def _counting(mask: int, spelled: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, source, digest, occurrences, documents) of each slice of texts, and apart from it the text of each digest.
+
+    spelled: the texts are in the rows of counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, limit=SLICE_BYTES):
+            terms, doc = runs(LOWER[data], offsets, _TERM)
+            if not len(terms):
+                continue
+            coded = terms.dictionary_encode()
+            known, width = coded.dictionary, len(coded.dictionary)
+            digest = pa.array(hashes(known) & mask)
+            pairs = pd.DataFrame({c: part.column(c).to_pylist() for c in ("lang", "source")})
+            group, groups = pairs.groupby(["lang", "source"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
+            in_doc, n = np.unique(doc * width + coded.indices.to_numpy(), return_counts=True)
+            cells, at = np.unique(group[in_doc // width] * width + in_doc % width, return_inverse=True)
+            names = [pa.array(groups[c].tolist(), pa.string()).take(pa.array(cells // width)) for c in ("lang", "source")]
+            counts = [pa.array(np.bincount(at, weights=w, minlength=len(cells)).astype(np.int64)) for w in (n, None)]
+            place = pa.array(cells % width)
+            del in_doc, n, at, cells
+            yield from _batches(*names, digest.take(place), *counts, known.take(place).cast(pa.string()) if spelled else pa.nulls(len(place), pa.string()))
+            if not spelled:
+                yield from _batches(*[pa.nulls(width, pa.string())] * 2, digest, *[pa.nulls(width, pa.int64())] * 2, known.cast(pa.string()))
+
+    return run
+
+
+def _batches(*columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(list(columns), [x.split()[0] for x in _COUNTS.split(", ")])
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -68,25 +90,31 @@ def _gap(p: Column, q: Column) -> Column:
 def count_terms(docs: DataFrame, least_docs: int, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Counts of kept terms as (lang, source, digest, sub, n), and the text of each (digest, sub)."""
     texts = only(docs, "lang", "source", "text").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    digest = F.xxhash64("term").bitwiseAND(F.lit(-1 if digest_bits >= 64 else (1 << digest_bits) - 1))
-    found = stored(texts.mapInArrow(_count, _COUNTS).withColumn("digest", digest), "divergence-found")
+    mask = -1 if digest_bits >= 64 else (1 << digest_bits) - 1
+    found = stored(texts.mapInArrow(_counting(mask, False), _COUNTS), "divergence-found")
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
-    by_digest = stored(found.groupBy("lang", "source", "digest").agg(*sums), "divergence-digests")
-    enough = lambda counts, *key: counts.groupBy("lang", *key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", *key)
+    enough = lambda rows, *key: rows.withColumn("_docs", F.sum("docs").over(Window.partitionBy("lang", *key))).where(F.col("_docs") >= least_docs).drop("_docs")
 
-    wanted = enough(by_digest, "digest").select("digest").distinct()
-    known = found.select("digest", "term").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    # One shuffle by digest: what too few documents hold goes where it arrives.
+    arrived = found.where("term IS NULL").select("lang", "source", "digest", "n", "docs").repartition("digest")
+    held = stored(enough(arrived, "digest").groupBy("lang", "source", "digest").agg(*sums), "divergence-held")
+    wanted = held.select("digest").distinct()
+    known = found.where("term IS NOT NULL").select("digest", "term").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
     known = stored(known, "divergence-texts")
+    alone = known.where("low = high").select("digest", F.lit(0).alias("sub"), F.col("low").alias("term"))
     collided = known.where("low <> high").select("digest")
-    terms = found.select("digest", "term").join(collided, "digest", "left_semi").distinct()
-    split = stored(terms.withColumn("sub", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "divergence-split")
+    if collided.isEmpty():
+        return held.select("lang", "source", "digest", F.lit(0).alias("sub"), "n"), alone
 
-    alone = by_digest.join(known.where("low = high").select("digest"), "digest", "left_semi").select("lang", "source", "digest", F.lit(0).alias("sub"), "n", "docs")
-    apart = found.join(split, ["digest", "term"]).groupBy("lang", "source", "digest", "sub").agg(*sums)
-    counts = alone.unionByName(apart)
-    kept = counts.join(enough(counts, "digest", "sub"), ["lang", "digest", "sub"], "left_semi")
-    cells = stored(kept.select("lang", "source", "digest", "sub", "n"), "divergence-cells")
-    return cells, known.where("low = high").select("digest", F.lit(0).alias("sub"), F.col("low").alias("term")).unionByName(split)
+    # Terms of one digest: each gets a number, and its texts are counted again by it.
+    terms = found.where("term IS NOT NULL").select("digest", "term").join(collided, "digest", "left_semi").distinct()
+    split = stored(terms.withColumn("sub", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "divergence-split")
+    again = texts.mapInArrow(_counting(mask, True), _COUNTS).join(split, ["digest", "term"])
+    apart = enough(again.groupBy("lang", "source", "digest", "sub").agg(*sums), "digest", "sub")
+    whole = held.join(collided, "digest", "left_anti").withColumn("sub", F.lit(0))
+    names = ["lang", "source", "digest", "sub", "n"]
+    cells = stored(whole.select(*names).unionByName(apart.select(*names)), "divergence-cells")
+    return cells, alone.unionByName(split)
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:

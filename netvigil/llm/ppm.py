@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -254,6 +253,37 @@ def _packed(rows: DataFrame, kind: int) -> DataFrame:
     return rows.select("chunk", "key", "value", "salt").mapInArrow(run, _MEET)
 
 
+class Table:
+    """Values by 64-bit key for keys that are all there: open addressing, whole arrays at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.none = next(k for k in range(-1, -len(keys) - 2, -1) if not (keys == k).any())
+        self.keys, self.values = np.full(1 << bits, self.none, np.int64), np.zeros(1 << bits, values.dtype)
+        owner = np.full(1 << bits, -1, np.int64)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = owner[at[left]] < 0
+            tried = left[free]
+            owner[at[tried]] = tried  # of those that meet in a slot, one stays
+            left = np.concatenate([left[~free], tried[owner[at[tried]] != tried]])
+            at[left] = (at[left] + 1) & self.mask
+        held = owner >= 0
+        self.keys[held], self.values[held] = keys[owner[held]], values[owner[held]]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(np.ascontiguousarray(keys))
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
+
+
 class _Chunk:
     """What a task holds of one chunk: its strings and words."""
 
@@ -268,22 +298,19 @@ class _Chunk:
         if kind == WORDS:
             self.salt = rows.column("salt")[0].as_py()
 
-    def _of(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        return self.table[kind][1][pc.index_in(pa.array(keys), value_set=self.table[kind][0]).to_numpy()]
-
     def score(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not self.ready:
-            self.table = {kind: (pa.array(np.concatenate(self.keys.pop(kind))), np.concatenate(self.values.pop(kind))) for kind in (STRINGS, WORDS)}
-            self.end = int(self._of(WORDS, hashes(pa.array([""], pa.large_string()), self.salt))[0])
+            self.strings, self.words = (Table(np.concatenate(self.keys.pop(kind)), np.concatenate(self.values.pop(kind))) for kind in (STRINGS, WORDS))
+            self.end = int(self.words.of(hashes(pa.array([""], pa.large_string()), self.salt))[0])
             self.ready = True
         for sealed in rows.column("texts"):
             with pa.ipc.open_stream(sealed.as_buffer()) as reader:
                 part = reader.read_next_batch()
             small, offsets = text_bytes(part.column("text"))
             string, begin = context_keys(small, offsets, self.order)
-            found = self._of(STRINGS, string)
+            found = self.strings.of(string)
             word, doc = runs(small, offsets, ~SPACE)
-            count = self._of(WORDS, hashes(word, self.salt)) if len(word) else np.zeros(0, np.int64)
+            count = self.words.of(hashes(word, self.salt)) if len(word) else np.zeros(0, np.int64)
             n = part.num_rows
             of = lambda weights: np.bincount(doc, weights=weights, minlength=n)  # noqa: E731, B023
             values = {"n_tokens": np.bincount(doc, minlength=n) + 1, "n_known": of(count > 0).astype(np.int64) + (self.end > 0), "log_sum": of(np.log10(count + 1.0)) + np.log10(self.end + 1.0), "score": np.add.reduceat(found, begin[:-1])}

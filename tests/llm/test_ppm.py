@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,15 @@ def test_words_whose_hashes_meet_get_another_salt(spark, monkeypatch):
         assert r.base_score == pytest.approx(model.base(f"w{r.doc_id} x{r.doc_id % 7} y")) and r.n_known == 4
 
 
+@pytest.mark.parametrize("n", [1, 5, 1000, 60_000])
+def test_table(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.concatenate([[0, -1][: min(n, 2)], rng.integers(-(2**63), 2**63 - 1, n), np.arange(n) << 40]))
+    values = rng.random(len(keys))
+    asked = rng.integers(0, len(keys), 3 * n)
+    assert (ppm.Table(keys, values).of(keys[asked]) == values[asked]).all()
+
+
 def test_no_training_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.score_texts(df, F.lit(False)).collect()}
