@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -38,18 +39,24 @@ from pyspark.sql import functions as F
 from netvigil.llm.common import stored, table
 
 # Roles of HTML elements, and words of class, id and role attributes.
-RAW = "script style noscript template svg math iframe object textarea select option button title".split()
+RAW = "script style noscript template svg annotation iframe object textarea select option button title".split()
 TEXTUAL = "script style noscript textarea title".split()
-DROPPED = "head nav footer aside form header dialog menu".split()
-INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input picture source meta link".split()
+DROPPED = "head nav footer aside form header dialog".split()
+INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input picture source meta link math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mspace mover munder mstyle".split()
 LOOSE = "p li dt dd tr td th thead tbody tfoot colgroup option optgroup".split()
 DROPPED_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related reply replies respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
+#: What may stand beside such a word in the name of a box, and what turns such a name into one of a layout.
+BOX_WORDS = "area bar block body bottom box button buttons card cards center column container count cta dialog element feed fixed form global group icons inline inner item items left link links list main media mobile module outer page panel popular post posts primary prompt right row secondary section site slot sticky strip small text thread title top unit wrap wrapper zone".split()
+LAYOUT_WORDS = "has no with without is not".split()
+COMMENT_WORDS = "comment comments reply replies respond".split()
 MAIN_TAGS = ["article", "main"]
+#: A word that no attribute has, for containers that are the page.
+PAGE = "=page"
 MAIN_WORDS = "article articlebody content entry entry-content main post post-content story".split()
 #: Longest group of tokens that is looked for as a repeat, and shapes of a host that one task aligns.
 REPEAT, SHAPES = 8, 400
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
@@ -79,8 +86,33 @@ def _signature(tag: str, attributes: str) -> str:
     return ".".join([tag, *words])
 
 
+def _parts(word: str) -> list[str]:
+    return re.split("[-_]+", word)
+
+
 def _drops(word: str) -> bool:
-    return word in DROPPED_WORDS or any(p in DROPPED_WORDS for p in re.split("[-_]+", word))
+    """Whether a word speaks of a box at all: by itself, or as a part."""
+    return any(p in DROPPED_WORDS for p in [word, *_parts(word)])
+
+
+def _box(word: str) -> bool:
+    """Whether a word names a box: ``share``, ``ad-slot``, ``related_posts``, but not ``has-banner`` or ``social-history``."""
+    parts = _parts(word)
+    named = _drops(word) and all(p in DROPPED_WORDS or p in BOX_WORDS or p.isdigit() for p in parts)
+    return word in DROPPED_WORDS or (named and parts[0] not in LAYOUT_WORDS)
+
+
+@lru_cache(100_000)
+def _hints(token: str) -> bool:
+    """Whether words of a container speak of a box without naming one, so that what it holds must decide."""
+    tag, *words = token[1:].split(".")
+    speaks = any(_drops(w) and not _box(w) and _parts(w)[0] not in LAYOUT_WORDS for w in words)
+    return PAGE not in words and (tag == "menu" or (tag not in MAIN_TAGS and speaks))
+
+
+@lru_cache(100_000)
+def _rules(token: str) -> bool:
+    return _hints(token) or _dropped(token)
 
 
 def tokens_of(html: str) -> tuple[list[str], list[str], list[int]]:
@@ -193,10 +225,26 @@ def _balanced(tokens: list[str]) -> bool:
     return depth == 0
 
 
+def _with_page(tokens: list[str], chars: list[int]) -> list[str]:
+    """Tokens where a container around most of a page's article text has ``PAGE`` as a word: it is the page and no box, whatever its name."""
+    if not any(_rules(t) for t in tokens if t[0] == "<"):
+        return tokens
+    slots, homes = slots_of(tokens), paths_of(tokens)
+    held: dict[int, int] = {}
+    whole = 0
+    for (_, path), home, n in zip(slots, homes, chars, strict=True):
+        outer = next((k for k, t in enumerate(path) if t[1:].split(".")[0] in MAIN_TAGS), None)
+        if outer is not None:
+            whole += n
+            for place in home[:outer]:
+                held[place] = held.get(place, 0) + n
+    return [f"{t}.{PAGE}" if 2 * held.get(k, 0) >= whole > 0 and _rules(t) else t for k, t in enumerate(tokens)]
+
+
 def read_page(html: str | None) -> Page:
     """The folded stream and blocks of a page."""
     tokens, texts, links = tokens_of(html or "")
-    folded, home = fold(tokens)
+    folded, home = fold(_with_page(tokens, [len(t) for t in texts]))
     return Page(" ".join(folded), list(zip(home, texts, links, strict=True)))
 
 
@@ -233,18 +281,22 @@ def _bare(tokens: list[str]) -> list[str]:
     return [t for t in tokens if t not in MARKS]
 
 
+@lru_cache(100_000)
 def _dropped(token: str) -> bool:
-    """Whether a container is none of the text by its tag or words; an article is text whatever its words."""
+    """Whether a container is none of the text by its tag or name; an article is text whatever its words, unless it is a reader's comment."""
     tag, *words = token[1:].split(".")
-    return tag in DROPPED or (tag not in MAIN_TAGS and any(map(_drops, words)))
+    if tag in MAIN_TAGS:
+        return tag == "article" and any(w in COMMENT_WORDS for w in words)
+    return PAGE not in words and (tag in DROPPED or any(map(_box, words)))
 
 
 def _heads(token: str) -> bool:
     """Whether nothing but its being a header speaks against a container."""
     tag, *words = token[1:].split(".")
-    return all(p not in DROPPED_WORDS or p == "header" for w in words for p in [w, *re.split("[-_]+", w)]) and (tag == "header" or tag not in DROPPED)
+    return all(p not in DROPPED_WORDS or p == "header" for w in words if _box(w) for p in [w, *_parts(w)]) and (tag == "header" or tag not in DROPPED)
 
 
+@lru_cache(100_000)
 def _main(token: str) -> bool:
     tag, *words = token[1:].split(".")
     return tag in MAIN_TAGS or any(w in MAIN_WORDS for w in words)
@@ -281,13 +333,8 @@ class Use:
 
 def label(tokens: list[str], uses: list[Use], by_name: bool = True) -> list[bool]:
     """Which slots of a wrapper are content; by_name: main containers, if there are any, hold it all."""
-    slots = slots_of(tokens)
-    kept = []
-    for _, path in slots:
-        start = max([0, *[k + 1 for k, t in enumerate(path) if t[1:].split(".")[0] in MAIN_TAGS]])
-        # The header of an article belongs to it; the header of a page doesn't.
-        kept.append(not any(_dropped(t) and not (k >= start > 0 and _heads(t)) for k, t in enumerate(path)))
-    homes = paths_of(tokens)
+    slots, homes = slots_of(tokens), paths_of(tokens)
+    kept = _kept(slots, uses)
     inside = [k and any(_main(t) for t in path) for k, (_, path) in zip(kept, slots, strict=True)]
     if by_name and any(inside):
         return _without_boxes(slots, homes, uses, inside)
@@ -303,6 +350,22 @@ def label(tokens: list[str], uses: list[Use], by_name: bool = True) -> list[bool
     return out
 
 
+def _kept(slots: list[tuple[str, list[str]]], uses: list[Use]) -> list[bool]:
+    """Which slots no container around them rules out.
+
+    A box's name rules out all in it; words that merely speak of boxes rule out what is
+    mostly links or the same on page after page.
+    """
+    out = []
+    for (_, path), use in zip(slots, uses, strict=True):
+        inner = max([0, *[k + 1 for k, t in enumerate(path) if t[1:].split(".")[0] in MAIN_TAGS]])
+        # The header of an article belongs to it; the header of a page doesn't.
+        boxed = any(_dropped(t) and not (k >= inner > 0 and _heads(t)) for k, t in enumerate(path))
+        stale = (use.blocks > 0 and use.constant()) or 2 * use.linked > use.chars
+        out.append(not boxed and not (stale and any(map(_hints, path))))
+    return out
+
+
 def paths_of(tokens: list[str]) -> list[tuple[int, ...]]:
     """For each slot the places of the containers around it in the stream."""
     stack: list[int] = []
@@ -356,7 +419,7 @@ def label_alone(tokens: list[str], chars: list[int], linked: list[int]) -> list[
 
 
 def places_in(wrapper: list[str], shape: list[str]) -> list[int]:
-    """The wrapper slot of each slot of a stream, -1 where it has none."""
+    """The wrapper slot of each slot of a stream, -1 where it has none, or none in like articles and boxes."""
     number = {k: n for n, k in enumerate(k for k, t in enumerate(wrapper) if t[0] == "#")}
     mine = {k: n for n, k in enumerate(k for k, t in enumerate(shape) if t[0] == "#")}
     out = [-1] * len(mine)
@@ -364,6 +427,21 @@ def places_in(wrapper: list[str], shape: list[str]) -> list[int]:
         for d in range(block.size):
             if block.b + d in mine:
                 out[mine[block.b + d]] = number[block.a + d]
+    theirs = _named_paths(wrapper)
+    return [p if p < 0 or theirs[p] == own else -1 for p, own in zip(out, _named_paths(shape), strict=True)]
+
+
+def _named_paths(tokens: list[str]) -> list[str]:
+    """For each slot the containers around it that have a say by their names."""
+    stack = [""]
+    out = []
+    for t in tokens:
+        if t[0] == "<":
+            stack.append(f"{stack[-1]} {t}" if _rules(t) or _main(t) else stack[-1])
+        elif t[0] == "/" and len(stack) > 1:
+            stack.pop()
+        elif t[0] == "#":
+            out.append(stack[-1])
     return out
 
 

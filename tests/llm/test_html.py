@@ -88,3 +88,55 @@ def test_odd_pages(spark):
     got = html.extract_text(spark.createDataFrame(rows, SCHEMA + ", text int")).collect()
     assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 5), (1, 0), (1, 0), (2, 0), (3, 999_999)]
     assert html.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+HARD = {
+    '<div class="layout with-sidebar"><article><p>Whole article text.</p></article></div>': "Whole article text.",
+    '<div id="page" class="has-banner"><main><p>Main text.</p></main></div>': "Main text.",
+    '<div id="page" class="overlay search"><main><p>Main text.</p></main></div>': "Main text.",
+    '<form id="all"><main><p>A page in a form.</p></main></form>': "A page in a form.",
+    '<article><section class="login-tutorial"><p>a</p></section><div class="menu-planning"><p>b</p></div><div class="ad-hoc-networks">c</div><div class="comment-on-policy">d</div><div id="social-history">e</div></article>': "a\nb\nc\nd\ne",
+    '<main><p>The story.</p></main><article class="comment"><p>A reader.</p></article>': "The story.",
+    '<main><p>A long story.</p></main><div class="related"><article><p>Card.</p></article></div>': "A long story.",
+    '<article><p>Text.</p><div class="ad-slot-3">Buy.</div><div class="share-buttons">Share.</div><section class="comments"><article><p>A reader.</p></article></section></article>': "Text.",
+    '<article><p>So <math><mi>y</mi><mo>=</mo><mn>2</mn></math></p><menu><li>An item.</li></menu><button>Press</button></article>': "So y=2\nAn item.",
+    "<article><p class=a\">One.</p><img alt=it's src=x><p title='a>b' id=\"c>d\">Two &gt; 1 < 3</p></article>": "One.\nTwo > 1 < 3",
+    '<div class="has-banner"><p>A page without a main container.</p></div>': "A page without a main container.",
+}
+
+
+def test_names_that_only_sound_like_boxes(spark):
+    """Each page is a host of its own, so its names and links alone decide."""
+    rows = [(k, f"http://h{k}.example/", page) for k, page in enumerate(HARD)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in range(len(HARD))] == list(HARD.values())
+
+
+def test_random_pages_by_a_plain_extractor(spark):
+    """Pages of known blocks: article parts under misleading names stay, boxes go, whatever stands around the article."""
+    rng = random.Random(12)
+    layouts = ["with-sidebar", "has-banner", "no-header page", "x1", "search-results-page wide", "overlay"]
+    inner = ["ad-hoc-notes", "menu-history", "comment-on-law", "login-guide", "social-life", "q7", "banner-year"]
+    boxes = ["ad", "share-bar", "related-posts", "newsletter", "comments", "cookie-notice", "widget"]
+    rows, want = [], {}
+    for k in range(60):
+        parts, own = [], []
+        for j in range(rng.randint(2, 6)):
+            text = f"Part {j} of story {k} says {rng.random()}."
+            if rng.random() < 0.3:
+                parts.append(f'<div class="{rng.choice(boxes)}"><p>Box {text}</p></div>')
+            else:
+                own.append(text)
+                quote = rng.choice(["", ' class=a"', " title=it's", " data-x='<b>'"])
+                parts.append(f'<section class="{rng.choice(inner)}"><p{quote}>{text}</p></section>' if rng.random() < 0.5 else f"<p{quote}>{text}</p>")
+        around = [f'<div class="{rng.choice(layouts)}">', f'<div id="{rng.choice(layouts)}" class="c">']
+        page = f"<html><body><nav><a href=x>Home</a></nav>{''.join(around)}<{(tag := rng.choice(['article', 'main']))}>{''.join(parts)}</{tag}></div></div><footer>End</footer></body></html>"
+        rows.append((k, f"http://r{k % 7}.example/{k}", page))
+        want[k] = "\n".join(own)
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k in want if got[k] != want[k]] == []
+
+
+def test_query_counts_code_points(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.example/", "<main><p>日本 &amp; é</p></main>"), (2, None, None)], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html.op3_extract(spark, str(tmp_path)).collect()) == [(1, "http://a.example/", "日本 & é", 6), (2, None, "", 0)]
