@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netvigil.functions import fixed
+from netvigil.functions.scratch import stored
 from netvigil.operators.detectors import Config, candidates
+from netvigil.operators.reputation import Owners
 
 REFRACTORY = {"c2_beaconing": 300}
 CONTEXT, DISTINCT, COOLDOWN = 8, 3, 3600
@@ -161,28 +163,23 @@ def correlate(alerts: DataFrame, context: int = CONTEXT, distinct: int = DISTINC
     }
     out = with_ids(joined.withColumns(values))
     same = {f.name: f.dataType for f in alerts.schema.fields}
-    filled = [(F.col(n) if n in out.columns else F.lit(None)).cast(t).alias(n) for n, t in same.items()]
+    have = set(out.columns)
+    filled = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in same.items()]
     return out.select(*filled, "underlying_alert_ids", "classes")
 
 
-def detect_all(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, dga_scores: DataFrame | None = None) -> DataFrame:
+def detect_all(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None, dga_scores: DataFrame | None = None) -> DataFrame:
     """Normalized events to fresh and correlated alerts."""
-    fresh = fresh_alerts(events, cfg, asn, dga_scores).persist()
-    return with_correlated(fresh)
+    return with_correlated(stored(fresh_alerts(events, cfg, asn, dga_scores), "fresh"))
 
 
-def fresh_alerts(events: DataFrame, cfg: Config = Config(), asn: DataFrame | None = None, dga_scores: DataFrame | None = None, only: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
-    """Alerts of the events, repeats dropped.
+def fresh_alerts(events: DataFrame, cfg: Config = Config(), asn: DataFrame | Owners | None = None, dga_scores: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Alerts of the events, repeats dropped; last: what earlier runs emitted, see ``refractory``.
 
-    only: (seq) of the events that may raise alerts, the others just fill windows.
-    last: what earlier runs emitted, see ``refractory``.
+    Candidates are read by the filter and by its join, so they are written once in between.
     """
-    def new(rows: DataFrame) -> DataFrame:
-        return rows if only is None else rows.join(only, "seq", "left_semi")
-
-    # Each is read several times below: by the filter and its join, and by correlation.
-    found = new(candidates(events, cfg, asn, dga_scores, thin=lambda rows: refractory(new(rows).persist(), last=last))).persist()
-    return with_ids(refractory(found, last=last))
+    found = candidates(events, cfg, asn, dga_scores, thin=lambda rows: refractory(stored(rows, "scans"), last=last))
+    return with_ids(refractory(stored(found, "candidates"), last=last))
 
 
 def with_correlated(fresh: DataFrame, before: DataFrame | None = None) -> DataFrame:

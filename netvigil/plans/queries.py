@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import fixed
 from netvigil.functions import scalars as S
+from netvigil.functions.scratch import scratch_path
 from netvigil.operators import alerts, detectors, evaluate, features, learning, reputation, store
 from netvigil.plans.adapter import BEACONS_SQL, NAMES_SQL, TELEMETRY_SQL, beacons, names, telemetry
 from netvigil.sources import logs, packets
@@ -31,18 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in local mode without one, a folder of its own."""
-    import tempfile
-    import uuid
-
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir")
-    if not base:
-        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_scratch = scratch_path
 
 
 # Windows: a frame over one integer that has the time first and the arrival second.

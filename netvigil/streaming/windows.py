@@ -141,7 +141,8 @@ def windowed(events: DataFrame, cfg: Config = Config(), delay_s: int = 60) -> Da
     delay_s: how far behind the newest event a row may come; later ones must not be in
     events, or they are dropped (see ``live.ingest_stream``, which sets them aside).
     """
-    carried = [F.coalesce(F.col(c) if c in events.columns else F.lit(None), F.lit(_NULLS[t])).cast(t).alias(c) for c, t in CARRIED.items()]
+    have = set(events.columns)
+    carried = [F.coalesce(F.col(c) if c in have else F.lit(None), F.lit(_NULLS[t])).cast(t).alias(c) for c, t in CARRIED.items()]
     parts = []
     for family, frame in features.FRAMES.items():
         sums, values = list(frame.sums.values()), list(frame.distinct.values())
