@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,23 @@ def dga_eval(scored: DataFrame, threshold: float = 0.8) -> DataFrame:
     return n.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
+def stems(label: F.Column) -> F.Column:
+    """The words of a name: runs of at least three letters, in lower case; the whole name where it has none."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(label), F.lit("[a-z]{3,}"), F.lit(0)))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lower(label)))
+
+
+def split_by_vocabulary(labels: DataFrame, test_share: float = 0.5) -> DataFrame:
+    """labels (label, ...) with part: train, test, or between, so that train and test have no word in common.
+
+    Words are dealt by hash, and a name goes where all its words are; names with words on
+    both sides are between and belong to neither half. No names are compared with others.
+    """
+    tests = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") < int(test_share * 65536)
+    words = stems(F.col("label"))
+    return labels.withColumn("part", F.when(F.forall(words, tests), "test").when(F.exists(words, tests), "between").otherwise("train"))
+
+
 def exfil_train(rows: DataFrame, trees: int = 50, sample: int = 256) -> pd.DataFrame:
     """Isolation trees over (outbound_bytes, outbound_inbound_ratio): each is grown by a task from a sample of rows."""
     share = min(1.0, 2.0 * sample * trees / max(1, rows.count()))
@@ -109,6 +129,51 @@ def exfil_anomaly(rows: DataFrame, model: pd.DataFrame | None, limit: float = 0.
     return out.withColumn("exfil_anomaly_flag", F.col("exfil_anomaly_score") >= limit)
 
 
+class IsolationForest(Estimator):
+    """Fits ``IsolationForestModel`` to rows with outbound_bytes and outbound_inbound_ratio."""
+
+    def __init__(self, trees: int = 50, sample: int = 256):
+        super().__init__()
+        self.trees, self.sample = trees, sample
+
+    def _fit(self, dataset: DataFrame) -> IsolationForestModel:
+        return IsolationForestModel(exfil_train(dataset, self.trees, self.sample))
+
+
+class IsolationForestModel(Model, MLWritable, MLReadable):
+    """Adds exfil_anomaly_score and exfil_anomaly_flag; its nodes (trees times a bounded sample) are written as a table."""
+
+    def __init__(self, nodes: pd.DataFrame | None = None, limit: float = 0.6):
+        super().__init__()
+        self.nodes, self.limit = nodes, limit
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return exfil_anomaly(dataset, self.nodes, self.limit)
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader()
+
+
+class _ForestWriter(MLWriter):
+    def __init__(self, model: IsolationForestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        nodes = self.sparkSession.createDataFrame(self.model.nodes.assign(limit=self.model.limit))
+        nodes.coalesce(1).sortWithinPartitions("tree", "node").write.parquet(f"{path}/nodes")
+
+
+class _ForestReader(MLReader):
+    def load(self, path: str) -> IsolationForestModel:
+        nodes = self.sparkSession.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas()
+        return IsolationForestModel(nodes.drop(columns="limit"), float(nodes["limit"].iloc[0]))
+
+
 def artifact_digest(spark: SparkSession, path: str) -> str | None:
     """One digest over the names and bytes of a model's files, or none where there are none; tasks hash the files."""
     try:
@@ -133,6 +198,6 @@ def gate(manifest: dict[str, str], name: str, digest: str | None, version: str)
     return bool(manifest) and digest is not None and manifest.get(name) == digest and manifest.get("library") == version
 
 
-def load_gated(spark: SparkSession, path: str, name: str, manifest: dict[str, str]) -> PipelineModel | None:
+def load_gated(spark: SparkSession, path: str, name: str, manifest: dict[str, str], load: Callable[[str], Model] = PipelineModel.load) -> Model | None:
     """The model at path if its files are those that the manifest names; none, and it is never read, if not."""
-    return PipelineModel.load(path) if gate(manifest, name, artifact_digest(spark, path), spark.version) else None
+    return load(path) if gate(manifest, name, artifact_digest(spark, path), spark.version) else None

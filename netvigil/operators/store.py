@@ -279,6 +279,23 @@ def metrics_snapshot(observed: DataFrame, last: int = 10_000) -> DataFrame:
     return whole.crossJoin(newest).select("events_total", "alerts_total", rate.alias("throughput_eps"), *[lower_quantile(F.col("l"), q).alias(n) for n, q in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99))])
 
 
+#: Size of a latency sketch: ranks are right to about 2.3 / SKETCH_SIZE ** 0.9 of the rows.
+SKETCH_SIZE = 2048
+
+
+def latency_sketches(observed: DataFrame, *by: str) -> DataFrame:
+    """(by, events_total, alerts_total, latency) of (latency_ms, alerts) rows: a sketch of bounded size for each group, to be kept beside its figures."""
+    return observed.groupBy(*by).agg(
+        F.count("*").alias("events_total"), F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts_total"), F.kll_sketch_agg_double("latency_ms", F.lit(SKETCH_SIZE)).alias("latency"),
+    )
+
+
+def quantiles_over(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """One row for any set of groups, batches or days: totals and quantiles of all their rows, from the sketches alone."""
+    whole = sketches.agg(F.sum("events_total").alias("events_total"), F.sum("alerts_total").alias("alerts_total"), F.kll_merge_agg_double("latency").alias("_all"))
+    return whole.select("events_total", "alerts_total", *[F.kll_sketch_get_quantile_double("_all", F.lit(q)).alias(f"p{round(q * 100)}_ms") for q in quantiles])
+
+
 def export_evidence(stored: DataFrame, path: str) -> DataFrame:
     """Writes summary, chain state and newest alerts, and returns (name, sha256) of each."""
     parts = {"summary": summary(stored).orderBy("by", "name"), "chain": verify_chain(stored), "alerts": list_alerts(stored, limit=1000)}

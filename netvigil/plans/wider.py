@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import fixed
 from netvigil.functions import scalars as S
-from netvigil.operators import alerts, detectors, evaluate, features, reputation, store
+from netvigil.operators import alerts, detectors, evaluate, features, learning, reputation, store
 from netvigil.plans import queries as base
 from netvigil.plans.adapter import NAMES_SQL, TELEMETRY_SQL, beacons, names, telemetry
 from netvigil.plans.queries import ORACLE_SQL, query
@@ -294,3 +294,22 @@ def b9_nested(spark, d):
     half = F.col("seq") % 2 == 0
     found = reputation.describe(rows.where(half), "ip", owners).unionByName(reputation.describe(rows.where(~half), "ip", by_24))
     return found.select("seq", "asn", "reputation")
+
+
+@query("h3_vocabulary_split", f"""WITH named AS (SELECT seq, lower(split_part(query, '.', 1)) AS label FROM ({NAMES_SQL})),
+  words AS (SELECT seq, label, CASE WHEN len(w) > 0 THEN w ELSE [label] END AS w FROM (SELECT *, list_distinct(regexp_extract_all(label, '[a-z]{{3,}}')) AS w FROM named)),
+  dealt AS (SELECT seq, label, unnest(w) AS word FROM words), sides AS (SELECT seq, label, word, CAST('0x' || substr(md5(word), 1, 4) AS INT) < 32768 AS test FROM dealt)
+  SELECT seq, label, CASE WHEN bool_and(test) THEN 'test' WHEN bool_or(test) THEN 'between' ELSE 'train' END AS part FROM sides GROUP BY seq, label""")
+def h3_split(spark, d):
+    labels = names(spark, d).select("seq", F.lower(S.first_label(F.col("query"))).alias("label"))
+    return learning.split_by_vocabulary(labels)
+
+
+@query("f8_sketches", """SELECT count(*) AS events_total, CAST(sum(l_linenumber) AS BIGINT) AS alerts_total, true AS p50, true AS p95, true AS p99 FROM lineitem""")
+def f8_sketches(spark, d):
+    """Quantiles from one sketch for each ship date, merged; whether each is within half a percent of its rank."""
+    rows = base._table(spark, d, "lineitem").select("l_shipdate", F.col("l_extendedprice").cast("double").alias("latency_ms"), F.col("l_linenumber").cast("long").alias("alerts"))
+    found = store.quantiles_over(store.latency_sketches(rows, "l_shipdate"))
+    near = lambda q: (F.avg((F.col("latency_ms") < F.col(f"p{q}_ms")).cast("double")) <= q / 100 + 0.005) & (F.avg((F.col("latency_ms") <= F.col(f"p{q}_ms")).cast("double")) >= q / 100 - 0.005)
+    totals = [F.max(c).alias(c) for c in ("events_total", "alerts_total")]
+    return rows.drop("alerts").crossJoin(F.broadcast(found)).agg(*totals, *[near(q).alias(f"p{q}") for q in (50, 95, 99)])
