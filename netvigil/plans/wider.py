@@ -9,7 +9,7 @@ from netvigil.functions import fixed
 from netvigil.functions import scalars as S
 from netvigil.operators import alerts, detectors, evaluate, features, learning, reputation, store
 from netvigil.plans import queries as base
-from netvigil.plans.adapter import NAMES_SQL, TELEMETRY_SQL, beacons, names, telemetry
+from netvigil.plans.adapter import BEACONS_SQL, NAMES_SQL, TELEMETRY_SQL, beacons, names, telemetry
 from netvigil.plans.queries import ORACLE_SQL, query
 from netvigil.sources import tables
 
@@ -313,3 +313,16 @@ def f8_sketches(spark, d):
     near = lambda q: (F.avg((F.col("latency_ms") < F.col(f"p{q}_ms")).cast("double")) <= q / 100 + 0.005) & (F.avg((F.col("latency_ms") <= F.col(f"p{q}_ms")).cast("double")) >= q / 100 - 0.005)
     totals = [F.max(c).alias(c) for c in ("events_total", "alerts_total")]
     return rows.drop("alerts").crossJoin(F.broadcast(found)).agg(*totals, *[near(q).alias(f"p{q}") for q in (50, 95, 99)])
+
+
+#: Beacons of which every fifth user calls a discovery port, and some a broadcast address.
+_NOISY = BEACONS_SQL.replace("WHEN 0 THEN 443", "WHEN 0 THEN 5353").replace("THEN '10.0.0.99'", "THEN CASE WHEN user_id % 2 = 0 THEN '10.0.0.99' ELSE '10.0.0.255' END")
+
+
+@query("d4_c2_noise", ORACLE_SQL["d4_c2"].replace(BEACONS_SQL, _NOISY))
+def d4_noise(spark, d):
+    """Beacons among discovery and broadcast traffic, which raises nothing."""
+    rows = beacons(spark, d).withColumn("_user", F.floor(F.col("seq") / 100))
+    port = F.when(F.col("_user") % 5 == 0, F.lit(5353)).otherwise(F.col("dst_port")).cast("int")
+    host = F.when((F.col("_user") % 3 == 0) & (F.col("_user") % 2 != 0), "10.0.0.255").otherwise(F.col("dst_ip"))
+    return base._shown(detectors.detect_c2(rows.withColumns({"dst_port": port, "dst_ip": host}).drop("_user")))

@@ -117,8 +117,6 @@ class WindowState(StatefulProcessor):
                 out[at] = [*window.found(), *self._lists(family, window)]
         newest = merged[-1][0]
         self.kept.put([tuple(r[:-1]) for r in merged if r[0] >= newest - span - self.delay])
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
         self.handle.registerTimer((newest + span + self.delay) // 1000 + 1)
         found = pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
         yield pd.concat([new[["family", *CARRIED]], found], axis=1)
@@ -131,7 +129,10 @@ class WindowState(StatefulProcessor):
         return window.targets() if wide and round(window.sums[0] / n * 100) / 100 >= cfg.recon_failures else (None, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
+        # Each batch of a key sets a timer; only the one behind its newest row finds nothing that a later window needs.
+        newest = max((r[0] for r in self.kept.get()), default=None)
+        if newest is not None and (newest + self.spans[key[0]] + self.delay) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.kept.clear()
         return iter(())
 
 
