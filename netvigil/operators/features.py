@@ -33,13 +33,11 @@ class Frame:
 
     def over(self, events: DataFrame, seconds: int) -> DataFrame:
         """events, all of which the set is about, with what their windows hold."""
-        keyed = events.withColumns({f"_key{n}": F.expr(k) for n, k in enumerate(self.keys)})
         values = {k: F.expr(v) for k, v in self.distinct.items()}
-        out = trailing(
-            keyed, [f"_key{n}" for n in range(len(self.keys))], seconds, sums={k: F.expr(v) for k, v in self.sums.items()}, distinct=values,
+        return trailing(
+            events, [F.expr(k) for k in self.keys], seconds, sums={k: F.expr(v) for k, v in self.sums.items()}, distinct=values,
             entropy={self.entropy: next(iter(values.values()))} if self.entropy else None, gaps=self.gaps,
         )
-        return out.drop(*[f"_key{n}" for n in range(len(self.keys))])
 
 
 FRAMES = {

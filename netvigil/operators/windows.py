@@ -20,7 +20,7 @@ BUCKET_WINDOWS = 4
 
 def trailing(
     events: DataFrame,
-    keys: list[str],
+    keys: list[str | Column],
     seconds: int,
     sums: dict[str, Column] | None = None,
     distinct: dict[str, Column] | None = None,
@@ -39,7 +39,7 @@ def trailing(
     names = events.columns
     row = events.select(
         F.struct(*names).alias("row"),
-        *[F.col(k).alias(f"key{n}") for n, k in enumerate(keys)],
+        *[(F.col(k) if isinstance(k, str) else k).alias(f"key{n}") for n, k in enumerate(keys)],
         F.col("ts_us").alias("t"), F.col("seq").alias("s"),
         *[F.coalesce(x.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"sum_{n}") for n, x in sums.items()],
         *[x.alias(f"val_{n}") for n, x in (distinct | entropy).items()],
