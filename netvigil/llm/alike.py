@@ -12,7 +12,10 @@ out uncounted only by bounds that hold always: their sizes, and the bits in whic
 parities of their hashes differ, each of which needs a shingle that only one of them has.
 
 Equal sets are one node, and classes are joined before the rest is looked at, so a large
-group of copies doesn't bring all its pairs.
+group of copies doesn't bring all its pairs. Shingles whose texts have the same smallest
+and largest class are one family, whose nodes are held against each other once, not for
+each shingle. Of the pairs that the bounds leave there only a forest is counted first;
+with the classes that it makes, those that are still between classes are counted too.
 
 Defined results: texts without words are no copies of each other (node null); repeats
 of a shingle count once; every row counts by itself, whatever its doc_id.
@@ -31,19 +34,21 @@ from pyspark.sql import functions as F
 
 from netvigil.llm.common import parts_for, stored
 from netvigil.llm.components import smallest_reachable
-from netvigil.llm.simhash import gray_links, majorities, mix, sampled_masks, shingle_hashes
+from netvigil.llm.simhash import gray_links, joined_by, majorities, mix, sampled_masks, shingle_hashes
 
 #: Words of a code, bits of a block, and bits in which linked codes may differ: at a similarity of 0.8 they differ in 39, give or take 6.
 WORDS, BLOCK, LIMIT = 4, 12, 50
-#: Places by which parities are counted: few for pairs that share a shingle; for pairs that this leaves, a power of two from four for each shingle on.
-FEW, EACH = 512, 4
+#: Places by which parities are counted: a power of two from four for each shingle on, and at least.
+EACH, PLACES = 4, 1024
 #: Keys of texts that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Texts that the order is taken from, and shingles whose counts every task knows.
 SAMPLE, KNOWN = 8_000, 1_000_000
-#: Members that one task takes, and pairs of one shingle that are looked at in one go.
-ROWS, PAIRS = 1_000_000, 1_000_000
-#: Nodes of one shingle that one task holds against each other.
+#: Members that one task takes, and 64-bit words of parities.
+ROWS, BITS = 1_000_000, 2_000_000
+#: Pairs that are looked at in one go, and 64-bit words of their parities.
+PAIRS, HELD = 200_000, 1_000_000
+#: Nodes of one family that one task holds against each other.
 HOT = 20_000
 
 
@@ -79,7 +84,7 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def with_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(row, doc_id, text_key, node, size, code, prefix, parity, wide) of every row: how many shingles, their SimHash, the first of them with rare ones before others, the parities of their hashes by few and by many places."""
+    """(row, doc_id, text_key, node, size, code, prefix, wide) of every row: how many shingles, their SimHash, the first of them with rare ones before others, the parities of their hashes by place."""
     known, counts = _common_shingles(docs, width)
     sent = docs.sparkSession.sparkContext.broadcast((known, counts))
 
@@ -91,21 +96,19 @@ def with_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataF
                 found = [_members(text, width) for text in part.column(3).to_pylist()]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 codes = majorities(np.concatenate([np.zeros(0, np.uint64), *found]), sizes, WORDS)
-                firsts, bits, wide = [], [], []
+                firsts, wide = [], []
                 for own in found:
-                    many = 1 << max(FEW, EACH * len(own) - 1).bit_length()
+                    many = 1 << max(PLACES - 1, EACH * len(own) - 1).bit_length()
                     odd = np.bincount((mix(own) & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
                     wide.append(np.packbits(odd.astype(bool)).view(np.uint64))
-                    odd = odd.reshape(-1, FEW).sum(0) & 1
-                    bits.append(np.packbits(odd.astype(bool)).view(np.uint64))
                     if len(known) and len(own):
                         k = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         own = own[np.argsort(np.where(known[k] == own, counts[k], 0), kind="stable")]
                     firsts.append(own[: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(_node, found), pa.int64()), pa.array(sizes), _lists(list(codes)), _lists(firsts), _lists(bits), _lists(wide)], ["row", "doc_id", "text_key", "node", "size", "code", "prefix", "parity", "wide"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(_node, found), pa.int64()), pa.array(sizes), _lists(list(codes)), _lists(firsts), _lists(wide)], ["row", "doc_id", "text_key", "node", "size", "code", "prefix", "wide"])
 
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, text_key long, node long, size long, code array<long>, prefix array<long>, parity array<long>, wide array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, text_key long, node long, size long, code array<long>, prefix array<long>, wide array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -152,7 +155,7 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = rows.where("node is not null")
     members = full.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    sets = stored(full.groupBy("node").agg(*[F.first(x).alias(x) for x in ("text_key", "size", "code", "parity", "wide")]), "sets")
+    sets = stored(full.groupBy("node").agg(*[F.first(x).alias(x) for x in ("text_key", "size", "code", "wide")]), "sets")
     n = sets.count()
     near = gray_links(sets.select("node", F.col("code").alias("fp")), n, LIMIT, sampled_masks(WORDS, BLOCK))
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -172,39 +175,77 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     dealt = full.select(F.explode("prefix").alias("h"), "node")
     shared = stored(dealt.repartition(parts_for(members, ROWS, least), "h").mapInArrow(share, "h long, node long"), "shared")
 
-    # What SimHash left apart: all pairs of different classes.
+    # What SimHash left apart, first as links that would join classes, then as all that these left.
+    families = stored(_families(shared, classes), "families").join(sets.select("node", "size", "wide"), "node")
+    parts = parts_for(families.agg(F.coalesce(F.sum(F.size("wide")), F.lit(0))).first()[0], BITS, least)
+    for forest in (True, False):
+        known = families.join(classes, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root"), "size", "wide")
+        found = stored(known.repartition(parts, "family").mapInArrow(lambda x, forest=forest: _apart(x, similarity, forest), "family long, a long, b long"), "apart")
+        links = stored(links.unionByName(_counted(found.select("a", "b").distinct(), sets, docs, similarity, width)), "links")
+        classes = stored(smallest_reachable(links), "classes")
+        families = families.join(found.select("family").distinct(), "family", "left_semi")  # the others have no pair that the bounds leave
+    return classes
+
+
+def _families(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(family, node): the nodes of all shingles (h, node) that have the same first and last class; of a large family each two of its parts."""
     known = shared.join(classes, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    nodes = known.join(open_.select("h", F.xxhash64("low", "high").alias("family")), "h").select("family", "node").distinct()
+    nodes = stored(nodes, "in-families")
     parts = F.ceil(F.col("n") / HOT).cast("int")
-    apart = known.join(open_.select("h", parts.alias("parts")), "h").join(sets.select("node", "size", "parity"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    apart = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))
-    apart = stored(apart.select(cell.alias("cell"), "node", "root", "size", "parity"), "apart")
+    hot = nodes.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("family", parts.alias("parts"))
+    if not hot.limit(1).count():
+        return nodes
+    nodes = nodes.join(hot, "family", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
+    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    cell = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))
+    return nodes.select(F.when(F.col("parts").isNull(), F.col("family")).otherwise(cell).alias("family"), "node")
+
+
+def _apart(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -> Iterator[pa.RecordBatch]:
+    """(family, a, b): a family's pairs of different classes that the bounds leave; as a forest, only those that join classes if all of them hold."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    family, node, root, size = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
+    words = np.concatenate([b.column(4).value_lengths().to_numpy() for b in held]).astype(np.int64)
+    bits = np.concatenate([b.column(4).flatten().to_numpy() for b in held]).view(np.uint64)
+    begin = np.cumsum(words) - words
+    order = np.lexsort((node, size, family))
+    family, node, root, size, words, begin = (x[order] for x in (family, node, root, size, words, begin))
+    number = np.cumsum(np.concatenate([[0], family[1:] != family[:-1]]))
+    kind = np.unique(np.stack([number, root], 1), axis=0, return_inverse=True)[1].reshape(-1)
+    label = np.arange(len(kind))
     bound = (1 - similarity) / (1 + similarity)
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        codes = np.concatenate([b.column(4).flatten().to_numpy() for b in held]).view(np.uint64).reshape(-1, 8)
-        row = pa.array(np.arange(len(codes)))
-        table = pa.Table.from_batches([b.select([0, 1, 2, 3]) for b in held]).append_column("row", row)
-        for (_, node, root, size, row), at in _runs(iter(table.combine_chunks().to_batches())):
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                step = max(1, PAIRS // (hi - lo))
-                for a in range(lo, hi, step):
-                    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(a, min(hi, a + step)), np.arange(a + 1, hi), indexing="ij"))
-                    live = (i < j) & (root[i] != root[j])
-                    i, j = i[live], j[live]
-                    both, apart = size[i] + size[j], np.abs(size[i] - size[j])
-                    fits = apart <= both * bound + 1e-9
-                    i, j, both = i[fits], j[fits], both[fits]
-                    near = np.bitwise_count(codes[row[i]] ^ codes[row[j]]).sum(1, dtype=np.int64) <= both * bound + 1e-9
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i[near]]), pa.array(node[j[near]])], ["a", "b"])
-
-    more = apart.repartition(parts_for(apart.count(), ROWS // 4, least), "cell").mapInArrow(cross, "a long, b long").distinct()
-    return smallest_reachable(links.unionByName(_counted(more, sets, docs, similarity, width)))
+    most = np.floor(size * ((1 + bound) / (1 - bound)) + 1e-6).astype(np.int64) + 1
+    stop = np.searchsorted(number << 32 | size, number << 32 | most, side="right")  # in order of size, the last that may be alike
+    after = np.concatenate([[0], np.cumsum(stop - np.arange(len(node)) - 1)])
+    lo = 0
+    while lo < len(node):
+        hi = max(lo + 1, int(np.searchsorted(after, after[lo] + PAIRS, side="right")) - 1)
+        own = np.arange(lo, hi)
+        i = np.repeat(own, np.diff(after[lo : hi + 1]))
+        j = i + 1 + np.arange(len(i)) - (after[i] - after[lo])
+        lo = hi
+        both = size[i] + size[j]
+        live = (label[kind[i]] != label[kind[j]]) & (size[j] - size[i] <= both * bound + 1e-9)
+        i, j, both = i[live], j[live], both[live]
+        differ = np.empty(len(i), np.int64)
+        for w in np.unique(words[i]).tolist():
+            at = np.flatnonzero(words[i] == w)
+            for some in np.split(at, range(HELD // w, len(at), max(1, HELD // w))):
+                place, twice = begin[j[some]][:, None] + np.arange(w), words[j[some]] > w
+                odd = bits[place] ^ bits[begin[i[some]][:, None] + np.arange(w)]
+                odd[twice] ^= bits[place[twice] + w]  # alike sets differ in size by a quarter at most, so one fold is enough
+                differ[some] = np.bitwise_count(odd).sum(1, dtype=np.int64)
+        near = np.flatnonzero(differ <= both * bound + 1e-9)
+        if forest:
+            near = near[np.argsort(differ[near] / both[near], kind="stable")]
+            label, used = joined_by(label, kind[i[near]], kind[j[near]])
+            near = near[used]
+        i, j = i[near], j[near]
+        yield pa.RecordBatch.from_arrays([pa.array(family[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["family", "a", "b"])
 
 
 def copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

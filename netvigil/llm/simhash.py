@@ -179,7 +179,7 @@ class GrayIndex:
 
         def join(a: np.ndarray, b: np.ndarray) -> None:
             nonlocal label
-            label, used = _tree(label, a, b)
+            label, used = joined_by(label, a, b)
             kept.append((a[used], b[used]))
 
         join(beside, beside + 1)
@@ -230,7 +230,7 @@ class GrayIndex:
         return out
 
 
-def _tree(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joined_by(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes after links between a and b, and which links were needed: each class takes its first one to another."""
     used = [np.zeros(0, np.int64)]
     while True:

@@ -5,6 +5,7 @@ import re
 import corpus_pipeline as pipeline
 import numpy as np
 import pytest
+from netvigil.llm import alike
 
 
 def _words(seed, n):
@@ -184,3 +185,26 @@ def test_near_duplicates_are_exact(spark, tables):
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
     got = sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, df, tables).collect())
     assert got == sorted(set(label.tolist()))
+
+
+@pytest.mark.parametrize("hot", [20_000, 7])
+def test_few_pairs_of_a_large_group_are_counted(spark, monkeypatch, hot):
+    """Without SimHash, one group of alike texts and one just apart: pairs in proportion to the texts, and exact classes."""
+    handed, counted = [], alike._counted
+    monkeypatch.setattr(alike, "_counted", lambda pairs, *more: handed.append(pairs.count()) or counted(pairs, *more))
+    monkeypatch.setattr(alike, "LIMIT", -1)
+    monkeypatch.setattr(alike, "HOT", hot)
+    rng = np.random.default_rng(11)
+    texts = []
+    for group, (n, changed) in enumerate([(30, 8), (40, 40)]):
+        base = _words(500 + group, 2000).split()
+        for k in range(n):
+            own = list(base)
+            for at in rng.choice(len(base), changed, False):
+                own[at] = f"w{group}x{k}x{at}"
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id as row", "doc_id", "text")
+    got = {r.row: r["class"] for r in alike.copies(df).collect()}
+    assert len({got[k] for k in range(30)}) == 1
+    assert len(set(got.values())) == 41
+    assert handed[0] == 0 and (hot == 7 or sum(handed) <= len(texts))
