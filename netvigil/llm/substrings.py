@@ -22,7 +22,8 @@ have equal anchors. The steps, all as Spark jobs:
    anchor with one single context needs no order; one with too many for an array is
    taken string by string. Hashes only bring rows together: anchors, contexts and
    strings are told apart by their bytes.
-4. Spans meet their documents, are merged, and the bytes under them are dropped.
+4. Spans meet by blocks of documents, one row from each bucket to each block, and are
+   merged there; then they meet their documents and the bytes under them are dropped.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``LENGTH`` keep
 all; rows with equal doc_id are compared with smaller doc_ids only; a row without
@@ -533,16 +534,60 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[li
         yield bucket, held
 
 
+def _to_blocks(found: list[tuple[int, int, bytes]], blocks: int) -> list[tuple[int, bytes]]:
+    """(block, packed spans) of a bucket's (doc_id, hash, spans); a document is in one block whatever its bucket."""
+    doc, hashes, spans = zip(*found, strict=True)
+    times = np.fromiter(map(len, spans), np.int64, len(spans)) // 8
+    doc, hashes = (np.repeat(np.array(x, np.int64), times) for x in (doc, hashes))
+    begin, end = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).T.astype(np.int64)
+    block = (mix(doc.view(_U)) % _U(blocks)).astype(np.int64)
+    order = np.lexsort((begin, hashes, doc, block))
+    cuts = np.searchsorted(block[order], np.arange(blocks + 1)).tolist()
+    rows = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+    return [(k, zstandard.ZstdCompressor(1).compress(b"".join(map(_less, (doc[own], hashes[own], begin[own], end[own] - begin[own]))))) for k, own in rows]
+
+
+def _block_spans(blobs: list[bytes]) -> pa.RecordBatch:
+    """(doc_id, hash, spans) of one block, a row for each document: its maximal runs from all buckets."""
+    parts = []
+    for blob in blobs:
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        size = len(data) // 4
+        parts.append([_more(data[k * size : (k + 1) * size], size // 8) for k in range(4)])
+    doc, hashes, begin, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((begin, hashes, doc))
+    doc, hashes, begin, size = (x[order] for x in (doc, hashes, begin, size))
+    own = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])])
+    base = np.cumsum(own) << 32  # each document's places lie above those of the one before
+    reach = np.maximum.accumulate(base + begin + size)
+    new = np.flatnonzero(np.concatenate([[True], (base + begin)[1:] > reach[:-1]]))
+    last = np.concatenate([new[1:] - 1, [len(begin) - 1]])
+    pairs = np.stack([begin[new], (reach - base)[last]], 1).astype("<u4")
+    first = np.flatnonzero(own)
+    ends = np.concatenate([np.searchsorted(new, first), [len(new)]])* 8
+    spans = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(hashes[first]), spans], ["doc_id", "hash", "spans"])
+
+
 def repeated_spans(packed: DataFrame, tasks: int) -> DataFrame:
-    """(doc_id, hash, spans): for each row, starts and ends of repeated bytes as 32-bit pairs; several rows each."""
+    """(doc_id, hash, spans): for each row with repeated bytes, starts and ends of them as 32-bit pairs.
+
+    A bucket gives one row for each block of documents, not for each document: a text
+    has anchors in very many buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             found = list(bucket_spans([x for (x,) in rows]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "hash", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*_to_blocks(found, tasks), strict=True), (pa.int32(), pa.binary()), strict=True)], ["block", "packed"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            yield _block_spans([x for (x,) in rows])
 
-    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, hash long, spans binary")
+    found = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block int, packed binary")
+    return found.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(merge, "doc_id long, hash long, spans binary")
 
 
 def merged_spans(spans: list[bytes] | None) -> list[tuple[int, int]]:
@@ -569,8 +614,7 @@ def find_repeats(docs: DataFrame, hot_slices: int = HOT_SLICES, name: str = "spa
     tasks = max(buckets // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = shared_anchors(rows, buckets, tasks, hot_slices)
     packed = packed_contexts(rows, filter_of(shared, buckets), doubled)
-    spans = repeated_spans(packed, tasks).groupBy("doc_id", "hash").agg(F.collect_list("spans").alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("hash").alias("_span_hash"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(packed, tasks).select(F.col("doc_id").alias("_span_doc"), F.col("hash").alias("_span_hash"), F.array("spans").alias("_spans"))
     meets = docs["doc_id"].cast("long") == spans["_span_doc"]
     if doubled:
         meets &= F.xxhash64(docs["text"]) == spans["_span_hash"]

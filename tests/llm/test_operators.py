@@ -218,6 +218,19 @@ def test_substrings_of_odd_rows(spark):
     assert substrings.find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_document_has_one_row_of_spans(spark, monkeypatch):
+    """Its anchors lie in many buckets; what these find is one row, whatever their number."""
+    made, spans = [], substrings.repeated_spans
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(substrings, "repeated_spans", lambda *a: made.append(spans(*a)) or made[-1])
+    rows = _repeated(7, 120) + [(5, "a longer text than others " * 60), (6, "a longer text than others " * 50), (900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: substrings.merged_spans(r.spans) for r in substrings.find_repeats(df).collect()}
+    want = substrings.brute_force(rows)
+    assert {d: (sum(b - a for a, b in s), len(s), _kept(dict(rows)[d], s)) for d, s in got.items()} == {d: x[1:] for d, x in want.items()}
+    assert made[0].count() == sum(x[1] > 0 for x in want.values()) > 60
+
+
 @pytest.mark.parametrize("case", ["", "records collide", "small arrays", "hot"])
 def test_a_bucket_of_contexts(monkeypatch, case):
     """All of one bucket without Spark: collisions of any hash and small arrays change nothing."""
