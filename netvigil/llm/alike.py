@@ -159,8 +159,7 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     n = sets.count()
     near = gray_links(sets.select("node", F.col("code").alias("fp")), n, LIMIT, sampled_masks(WORDS, BLOCK))
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(_counted(pairs, sets, docs, similarity, width), "links")
-    classes = stored(smallest_reachable(links), "classes")
+    classes = stored(smallest_reachable(_counted(pairs, sets, docs, similarity, width)), "classes")
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -181,8 +180,8 @@ def linked_nodes(rows: DataFrame, docs: DataFrame, similarity: float = 0.8, widt
     for forest in (True, False):
         known = families.join(classes, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root"), "size", "wide")
         found = stored(known.repartition(parts, "family").mapInArrow(lambda x, forest=forest: _apart(x, similarity, forest), "family long, a long, b long"), "apart")
-        links = stored(links.unionByName(_counted(found.select("a", "b").distinct(), sets, docs, similarity, width)), "links")
-        classes = stored(smallest_reachable(links), "classes")
+        links = _counted(found.select("a", "b").distinct(), sets, docs, similarity, width)
+        classes = stored(smallest_reachable(links.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))), "classes")
         families = families.join(found.select("family").distinct(), "family", "left_semi")  # the others have no pair that the bounds leave
     return classes
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.llm.common import only, parts_for, stored, table
-from netvigil.llm.components import smallest_reachable
+from netvigil.llm.components import joined_classes, smallest_reachable
 
 #: Neighbours in one node of the index, and nodes under one above.
 LEAF, FAN = 16, 8
@@ -242,24 +242,7 @@ def joined_by(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
         np.minimum.at(first, x[across], across)
         np.minimum.at(first, y[across], across)
         used.append(np.unique(first[first < len(a)]))
-        label = _joined(label, a[used[-1]], b[used[-1]])
-
-
-def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Classes after links between a and b; each class is named by its first position."""
-    parent = label.copy()
-    while True:
-        x, y = parent[a], parent[b]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        apart = low != high
-        if not apart.any():
-            return parent
-        np.minimum.at(parent, high[apart], low[apart])
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
+        label = joined_classes(label, a[used[-1]], b[used[-1]])
 
 
 def linked_classes(codes: DataFrame, limit: int) -> DataFrame:
