@@ -332,3 +332,11 @@ def test_beacons_of_many_users(spark, tmp_path):
 
     spark.createDataFrame([(u,) for u in USERS], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
     assert {(r.seq, r.subtype) for r in QUERIES["d4_c2"](spark, str(tmp_path)).collect()} == beacons_wanted(False)
+
+
+def test_noisy_beacons_of_many_users(spark, tmp_path):
+    from netvigil.plans import wider  # noqa: F401  registers the query
+    from netvigil.plans.queries import QUERIES
+
+    spark.createDataFrame([(u,) for u in USERS], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert {(r.seq, r.subtype) for r in QUERIES["d4_c2_noise"](spark, str(tmp_path)).collect()} == beacons_wanted(True)
