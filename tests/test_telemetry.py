@@ -340,3 +340,16 @@ def test_noisy_beacons_of_many_users(spark, tmp_path):
 
     spark.createDataFrame([(u,) for u in USERS], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
     assert {(r.seq, r.subtype) for r in QUERIES["d4_c2_noise"](spark, str(tmp_path)).collect()} == beacons_wanted(True)
+
+
+def test_routing_of_many_users(spark, tmp_path):
+    from netvigil.plans import wider  # noqa: F401  registers the query
+    from netvigil.plans.queries import QUERIES
+
+    users = ", ".join(map(str, USERS))
+    spark.sql(f"SELECT pos AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, u AS user_id, 'view' AS event_type, 1.0D AS value, '{{\"k\": 1}}' AS props FROM (SELECT posexplode(array({users})) AS (pos, u))").withColumns(
+        {"event_id": F.col("event_id").cast("long"), "user_id": F.col("user_id").cast("long")}).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(0, "https://example.net/", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = collections.Counter(subtype for _, subtype in beacons_wanted(False))
+    got = {r.subtype: r.n for r in QUERIES["b12_route"](spark, str(tmp_path)).collect() if r.threat_class == "c2_beaconing"}
+    assert got == want
