@@ -7,14 +7,17 @@ derived from them is the same code for both.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netvigil.functions import scalars as S
-from netvigil.operators.windows import trailing
+from netvigil.operators.windows import BUCKET_WINDOWS, trailing
 
 CONNECTIONS = "kind IN ('conn', 'early_event')"
 PARENT = "CASE WHEN instr(query, '.') > 0 THEN substring(query, instr(query, '.') + 1) ELSE query END"
@@ -129,33 +132,70 @@ def exfil_features(events: DataFrame, seconds: int = 300) -> DataFrame:
     return exfil_derived(FRAMES["exfil"].over(events, seconds), seconds)
 
 
+_TARGETS = "dst_hosts array<string>, scan_targets array<struct<rank: int, dst_ip: string, failed: bigint, attempts: bigint, failure_ratio: double>>, anchor_dst string, spread double"
+
+
+def _lists(batches: Iterator[pa.RecordBatch], hosts: int, targets: int) -> Iterator[pa.RecordBatch]:
+    """The marked rows with the lists of their windows; counts of one source's hosts at a time, which rows raise and lower in order."""
+    key, counts = None, {}
+    for batch in batches:
+        marked, ends, names, ranks, ranked, anchors, shares = [], [0], [], [0], [], [], []
+        steps = zip(*(batch.column(n).to_pylist() for n in ("src_ip", "bucket", "dst_ip", "failed", "provider", "step")), strict=True)
+        for at, (src, bucket, dst, failed, provider, step) in enumerate(steps):
+            if (src, bucket) != key:
+                key, counts = (src, bucket), {}
+            if step:
+                own = counts.get(dst)
+                if own is None:
+                    counts[dst] = [step, failed, provider]
+                elif own[0] + step:
+                    own[0] += step
+                    own[1] += failed
+                else:
+                    del counts[dst]
+            elif counts:
+                found = sorted(counts, key=lambda h: (h is None, h or ""))[:hosts] if None in counts else sorted(counts)[:hosts]
+                places = [(-f / n, -f, h is not None, h) for h, (n, f, _) in counts.items()]
+                marked.append(at)
+                names += found
+                ends.append(len(names))
+                anchors.append(min(places)[3])
+                shares.append(sum(counts[h][2] for h in found) / len(found))
+                if targets:
+                    ranked += [(k, h, -f, counts[h][0], round(-f / counts[h][0] * 100.0) / 100.0) for k, (_, f, _, h) in enumerate(sorted(places)[:targets], 1)]
+                ranks.append(len(ranked))
+        fields = zip(*ranked, strict=True) if ranked else [[]] * 5
+        kinds = {"rank": pa.int32(), "dst_ip": pa.string(), "failed": pa.int64(), "attempts": pa.int64(), "failure_ratio": pa.float64()}
+        scans = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(fields, kinds.values(), strict=True)], list(kinds))
+        lists = [pa.ListArray.from_arrays(pa.array(n, pa.int32()), x) for n, x in ((ends, pa.array(names, pa.string())), (ranks, scans))]
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(marked, pa.int64())), *lists, pa.array(anchors, pa.string()), pa.array(shares, pa.float64())], ["row", "dst_hosts", "scan_targets", "anchor_dst", "spread"])
+
+
 def recon_targets(gated: DataFrame, events: DataFrame, seconds: int = 30, hosts: int = 64, targets: int = 8) -> DataFrame:
     """gated rows (behind a detector's gate) with dst_hosts, scan_targets and anchor_dst of their windows.
 
-    Attempts and failures of each (source, host) are running sums that change as events
-    arrive and leave; a gated row reads them at its own place, once for each host of its
-    time slot and the one before. So the work is that of events and of gated rows times
-    hosts, not of gated rows times events.
+    ``spread`` is the share of dst_hosts whose events have a true column ``provider``,
+    0 if events have none. Sources are cut into overlapping time buckets, as in
+    ``trailing``; in each bucket's order of time, events come, leave a window later, and
+    gated rows read the counts that hold at their place. A task holds the hosts of one
+    window, not its events, and the work is that of events and of gated rows times hosts.
     """
     span = seconds * 1_000_000
-    slot = F.floor(F.col("ts_us") / span).cast("long")
+    size = BUCKET_WINDOWS * span
+    own = F.floor(F.col("ts_us") / size).cast("long")
     failed = F.coalesce(F.col("conn_state").isin("S0", "REJ"), F.lit(False)).cast("long")
-    # A slot holds its own events and those of the slot before, which its windows reach into.
-    seen = events.select("src_ip", "dst_ip", F.explode(F.array(slot, slot + 1)).alias("slot"), F.col("ts_us").alias("t"), F.col("seq").alias("s"), failed.alias("f"))
-    arriving = seen.select("*", F.lit(1).alias("phase"), F.lit(1).cast("long").alias("a"), F.lit(0).alias("mark"))
-    leaving = seen.select("src_ip", "dst_ip", "slot", (F.col("t") + span).alias("t"), "s", (-F.col("f")).alias("f"), F.lit(2).alias("phase"), F.lit(-1).cast("long").alias("a"), F.lit(0).alias("mark"))
-    places = gated.select("src_ip", slot.alias("slot"), F.col("ts_us").alias("t"), F.col("seq").alias("s"))
-    marks = places.join(seen.select("src_ip", "slot", "dst_ip").distinct(), ["src_ip", "slot"])
-    marks = marks.withColumns({"f": F.lit(0).cast("long"), "phase": F.lit(1), "a": F.lit(0).cast("long"), "mark": F.lit(1)})
-    upto = Window.partitionBy("src_ip", "slot", "dst_ip").orderBy("t", "phase", "s", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    counted = arriving.unionByName(leaving).unionByName(marks).select("src_ip", "dst_ip", "t", "s", "mark", F.sum("a").over(upto).alias("attempts"), F.sum("f").over(upto).alias("failed"))
-    by_host = counted.where((F.col("mark") == 1) & (F.col("attempts") > 0))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("failed") / F.col("attempts")).alias("order"), (-F.col("failed")).alias("less"), "dst_ip", "failed", "attempts")))
-    lists = by_host.groupBy(F.col("src_ip").alias("list_src"), F.col("t").alias("at"), F.col("s").alias("at_seq")).agg(ranked.alias("_ranked"))
-    target = lambda x, n: F.struct((n + 1).alias("rank"), x["dst_ip"].alias("dst_ip"), x["failed"].alias("failed"), x["attempts"].alias("attempts"), S.rounded(x["failed"] / x["attempts"], 2).alias("failure_ratio"))
-    named = lists.select(
-        "list_src", "at", "at_seq", F.slice(F.array_sort(F.col("_ranked.dst_ip")), 1, hosts).alias("dst_hosts"),
-        F.transform(F.slice("_ranked", 1, targets), target).alias("scan_targets"), F.col("_ranked")[0]["dst_ip"].alias("anchor_dst"),
+    provider = F.coalesce("provider", F.lit(False)) if "provider" in events.columns else F.lit(False)
+    reach = F.explode(F.when(F.col("ts_us") >= (own + 1) * size - span, F.array(own, own + 1)).otherwise(F.array(own))).alias("bucket")
+    seen = events.where("src_ip is not null").select("src_ip", "dst_ip", F.col("ts_us").alias("t"), F.col("seq").alias("s"), failed.alias("failed"), provider.alias("provider"), reach)
+    turn = lambda t, phase, step: F.struct(t.alias("t"), F.lit(phase).alias("phase"), F.lit(step).alias("step"))
+    turns = seen.withColumn("turn", F.explode(F.array(turn(F.col("t"), 1, 1), turn(F.col("t") + span, 2, -1)))).where(F.col("turn.t") < (F.col("bucket") + 1) * size)
+    whole = F.struct(*[F.col(f"`{c}`") for c in gated.columns])
+    moves = turns.select("src_ip", "bucket", "turn.t", "turn.phase", "s", "turn.step", "dst_ip", (F.col("failed") * F.col("turn.step")).alias("failed"), "provider", F.lit(None).cast(gated.schema).alias("row"))
+    marks = gated.where("src_ip is not null").select(
+        "src_ip", own.alias("bucket"), F.col("ts_us").alias("t"), F.lit(1).alias("phase"), F.col("seq").alias("s"), F.lit(0).alias("step"),
+        F.lit(None).cast("string").alias("dst_ip"), F.lit(0).cast("long").alias("failed"), F.lit(False).alias("provider"), whole.alias("row"),
     )
-    keys = (F.col("ts_us") == F.col("at")) & (F.col("seq") == F.col("at_seq"))
-    return gated.join(named, (F.col("src_ip") == F.col("list_src")) & keys).drop("list_src", "at", "at_seq")
+    # Of rows at one place events come first, so that a gated row counts itself.
+    placed = moves.unionByName(marks).repartition("src_ip", "bucket").sortWithinPartitions("src_ip", "bucket", "t", "phase", "s", F.desc("step"))
+    rows = placed.mapInArrow(partial(_lists, hosts=hosts, targets=targets), T.StructType([T.StructField("row", gated.schema), *T.StructType.fromDDL(_TARGETS).fields]))
+    return rows.select("row.*", "dst_hosts", "scan_targets", "anchor_dst", "spread")

@@ -353,3 +353,32 @@ def test_routing_of_many_users(spark, tmp_path):
     want = collections.Counter(subtype for _, subtype in beacons_wanted(False))
     got = {r.subtype: r.n for r in QUERIES["b12_route"](spark, str(tmp_path)).collect() if r.threat_class == "c2_beaconing"}
     assert got == want
+
+
+def test_recon_lists_equal_a_loop_over_buckets(spark):
+    rng = random.Random(7)
+    hosts = [f"203.0.113.{k}" for k in range(30)] + [None]
+    rows = [event(i, 900 + rng.randrange(400), src_ip=rng.choice(["a", "b", None]), dst_ip=rng.choice(hosts), conn_state=rng.choice(["S0", "REJ", "SF", None])) for i in range(700)]
+    events = spark.createDataFrame(rows, COLUMNS).repartition(5)
+    known = F.col("dst_ip").endswith("1")
+    gated = events.where("seq % 3 = 0")
+    got = {r.seq: r for r in features.recon_targets(gated, events.withColumn("provider", known), 30, hosts=9, targets=4).collect()}
+    assert set(got) == {r[0] for r in rows if r[0] % 3 == 0 and r[3]}
+    for seq, g in got.items():
+        own = [r for r in rows if r[3] == g.src_ip and g.ts_us - 30_000_000 <= r[1] and (r[1], r[0]) <= (g.ts_us, seq)]
+        n = collections.Counter(r[5] for r in own)
+        bad = collections.Counter(r[5] for r in own if r[10] in ("S0", "REJ"))
+        names = sorted(n, key=lambda h: (h is None, h or ""))[:9]
+        ranked = sorted(n, key=lambda h: (-bad[h] / n[h], -bad[h], h is not None, h or ""))
+        assert (g.dst_hosts, g.anchor_dst, g.tls, g.dst_ip) == (names, ranked[0], False, rows[seq][5])
+        assert [tuple(t) for t in g.scan_targets] == [(k + 1, h, bad[h], n[h], round(bad[h] / n[h], 2)) for k, h in enumerate(ranked[:4])]
+        assert g.spread == sum(h is not None and h.endswith("1") for h in names) / len(names)
+
+
+def test_wide_scans_make_their_features_once(spark):
+    """Gated rows went into five joins, and each made them and their lists anew."""
+    from netvigil.plans import wider  # noqa: F401  registers the query
+    from netvigil.plans.queries import QUERIES
+
+    plan = QUERIES["d7_horizontal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("parquet") <= 3  # 21 before
