@@ -78,7 +78,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows, row = _numbered(docs)
     found = stored(alike.copies(rows.select(F.col(row).alias("row"), "doc_id", "text")).where("class is not null"), "classes")
     first = found.groupBy("class").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    gone = found.join(first, "class").where("row <> first").select(F.col("row").alias(row))
+    gone = stored(found.join(first, "class").where("row <> first").select(F.col("row").alias(row)), "gone")
+    gone = F.broadcast(gone) if gone.count() <= alike.BROADCAST_KEYS else gone  # else all texts are shuffled
     return only(rows.join(gone, row, "left_anti"), *docs.columns)
 
 

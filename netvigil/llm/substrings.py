@@ -614,7 +614,8 @@ def find_repeats(docs: DataFrame, hot_slices: int = HOT_SLICES, name: str = "spa
     tasks = max(buckets // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = shared_anchors(rows, buckets, tasks, hot_slices)
     packed = packed_contexts(rows, filter_of(shared, buckets), doubled)
-    spans = repeated_spans(packed, tasks).select(F.col("doc_id").alias("_span_doc"), F.col("hash").alias("_span_hash"), F.array("spans").alias("_spans"))
+    # Stored, so that the contexts' shuffle is gone from the disks before that of the texts comes.
+    spans = stored(repeated_spans(packed, tasks), "spans").select(F.col("doc_id").alias("_span_doc"), F.col("hash").alias("_span_hash"), F.array("spans").alias("_spans"))
     meets = docs["doc_id"].cast("long") == spans["_span_doc"]
     if doubled:
         meets &= F.xxhash64(docs["text"]) == spans["_span_hash"]

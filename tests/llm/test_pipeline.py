@@ -208,3 +208,22 @@ def test_few_pairs_of_a_large_group_are_counted(spark, monkeypatch, hot):
     assert len({got[k] for k in range(30)}) == 1
     assert len(set(got.values())) == 41
     assert handed[0] == 0 and (hot == 7 or sum(handed) <= len(texts))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver collected garbage, so that those of earlier stages filled the disk of later ones."""
+    import time
+
+    from netvigil.llm.common import CLEANUP, stored
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before = files()
+    out = stored(spark.range(1000).repartition(3, "id").groupBy("id").count(), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 1000 and spark.conf.get(CLEANUP) == "false"
