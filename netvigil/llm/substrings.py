@@ -59,8 +59,9 @@ WIDTH = LENGTH + LENGTH - GRAM
 OCCURRENCES = 50_000
 #: Bits of the filter for each shared anchor, and at most (64 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 29
-#: An anchor sent by so many slices is hot; buckets over which the occurrences of its strings are dealt.
-HOT_SLICES, SALTS = 1000, 16
+#: An anchor sent by so many slices is hot, where a slice counts once more for each ``OFTEN`` occurrences: fewer are no
+#: more than a bucket's share, and each string of a hot one is sent ``SALTS`` times, to all buckets that have its occurrences.
+HOT_SLICES, OFTEN, SALTS = 20_000, 16, 16
 #: Symbols of one suffix array.
 ARRAY_BYTES = 150_000
 
@@ -172,20 +173,24 @@ def shared_anchors(docs: DataFrame, buckets: int, tasks: int, hot_slices: int =
                 if not len(new):
                     continue
                 several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+                more = np.diff(new, append=len(key)) // OFTEN
                 key = key[new]
                 cuts = np.searchsorted(_buckets(key, buckets), np.arange(buckets + 1))
-                rows = [(b, key[x:y], several[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([_six(k[~s]) for _, k, s in rows], pa.binary()), pa.array([_six(k[s]) for _, k, s in rows], pa.binary())], ["bucket", "single", "several"])
+                rows = [(b, key[x:y], several[x:y], more[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+                single, twice, often = ([_six(k[w(s, m)]) for _, k, s, m in rows] for w in (lambda s, m: ~s, lambda s, m: s, lambda s, m: m > 0))
+                times = [m[m > 0].astype("<u4").tobytes() for _, _, _, m in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in (single, twice, often, times))], ["bucket", "single", "several", "often", "times"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in _by_bucket(batches):
-            single, several = zip(*rows, strict=True)
-            twice = _from_six(b"".join(several))
-            key, n = np.unique(np.concatenate([_from_six(b"".join(single)), twice]), return_counts=True)
+            single, several, often, times = (b"".join(x) for x in zip(*rows, strict=True))
+            twice = _from_six(several)
+            key, n = np.unique(np.concatenate([_from_six(single), twice]), return_counts=True)
             shared = key[(n > 1) | np.isin(key, twice)]
+            np.add.at(n, np.searchsorted(key, _from_six(often)), np.frombuffer(times, "<u4").astype(n.dtype))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(shared)], pa.int64()), pa.array([_six(shared << _U(16))], pa.binary()), pa.array([_six(key[n >= hot_slices] << _U(16))], pa.binary())], ["bucket", "n", "shared", "hot"])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, single binary, several binary")
+    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, single binary, several binary, often binary, times binary")
     return stored(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, n long, shared binary, hot binary"), "anchors")
 
 

@@ -344,3 +344,18 @@ def test_html_keeps_the_article(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id, r.text) for r in got.collect()) == sorted([(0, "One.\nTwo."), *enumerate(pages.values())])
     assert html.extract_text(df.where("false")).count() == 0
+
+
+def test_an_anchor_of_many_slices_is_hot_only_by_its_occurrences(spark, monkeypatch):
+    """From 1000 slices on every boilerplate line was hot, and each slice sent each of its strings sixteen times."""
+    from netvigil.llm import substrings
+
+    line = "This very line stands in each of the texts and is no burden to a bucket."
+    calm = spark.createDataFrame([(k, f"{line} {k}") for k in range(1200)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(substrings, "SLICE", 40)  # a slice for each text
+    hot = lambda docs, **more: sum(len(r.hot) for r in substrings.shared_anchors(docs, 4, 2, **more).collect()) // 6
+    assert substrings.HOT_SLICES > 1200 and hot(calm) == 0
+    assert hot(calm, hot_slices=1200) > 0
+    dense = spark.createDataFrame([(k, f"{line} " * 64) for k in range(4)], "doc_id long, text string").repartition(2)
+    assert hot(dense, hot_slices=17) > 0  # four slices of 64 occurrences
+    assert hot(dense, hot_slices=30) == 0
